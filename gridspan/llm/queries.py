@@ -5,17 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gridspan.llm import centroid_langid, quality_mil, toxicity_fst
 from gridspan.llm.common import read_table
 from gridspan.llm.simhash_vptree import near_duplicates
 
 
+def op1_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    out = quality_mil.score_quality(docs, labels)
+    return out.select("doc_id", quality_mil.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), "n_passages", "top_passage")
+
+
 def op4_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    out = toxicity_fst.score_toxicity(docs, labels)
+    return out.select("doc_id", toxicity_fst.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "n_clauses")
+
+
+def op9_centroid_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroid_langid.identify_languages(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", centroid_langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_mil": op1_quality_mil,
     "op4_simhash_vptree": op4_simhash_vptree,
+    "op6_toxicity_fst": op6_toxicity_fst,
+    "op9_centroid_langid": op9_centroid_langid,
 }
 
 #: DuckDB SQL of the queries that SQL can express.

@@ -225,14 +225,20 @@ class Toxicity:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(f @ self.weights) + self.bias)))), n
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 4000, least: int = 5, odds: float = 1.8) -> Toxicity:
-    """``least`` and ``odds``: a prefix enters the lexicon if it is in that many toxic texts, and its
-    share of them is exp(odds) times its share of the clean ones."""
-    sample = stage_table(labelled_sample(docs, labels, "toxic", train, per_class), "toxic-sample")
+def learn(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 4000, least: int = 6, share: float = 0.012, odds: float = 2.0) -> Toxicity:
+    """``least``, ``share`` and ``odds``: a prefix enters the lexicon if it is in that many and in
+    that share of the toxic texts, and its share of them is exp(odds) times its share of the clean
+    ones. Of texts with the same least three-word shingle (by a hash: copies, and most near copies)
+    one counts, so that a copied text's chance words do not look telling."""
+    sample = labelled_sample(docs, labels, "toxic", train, per_class)
+    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")
+    shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2)), lambda i: F.xxhash64(F.try_element_at("w", i), F.try_element_at("w", i + 1), F.try_element_at("w", i + 2)))
+    sample = sample.withColumn("w", words).withColumn("least", F.array_min(shingles)).groupBy("least", "label").agg(F.min_by("text", "doc_id").alias("text")).select("text", "label")
+    sample = stage_table(sample, "toxic-sample")
     totals = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
-    words = {w: 1.0 for w in INSULTS}
+    lexicon = {w: 1.0 for w in INSULTS}
     if len(totals) < 2:
-        return Toxicity(words, {}, DEFAULT, -2.0)
+        return Toxicity(lexicon, {}, DEFAULT, -2.0)
 
     def prefixes(part, texts):
         n: Counter = Counter()
@@ -246,7 +252,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 40
     counts = map_texts(sample, prefixes, "k string, label int, n long").groupBy("k").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"))
     gain = F.log((F.col("toxic") + 0.5) / (totals[1] + 1)) - F.log((F.col("clean") + 0.5) / (totals[0] + 1))
     # of the bounded sample's words, those that tell; each is in `least` of its toxic texts
-    rows = counts.withColumn("gain", gain).filter((F.col("toxic") >= least) & (F.col("gain") >= odds)).collect()
+    rows = counts.withColumn("gain", gain).filter((F.col("toxic") >= max(least, share * totals[1])) & (F.col("gain") >= odds)).collect()
     found: dict[str, float] = {}
     taken: set[str] = set()
     # of nested prefixes and words, the one of the largest likelihood ratio speaks; of equals the longest
@@ -256,8 +262,8 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 40
         found[r.k] = min(1.0, r.gain / 5)
         taken.update(r.k[:k] for k in range(PREFIX[0], len(r.k) + 1))
     prefix = {k: v for k, v in found.items() if not k.endswith("$")}
-    words |= {k[:-1]: v for k, v in found.items() if k.endswith("$")}
-    model = Toxicity(words, prefix, DEFAULT, -3.0)
+    lexicon |= {k[:-1]: v for k, v in found.items() if k.endswith("$")}
+    model = Toxicity(lexicon, prefix, DEFAULT, -3.0)
     sent = sample.sparkSession.sparkContext.broadcast(model)  # the lexicon and a few weights
 
     def features(part, texts):
