@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspan.llm import centroid_langid, quality_mil, toxicity_fst
+from gridspan.llm import centroid_langid, line_frequency, multiset_hash, quality_mil, toxicity_fst
 from gridspan.llm.common import read_table
 from gridspan.llm.simhash_vptree import near_duplicates
 
@@ -28,16 +28,26 @@ def op6_toxicity_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity_fst.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "n_clauses")
 
 
+def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_frequency.rule_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op9_centroid_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = centroid_langid.identify_languages(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", centroid_langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op10_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.fingerprint_pairs(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_mil": op1_quality_mil,
     "op4_simhash_vptree": op4_simhash_vptree,
     "op6_toxicity_fst": op6_toxicity_fst,
+    "op8_line_frequency": op8_line_frequency,
     "op9_centroid_langid": op9_centroid_langid,
+    "op10_multiset_hash": op10_multiset_hash,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
