@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspan.llm import centroid_langid, line_frequency, multiset_hash, quality_mil, toxicity_fst
+from gridspan.llm import bin_completion, centroid_langid, line_frequency, multiset_hash, quality_mil, rans_tokens, toxicity_fst
 from gridspan.llm.common import read_table
 from gridspan.llm.simhash_vptree import near_duplicates
 
@@ -22,12 +22,20 @@ def op4_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans_tokens.round_trip(read_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     out = toxicity_fst.score_toxicity(docs, labels)
     return out.select("doc_id", toxicity_fst.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "n_clauses")
 
 
+def op7_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_completion.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.rule_documents(read_table(spark, sf_dir, "documents"))
 
@@ -44,7 +52,9 @@ def op10_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_mil": op1_quality_mil,
     "op4_simhash_vptree": op4_simhash_vptree,
+    "op5_rans_tokens": op5_rans_tokens,
     "op6_toxicity_fst": op6_toxicity_fst,
+    "op7_bin_completion": op7_bin_completion,
     "op8_line_frequency": op8_line_frequency,
     "op9_centroid_langid": op9_centroid_langid,
     "op10_multiset_hash": op10_multiset_hash,
