@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspan.llm import bin_completion, centroid_langid, line_frequency, multiset_hash, quality_mil, rans_tokens, toxicity_fst
-from gridspan.llm.common import read_table
+from gridspan.llm import bin_completion, centroid_langid, line_frequency, multiset_hash, poisson_mix, quality_mil, rans_tokens, toxicity_fst, warc_derivatives
+from gridspan.llm.common import DOCUMENT_COLUMNS, read_table
 from gridspan.llm.simhash_vptree import near_duplicates
 
 
@@ -18,6 +18,14 @@ def op1_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality_mil.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), "n_passages", "top_passage")
 
 
+def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return poisson_mix.poisson_mix(read_table(spark, sf_dir, "documents").select(*DOCUMENT_COLUMNS))
+
+
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_derivatives.derivatives_of_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op4_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -51,6 +59,8 @@ def op10_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_mil": op1_quality_mil,
+    "op2_poisson_mix": op2_poisson_mix,
+    "op3_warc_derivatives": op3_warc_derivatives,
     "op4_simhash_vptree": op4_simhash_vptree,
     "op5_rans_tokens": op5_rans_tokens,
     "op6_toxicity_fst": op6_toxicity_fst,
@@ -61,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_poisson_mix": poisson_mix.oracle_sql()}
