@@ -140,7 +140,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     def run(part, texts):
         doc, row, piece, start, size, crc = [], [], [], [], [], []
-        for doc_id, raw in zip(column(part, "doc_id").to_pylist(), encode_ids([t.decode("utf-8", "replace") for t in texts], path), strict=True):
+        for doc_id, raw in zip(column(part, "doc_id").to_pylist(), encode_ids(texts, path), strict=True):
             ids = np.append(np.frombuffer(raw, dtype="<u2"), END_ID).astype("<u4")
             n = len(ids)
             whole = zlib.crc32(ids.tobytes())
@@ -154,7 +154,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 crc.append(zlib.crc32(ids[a:b].tobytes()) if n > capacity else whole)
         return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "row", "piece", "start", "length", "ids_crc32"])
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, row long, piece int, start long, length long, ids_crc32 long", as_str=True)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, per_bucket: int = 20_000) -> DataFrame:

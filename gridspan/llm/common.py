@@ -110,15 +110,16 @@ def range_buckets(df: DataFrame, column: str, per_bucket: int, row_weight: Colum
     return cuts, F.coalesce(F.size(F.filter(found, lambda x: x <= c)), F.lit(0))
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with about ``limit`` bytes of text, and the texts as UTF-8 (null: empty)."""
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES, as_str: bool = False) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of the batches with about ``limit`` bytes of text, and the texts as UTF-8 or, with
+    ``as_str``, as strings (null: empty)."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
         if isinstance(col, pa.ChunkedArray):
             col = col.combine_chunks()
-        if pa.types.is_string(col.type) or pa.types.is_large_string(col.type):
+        if not as_str and (pa.types.is_string(col.type) or pa.types.is_large_string(col.type)):
             col = col.cast(pa.large_binary())
-        n = len(col)
+        n, empty = len(col), "" if as_str else b""
         sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
         ends = np.cumsum(sizes)
         at = 0
@@ -126,17 +127,17 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = S
             base = ends[at - 1] if at else 0
             stop = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
             stop = min(stop, n, at + 4096)
-            yield batch.slice(at, stop - at), [x or b"" for x in col.slice(at, stop - at).to_pylist()]
+            yield batch.slice(at, stop - at), [x or empty for x in col.slice(at, stop - at).to_pylist()]
             at = stop
 
 
-def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch | None], schema: str, text: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, list], pa.RecordBatch | None], schema: str, text: str = "text", as_str: bool = False) -> DataFrame:
     """``mapInArrow`` over bounded slices: fn(slice, texts) -> RecordBatch of ``schema``."""
 
     ship(df.sparkSession)
 
     def run(batches):
-        for part, texts in slices(batches, text):
+        for part, texts in slices(batches, text, as_str=as_str):
             out = fn(part, texts)
             if out is not None and out.num_rows:
                 yield out
@@ -229,8 +230,8 @@ class TextBlock:
 #: The end id that the packing and binary operators append to each document.
 END_ID = 2
 _CACHE: dict[str, dict] = {}
-#: Words remembered by a Python worker (about 200 bytes each).
-CACHE_WORDS = 300_000
+#: Words of a generation that a Python worker remembers (about 170 bytes each).
+CACHE_WORDS = 500_000
 
 
 def tokenizer_path() -> str:
@@ -257,18 +258,14 @@ def _tokenizer(path: str):
     return got
 
 
-#: A space that no visible character follows.
-_WIDE = re.compile(r" (?:\s|\Z)")
-
-
 def _pieces(text: str) -> list[str]:
-    """The text cut before each single space that a non-space follows; such a place is always a
-    boundary of the byte-level pre-tokenizer, so ids of the pieces joined are the ids of the text."""
-    if not _WIDE.search(text):
-        if "\0" not in text:
-            return text.replace(" ", "\0 ").split("\0") if text[:1] != " " else text.replace(" ", "\0 ")[1:].split("\0")
-        first, *rest = text.split(" ")
-        return [first] * bool(first) + [" " + p for p in rest]
+    """The text cut before each single space that a visible character follows, and around each lone
+    line feed; these are always boundaries of the byte-level pre-tokenizer, so the ids of the pieces
+    joined are the ids of the text."""
+    feeds = text.count("\n")
+    if "\0" not in text and len(text.split()) == text.count(" ") + feeds + 1:  # lone spaces and line feeds only
+        text = text.replace(" ", "\0 ")
+        return (text.replace("\n", "\0\n\0") if feeds else text).split("\0")
     out, (held, *rest) = [], text.split(" ")
     for p in rest:
         if not p or p[0].isspace():
@@ -290,33 +287,58 @@ def encode_ids(texts: list[str], path: str) -> list[bytes]:
     tk = got["tk"]
     special = got["special"]
     cut = [None if any([s in t for s in special]) else _pieces(t) if t else [] for t in texts]
-    words = _remember(got, {p for ps in cut if ps is not None for p in ps})
-    get = words.__getitem__
-    return [np.array(tk.encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes() if ps is None else b"".join(map(get, ps)) for t, ps in zip(texts, cut, strict=True)]
+    return _looked_up(got, texts, cut)
 
 
-def _remember(got: dict, pieces: set[str]) -> dict[str, bytes]:
-    """The ids of all these pieces, among those remembered; words of the last generation live on
-    only if they are met again, so memory holds 2 * CACHE_WORDS words at most besides one slice's."""
+def _looked_up(got: dict, texts: list[str], cut: list[list[str] | None]) -> list[bytes]:
+    """The ids of the pieces, from those remembered; words of the last generation live on only if
+    they are met again, so memory holds 2 * CACHE_WORDS words at most besides one slice's."""
+    tk = got["tk"]
     if len(got["words"]) > CACHE_WORDS:
         got["old"], got["words"] = got["words"], {}
-    words, old, tk = got["words"], got["old"], got["tk"]
-    todo: list[str] = []
-    for p in pieces - words.keys():
+    words, old = got["words"], got["old"]
+    found = [None if ps is None else [*map(words.get, ps)] for ps in cut]
+    gaps = [i for i, v in enumerate(found) if v is not None and None in v]
+    new = {p for i in gaps for p, v in zip(cut[i], found[i], strict=True) if v is None}
+    todo: set[str] = set()
+    ended: list[str] = []
+    for p in new:
         if (ids := old.get(p)) is not None:
             words[p] = ids
-        elif p[0] == " ":
-            todo.append(p)
-        else:  # the beginning of a text
-            words[p] = np.array(tk.encode(p, add_special_tokens=False).ids, dtype="<u2").tobytes()
+        elif p[-1] in ".," and len(p) > 2 and p[-2].isalpha():
+            ended.append(p)  # a word and a mark, which the pre-tokenizer parts
+            if p[:-1] not in words:
+                todo.add(p[:-1])
+        else:
+            todo.add(p)
+    if ended:
+        todo.update(m for m in ".," if m not in words)
+    _encode_joined(got, [p for p in todo if p[0] == " "], "")
+    # what begins a line: with a line feed between, which is a token of its own
+    plain = [p for p in todo if p[0] != " "]
+    simple = [p for p in plain if not (p[0].isspace() or p[-1].isspace())]
+    _encode_joined(got, simple, "\n")
+    for p in set(plain) - set(simple):
+        words[p] = np.array(tk.encode(p, add_special_tokens=False).ids, dtype="<u2").tobytes()
+    for p in ended:
+        words[p] = words[p[:-1]] + words[p[-1]]
+    for i in gaps:
+        found[i] = [words[p] if v is None else v for p, v in zip(cut[i], found[i], strict=True)]
+    return [np.array(tk.encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes() if v is None else b"".join(v) for t, v in zip(texts, found, strict=True)]
+
+
+def _encode_joined(got: dict, todo: list[str], between: str) -> None:
+    """Ids of pieces that were encoded in one text, parted by the bytes that each token stands for."""
+    words, size = got["words"], got["size"]
+    gap = len(between)
     for k in range(0, len(todo), 2048):
         part = todo[k : k + 2048]
-        ids = np.array(tk.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u2")
-        ends = np.cumsum(np.fromiter((len(p.encode()) for p in part), dtype=np.int64, count=len(part)))
-        stop = (np.searchsorted(np.cumsum(got["size"][ids]), ends, "right") * 2).tolist()
+        ids = np.array(got["tk"].encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, dtype="<u2")
+        ends = np.cumsum(np.fromiter((len(p.encode()) + gap for p in part), dtype=np.int64, count=len(part)))
+        stop = np.searchsorted(np.cumsum(size[ids]), ends, "right").tolist()
+        stop[-1] = len(ids) + gap
         raw = ids.tobytes()
         at = 0
         for p, e in zip(part, stop, strict=True):
-            words[p] = raw[at:e]
+            words[p] = raw[2 * at : 2 * (e - gap)]
             at = e
-    return words

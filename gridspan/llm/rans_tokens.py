@@ -151,10 +151,10 @@ def tokenized(docs: DataFrame) -> DataFrame:
     path, end = tokenizer_path(), np.array([END_ID], dtype="<u2").tobytes()
 
     def run(part, texts):
-        ids = [raw + end for raw in encode_ids([t.decode("utf-8", "replace") for t in texts], path)]
+        ids = [raw + end for raw in encode_ids(texts, path)]
         return pa.RecordBatch.from_arrays([column(part, "doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return map_texts(docs.select("doc_id", "text"), run, "doc_id long, ids binary")
+    return map_texts(docs.select("doc_id", "text"), run, "doc_id long, ids binary", as_str=True)
 
 
 def count_ids(table: DataFrame) -> np.ndarray:
