@@ -18,6 +18,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,7 +121,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = S
         if not as_str and (pa.types.is_string(col.type) or pa.types.is_large_string(col.type)):
             col = col.cast(pa.large_binary())
         n, empty = len(col), "" if as_str else b""
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
         ends = np.cumsum(sizes)
         at = 0
         while at < n:

@@ -158,13 +158,14 @@ def tokenized(docs: DataFrame) -> DataFrame:
 
 
 def count_ids(table: DataFrame) -> np.ndarray:
-    """Occurrences of every id over all rows: partial counts by task, then by id."""
+    """Occurrences of every id over all rows (no null ids): partial counts by task, then by id."""
 
     def run(batches):
         counts = np.zeros(1 << 16, dtype=np.int64)
         for b in batches:
-            for raw in column(b, "ids"):
-                counts += np.bincount(np.frombuffer(raw.as_buffer(), dtype="<u2"), minlength=1 << 16)
+            col = column(b, "ids")  # its values lie in one buffer
+            ends = np.frombuffer(col.buffers()[1], dtype=np.int32 if pa.types.is_binary(col.type) else np.int64)[col.offset : col.offset + len(col) + 1]
+            counts += np.bincount(np.frombuffer(col.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view("<u2"), minlength=1 << 16)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["id", "n"])
 
@@ -186,24 +187,12 @@ def write_binary(docs: DataFrame, path: str, block_ids: int = BLOCK_IDS, per_buc
     ship(spark)
     if docs.filter("doc_id IS NULL").limit(1).count():
         raise ValueError("a row without doc_id has no place in the order")
-    cuts, bucket = range_buckets(docs.select("doc_id"), "doc_id", per_bucket)
-    dealt = tokenized(docs).withColumn("bucket", bucket.cast("int")).repartitionById(len(cuts) + 1, F.col("bucket"))
-
-    def positions(batches):
-        """Adds each document's first position in its range, so that the table may be read in any split."""
-        now, at = None, 0
-        for b in batches:
-            bucket = np.asarray(column(b, "bucket"))
-            size = np.asarray(pa.compute.binary_length(column(b, "ids")), dtype=np.int64) // 2
-            sums = np.cumsum(size) - size
-            head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            base = np.repeat(sums[head], np.diff(np.append(head, len(bucket))))
-            pos = sums - base + np.where(bucket == now, at, 0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pos)], [*b.schema.names, "pos"])
-            now, at = bucket[-1], int(pos[-1] + size[-1])
-
-    ordered = dealt.sortWithinPartitions("bucket", "doc_id", "ids").mapInArrow(positions, "doc_id long, ids binary, bucket int, pos long")
-    ids = stage_table(ordered, "token-ids")
+    _, bucket = range_buckets(docs.select("doc_id"), "doc_id", per_bucket)
+    dealt = tokenized(docs).withColumn("bucket", bucket.cast("int"))
+    # each document's first position in its range goes along, so that the table may be read in any split
+    ahead_of = Window.partitionBy("bucket").orderBy("doc_id", "ids").rowsBetween(Window.unboundedPreceding, -1)
+    placed = F.coalesce(F.sum((F.octet_length("ids") / 2).cast("long")).over(ahead_of), F.lit(0).cast("long"))
+    ids = stage_table(dealt.select("doc_id", "ids", "bucket", placed.alias("pos")), "token-ids", "lz4")
     table = Table(count_ids(ids))
     sizes = ids.groupBy("bucket").agg(F.sum(F.octet_length("ids") / 2).cast("long").alias("n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
