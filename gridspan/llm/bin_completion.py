@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspan.llm.common import END_ID, column, encode_ids, map_texts, stage_table, tokenizer_path
+from gridspan.llm.common import TOKEN_SLICE, column, encode_ids, map_texts, stage_table, tokenizer_path
 
 CAPACITY = 1024
 #: Branches looked at for one filling before the incumbent is taken.
@@ -140,10 +140,11 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     def run(part, texts):
         doc, row, piece, start, size, crc = [], [], [], [], [], []
-        for doc_id, raw in zip(column(part, "doc_id").to_pylist(), encode_ids(texts, path), strict=True):
-            ids = np.append(np.frombuffer(raw, dtype="<u2"), END_ID).astype("<u4")
-            n = len(ids)
-            whole = zlib.crc32(ids.tobytes())
+        ids, at = encode_ids(texts, path, end=True)
+        raw = memoryview(ids.astype("<u4")).cast("B")
+        for doc_id, s, e in zip(column(part, "doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+            n = e - s
+            whole = zlib.crc32(raw[4 * s : 4 * e])
             cuts = [0, *range(n % capacity or capacity, n, capacity), n] if n > capacity else [0, n]
             for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 doc.append(doc_id)
@@ -151,10 +152,10 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 piece.append(k)
                 start.append(a)
                 size.append(b - a)
-                crc.append(zlib.crc32(ids[a:b].tobytes()) if n > capacity else whole)
+                crc.append(zlib.crc32(raw[4 * (s + a) : 4 * (s + b)]) if n > capacity else whole)
         return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "row", "piece", "start", "length", "ids_crc32"])
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, row long, piece int, start long, length long, ids_crc32 long", as_str=True)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, row long, piece int, start long, length long, ids_crc32 long", limit=TOKEN_SLICE)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, per_bucket: int = 20_000) -> DataFrame:

@@ -4,17 +4,14 @@
   ``spark.checkpoint.dir`` and reads it back, so a lost executor costs a re-read, not a recompute.
 * ``TextBlock`` holds a bounded slice of documents as one byte buffer and finds words, lines and
   64-bit hashes of any byte span with a few NumPy passes instead of a Python loop per word.
-* ``encode_ids`` gives token ids by the ``tokenizers`` library, remembering words it has seen.
+* ``WordTable`` gives token ids by the ``tokenizers`` library, remembering words it has seen.
 """
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridspan.session import ship  # noqa: F401
+
 #: Bytes of text handled at once inside a Python worker (a longer document is a slice of its own).
 SLICE_BYTES = 1 << 20
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,21 +29,6 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 # --- tables ----------------------------------------------------------------------------------------
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once for each context, unless it came from a zip that
-    ``spark-submit --py-files`` has sent already."""
-    sc = spark.sparkContext
-    top = Path(__file__).resolve().parent.parent
-    if getattr(sc, "_gridspan_shipped", False) or not top.is_dir():
-        return
-    out = Path(tempfile.mkdtemp(prefix="gridspan-")) / "gridspan_code.zip"
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent).as_posix())
-    sc.addPyFile(str(out))
-    sc._gridspan_shipped = True
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -111,34 +95,33 @@ def range_buckets(df: DataFrame, column: str, per_bucket: int, row_weight: Colum
     return cuts, F.coalesce(F.size(F.filter(found, lambda x: x <= c)), F.lit(0))
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES, as_str: bool = False) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of the batches with about ``limit`` bytes of text, and the texts as UTF-8 or, with
-    ``as_str``, as strings (null: empty)."""
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with about ``limit`` bytes of text, and the texts as UTF-8 (null: empty)."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
         if isinstance(col, pa.ChunkedArray):
             col = col.combine_chunks()
-        if not as_str and (pa.types.is_string(col.type) or pa.types.is_large_string(col.type)):
+        if pa.types.is_string(col.type) or pa.types.is_large_string(col.type):
             col = col.cast(pa.large_binary())
-        n, empty = len(col), "" if as_str else b""
+        n = len(col)
         sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
         ends = np.cumsum(sizes)
         at = 0
         while at < n:
             base = ends[at - 1] if at else 0
             stop = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
-            stop = min(stop, n, at + 4096)
-            yield batch.slice(at, stop - at), [x or empty for x in col.slice(at, stop - at).to_pylist()]
+            stop = min(stop, n, at + 8192)
+            yield batch.slice(at, stop - at), [x or b"" for x in col.slice(at, stop - at).to_pylist()]
             at = stop
 
 
-def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, list], pa.RecordBatch | None], schema: str, text: str = "text", as_str: bool = False) -> DataFrame:
+def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch | None], schema: str, text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` over bounded slices: fn(slice, texts) -> RecordBatch of ``schema``."""
 
     ship(df.sparkSession)
 
     def run(batches):
-        for part, texts in slices(batches, text, as_str=as_str):
+        for part, texts in slices(batches, text, limit):
             out = fn(part, texts)
             if out is not None and out.num_rows:
                 yield out
@@ -230,10 +213,11 @@ class TextBlock:
 
 #: The end id that the packing and binary operators append to each document.
 END_ID = 2
-_CACHE: dict[str, dict] = {}
-#: Words of a generation that a Python worker remembers (about 170 bytes each).
-CACHE_WORDS = 500_000
-
+_TABLES: dict[str, WordTable] = {}
+#: Words that a Python worker remembers: about 50 bytes each, with their place in the hash table.
+TABLE_WORDS = 1 << 20
+#: Bytes of text that are tokenized at once.
+TOKEN_SLICE = 3 << 19
 
 def tokenizer_path() -> str:
     import public_tokenizers
@@ -241,105 +225,227 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _tokenizer(path: str):
-    import os
+class WordTable:
+    """Ids of words, by the ``tokenizers`` library, remembered in an open-addressing table of NumPy arrays.
+
+    A text is cut where the byte-level pre-tokenizer always cuts: before a single space that a visible
+    character follows, around a lone line feed, and between an ASCII letter and a comma or full stop.
+    So the ids of the pieces joined are those of ``Tokenizer.encode(text, add_special_tokens=False)``.
+    Pieces are known by two 64-bit hashes of their bytes. Only a piece not met before goes to the
+    library, many at once in one text, whose ids are parted by the bytes that each token stands for.
+    A full table is emptied, so memory is bounded.
+    """
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+    def __init__(self, path: str):
+        import os
 
-    got = _CACHE.get(path)
-    if got is None:
-        tk = Tokenizer.from_file(path)
-        special = [t.content for t in tk.get_added_tokens_decoder().values()]
-        vocab = tk.get_vocab(with_added_tokens=True)
-        size = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tk = Tokenizer.from_file(path)
+        self.special = [t.content.encode() for t in self.tk.get_added_tokens_decoder().values()]
+        vocab = self.tk.get_vocab(with_added_tokens=True)
+        if max(vocab.values()) >= 1 << 16:
+            raise ValueError("ids are held in 16 bits")
+        self.size = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, i in vocab.items():
-            size[i] = len(token)  # of a byte-level token: one character stands for one byte
-        got = _CACHE[path] = {"tk": tk, "special": special, "size": size, "words": {}, "old": {}}
-    return got
-
-
-def _pieces(text: str) -> list[str]:
-    """The text cut before each single space that a visible character follows, and around each lone
-    line feed; these are always boundaries of the byte-level pre-tokenizer, so the ids of the pieces
-    joined are the ids of the text."""
-    feeds = text.count("\n")
-    if "\0" not in text and len(text.split()) == text.count(" ") + feeds + 1:  # lone spaces and line feeds only
-        text = text.replace(" ", "\0 ")
-        return (text.replace("\n", "\0\n\0") if feeds else text).split("\0")
-    out, (held, *rest) = [], text.split(" ")
-    for p in rest:
-        if not p or p[0].isspace():
-            held += " " + p
-        else:
-            if held:
-                out.append(held)
-            held = " " + p
-    return out + [held] * bool(held)
-
-
-def encode_ids(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 16-bit integers (the vocabulary is below 65,536).
-
-    Equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``: pieces are encoded by that
-    library once and remembered; a text that holds a special token's string is encoded whole.
-    """
-    got = _tokenizer(path)
-    tk = got["tk"]
-    special = got["special"]
-    cut = [None if any([s in t for s in special]) else _pieces(t) if t else [] for t in texts]
-    return _looked_up(got, texts, cut)
-
-
-def _looked_up(got: dict, texts: list[str], cut: list[list[str] | None]) -> list[bytes]:
-    """The ids of the pieces, from those remembered; words of the last generation live on only if
-    they are met again, so memory holds 2 * CACHE_WORDS words at most besides one slice's."""
-    tk = got["tk"]
-    if len(got["words"]) > CACHE_WORDS:
-        got["old"], got["words"] = got["words"], {}
-    words, old = got["words"], got["old"]
-    found = [None if ps is None else [*map(words.get, ps)] for ps in cut]
-    gaps = [i for i, v in enumerate(found) if v is not None and None in v]
-    new = {p for i in gaps for p, v in zip(cut[i], found[i], strict=True) if v is None}
-    todo: set[str] = set()
-    ended: list[str] = []
-    for p in new:
-        if (ids := old.get(p)) is not None:
-            words[p] = ids
-        elif p[-1] in ".," and len(p) > 2 and p[-2].isalpha():
-            ended.append(p)  # a word and a mark, which the pre-tokenizer parts
-            if p[:-1] not in words:
-                todo.add(p[:-1])
-        else:
-            todo.add(p)
-    if ended:
-        todo.update(m for m in ".," if m not in words)
-    _encode_joined(got, [p for p in todo if p[0] == " "], "")
-    # what begins a line: with a line feed between, which is a token of its own
-    plain = [p for p in todo if p[0] != " "]
-    simple = [p for p in plain if not (p[0].isspace() or p[-1].isspace())]
-    _encode_joined(got, simple, "\n")
-    for p in set(plain) - set(simple):
-        words[p] = np.array(tk.encode(p, add_special_tokens=False).ids, dtype="<u2").tobytes()
-    for p in ended:
-        words[p] = words[p[:-1]] + words[p[-1]]
-    for i in gaps:
-        found[i] = [words[p] if v is None else v for p, v in zip(cut[i], found[i], strict=True)]
-    return [np.array(tk.encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes() if v is None else b"".join(v) for t, v in zip(texts, found, strict=True)]
-
-
-def _encode_joined(got: dict, todo: list[str], between: str) -> None:
-    """Ids of pieces that were encoded in one text, parted by the bytes that each token stands for."""
-    words, size = got["words"], got["size"]
-    gap = len(between)
-    for k in range(0, len(todo), 2048):
-        part = todo[k : k + 2048]
-        ids = np.array(got["tk"].encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, dtype="<u2")
-        ends = np.cumsum(np.fromiter((len(p.encode()) + gap for p in part), dtype=np.int64, count=len(part)))
-        stop = np.searchsorted(np.cumsum(size[ids]), ends, "right").tolist()
-        stop[-1] = len(ids) + gap
-        raw = ids.tobytes()
-        at = 0
-        for p, e in zip(part, stop, strict=True):
-            words[p] = raw[2 * at : 2 * (e - gap)]
-            at = e
+            self.size[i] = len(token)  # of a byte-level token: one character stands for one byte
+        self.slots = 2 * TABLE_WORDS
+        self.clear()
+
+    @classmethod
+    def at(cls, path: str) -> WordTable:
+        if path not in _TABLES:
+            _TABLES[path] = cls(path)
+        return _TABLES[path]
+
+    def clear(self) -> None:
+        self.key = np.zeros(self.slots, dtype=np.uint64)
+        self.entry = np.zeros(self.slots, dtype=np.int32)
+        self.n = 1  # entry 0 is the end id
+        self.check = np.zeros(1024, dtype=np.uint64)
+        self.start = np.zeros(1024, dtype=np.int64)
+        self.count = np.ones(1024, dtype=np.int64)
+        self.pool = np.full(4096, END_ID, dtype=np.uint16)
+        self.used = 1
+
+    def encode(self, texts: list[bytes], end: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (uint16), and the first id's place of each text and of the end. ``end``:
+        END_ID after each text."""
+        raw = b"".join(texts)
+        odd: dict[int, bytes] = {}
+        if any(s in raw for s in self.special):  # a text that holds a special token's string goes whole
+            odd = {i: t for i, t in enumerate(texts) if any(s in t for s in self.special)}
+            texts = [b"" if i in odd else t for i, t in enumerate(texts)]
+            raw = b"".join(texts)
+        size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        stop = np.cumsum(size)
+        first = _piece_starts(raw, stop - size, size)
+        entries = self._entries(raw, first, np.diff(np.append(first, len(raw))))
+        doc = np.searchsorted(stop, first, "right")
+        if end:
+            entries = np.concatenate((entries, np.zeros(len(texts), dtype=np.int64)))
+            doc = np.concatenate((doc, np.arange(len(texts))))
+            order = np.argsort(doc, kind="stable")
+            entries, doc = entries[order], doc[order]
+        count = self.count[entries]
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if len(ends) else 0
+        place = np.arange(total) + np.repeat(self.start[entries] - (ends - count), count)
+        ids = self.pool[place]
+        per = np.bincount(doc, weights=count, minlength=len(texts)).astype(np.int64)
+        at = np.concatenate(([0], np.cumsum(per)))
+        if odd:
+            parts = [ids[at[i] : at[i + 1]] for i in range(len(texts))]
+            for i, t in odd.items():
+                parts[i] = np.concatenate((np.array(self.tk.encode(t.decode(), add_special_tokens=False).ids, dtype=np.uint16), parts[i]))
+            ids, at = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        return ids, at
+
+    def _entries(self, raw: bytes, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        if self.n > TABLE_WORDS or self.n + len(first) > 0.9 * self.slots:
+            self.slots = 2 * max(TABLE_WORDS, 1 << len(first).bit_length())
+            self.clear()
+        h, check = _piece_hashes(raw, first, size)
+        found = self._find(h)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            _, at, back = np.unique(h[new], return_index=True, return_inverse=True)
+            at = new[at]
+            ids = self._add(raw, first[at], size[at], h[at], check[at])
+            found[new] = ids[back]
+        wrong = np.flatnonzero(self.check[found] != check)
+        if len(wrong):  # two pieces with one hash: the second is kept apart
+            for i in wrong.tolist():
+                found[i] = self._add(raw, first[[i]], size[[i]], None, check[[i]])[0]
+        return found
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        mask = np.uint64(self.slots - 1)
+        out = np.full(len(h), -1, dtype=np.int64)
+        rows, at = np.arange(len(h)), (h & mask).astype(np.int64)
+        while len(rows):
+            k = self.key[at]
+            hit = k == h[rows]
+            out[rows[hit]] = self.entry[at[hit]]
+            go = ~hit & (k != 0)
+            rows, at = rows[go], (at[go] + 1) & (self.slots - 1)
+        return out
+
+    def _add(self, raw: bytes, first: np.ndarray, size: np.ndarray, h: np.ndarray | None, check: np.ndarray) -> np.ndarray:
+        """Encode pieces and remember them; their entries."""
+        begin, stop = first.tolist(), (first + size).tolist()
+        pieces = [raw[a:b] for a, b in zip(begin, stop, strict=True)]
+        count = np.zeros(len(pieces), dtype=np.int64)
+        got: list[np.ndarray] = [np.empty(0, np.uint16)] * 0
+        order: list[int] = []
+        space = [i for i, p in enumerate(pieces) if p[:1] == b" "]
+        rest = [i for i, p in enumerate(pieces) if p[:1] != b" "]
+        plain, alone = [], []
+        for i in rest:
+            t = pieces[i].decode()
+            (alone if t[0].isspace() or t[-1].isspace() else plain).append(i)
+        for group, between in ((space, b""), (plain, b"\n")):
+            for k in range(0, len(group), 2048):
+                part = group[k : k + 2048]
+                ids = np.array(self.tk.encode_batch_fast([between.join([pieces[i] for i in part]).decode()], add_special_tokens=False)[0].ids, dtype=np.uint16)
+                ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(size[part] + len(between)), "right")
+                ends[-1] = len(ids) + len(between)
+                count[part] = np.diff(np.append(0, ends)) - len(between)
+                if between:  # the line feeds between are tokens of their own
+                    keep = np.ones(len(ids), dtype=bool)
+                    keep[ends[:-1] - 1] = False
+                    ids = ids[keep]
+                got.append(ids)
+                order += part
+        for i in alone:
+            ids = np.array(self.tk.encode(pieces[i].decode(), add_special_tokens=False).ids, dtype=np.uint16)
+            count[i] = len(ids)
+            got.append(ids)
+            order.append(i)
+        flat = np.concatenate(got) if got else np.empty(0, np.uint16)
+        start = np.zeros(len(pieces), dtype=np.int64)
+        start[order] = self.used + np.cumsum(count[order]) - count[order]
+        self.pool = _grown(self.pool, self.used + len(flat))
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        entry = np.arange(self.n, self.n + len(pieces))
+        for name, values in (("check", check), ("start", start), ("count", count)):
+            held = _grown(getattr(self, name), self.n + len(pieces))
+            held[entry] = values
+            setattr(self, name, held)
+        self.n += len(pieces)
+        if h is not None:
+            rows, at = np.arange(len(h)), (h & np.uint64(self.slots - 1)).astype(np.int64)
+            while len(rows):
+                free = self.key[at] == 0
+                self.key[at[free]] = h[rows[free]]  # of two that meet in a free slot one stays
+                mine = free & (self.key[at] == h[rows])
+                self.entry[at[mine]] = entry[rows[mine]]
+                rows, at = rows[~mine], (at[~mine] + 1) & (self.slots - 1)
+        return entry
+
+
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    if n <= len(a):
+        return a
+    out = np.zeros(max(n, 2 * len(a)), dtype=a.dtype)
+    out[: len(a)] = a
+    return out
+
+
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: A byte that surely begins a visible character: no control, no white space, and not the first byte of
+#: the multi-byte white space characters.
+_VISIBLE = np.ones(256, dtype=bool)
+_VISIBLE[[*range(0x21), 0x7F, *range(0x80, 0xC0), 0xC2, 0xE1, 0xE2, 0xE3]] = False
+
+
+def _piece_starts(raw: bytes, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Where pieces begin; each text with bytes begins one."""
+    buf = np.frombuffer(raw, dtype=np.uint8)
+    n = len(buf)
+    if not n:
+        return np.empty(0, dtype=np.int64)
+    cut = np.zeros(n + 1, dtype=bool)
+    inside = np.ones(n + 1, dtype=bool)  # not the first byte of a text
+    inside[first[size > 0]] = False
+    inside[n] = False
+    nxt = np.flatnonzero(buf[:-1] == 32)
+    cut[nxt[_VISIBLE[buf[nxt + 1]] & inside[nxt + 1]]] = True
+    mark = np.flatnonzero((buf[1:] == 44) | (buf[1:] == 46)) + 1
+    cut[mark[_LETTER[buf[mark - 1]]]] = True
+    feed = np.flatnonzero(buf[1:-1] == 10) + 1
+    seen = (buf[feed - 1] > 32) & (buf[feed - 1] < 127)
+    feed = feed[seen & _VISIBLE[buf[feed + 1]] & inside[feed] & inside[feed + 1]]
+    cut[feed] = True
+    cut[feed + 1] = True
+    cut[first[size > 0]] = True
+    return np.flatnonzero(cut[:n])
+
+
+def _piece_hashes(raw: bytes, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each piece, never 0, by eight bytes at a time."""
+    padded = raw + bytes(8)
+    words = np.ndarray(shape=(len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
+    with np.errstate(over="ignore"):
+        a = mix(size.astype(np.uint64), 31)
+        b = mix(size.astype(np.uint64), 32)
+        rows, at, left = np.arange(len(first)), first, size
+        while len(rows):
+            w = words[at]
+            short = left < 8
+            w = np.where(short, w & ((np.uint64(1) << (np.minimum(left, 7).astype(np.uint64) * np.uint64(8))) - np.uint64(1)), w)
+            x = (a[rows] ^ w) * np.uint64(0xBF58476D1CE4E5B9)
+            a[rows] = x ^ (x >> np.uint64(29))
+            y = (b[rows] + w) * np.uint64(0x94D049BB133111EB)
+            b[rows] = y ^ (y >> np.uint64(32))
+            go = left > 8
+            rows, at, left = rows[go], at[go] + 8, left[go] - 8
+        return mix(a, 33) | np.uint64(1), mix(b, 34)
+
+
+def encode_ids(texts: list[bytes], path: str, end: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Ids (uint16) of UTF-8 texts one after the other, and where each text's begin; see WordTable."""
+    return WordTable.at(path).encode(texts, end)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridspan.llm.common import END_ID, column, encode_ids, map_texts, range_buckets, shared_dir, ship, stage_table, tokenizer_path
+from gridspan.llm.common import TOKEN_SLICE, column, encode_ids, map_texts, range_buckets, shared_dir, ship, stage_table, tokenizer_path
 
 SCALE = 18
 LANES = 1024
@@ -148,13 +148,14 @@ def decode_block(block: bytes, table: Table) -> tuple[dict, np.ndarray]:
 
 def tokenized(docs: DataFrame) -> DataFrame:
     """(doc_id, ids): ids with the end id, as little-endian unsigned 16-bit integers."""
-    path, end = tokenizer_path(), np.array([END_ID], dtype="<u2").tobytes()
+    path = tokenizer_path()
 
     def run(part, texts):
-        ids = [raw + end for raw in encode_ids(texts, path)]
-        return pa.RecordBatch.from_arrays([column(part, "doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        ids, at = encode_ids(texts, path, end=True)
+        offsets, values = pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(ids.astype("<u2"))
+        return pa.RecordBatch.from_arrays([column(part, "doc_id").cast(pa.int64()), pa.Array.from_buffers(pa.binary(), len(texts), [None, offsets, values])], ["doc_id", "ids"])
 
-    return map_texts(docs.select("doc_id", "text"), run, "doc_id long, ids binary", as_str=True)
+    return map_texts(docs.select("doc_id", "text"), run, "doc_id long, ids binary", limit=TOKEN_SLICE)
 
 
 def count_ids(table: DataFrame) -> np.ndarray:
