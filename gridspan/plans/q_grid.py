@@ -221,7 +221,7 @@ def j10(t: Tables) -> DataFrame:
 
 @query(
     "j11_nearest_fill",
-    f"WITH k AS (SELECT x, z, max(y) AS h FROM voxel WHERE (x * 7 + z * 3) % 11 = 0 GROUP BY 1, 2), t AS (SELECT x, z FROM (SELECT unnest(range(0, {SIDE}, 3)) AS x), (SELECT unnest(range(0, {SIDE}, 3)) AS z)), r AS (SELECT t.x, t.z, h, (t.x - k.x) * (t.x - k.x) + (t.z - k.z) * (t.z - k.z) AS d2, row_number() OVER (PARTITION BY t.x, t.z ORDER BY (t.x - k.x) * (t.x - k.x) + (t.z - k.z) * (t.z - k.z), k.z, k.x) AS rn FROM t, k WHERE k.x BETWEEN t.x - 40 AND t.x + 40 AND k.z BETWEEN t.z - 40 AND t.z + 40) SELECT x, z, h, d2 FROM r WHERE rn = 1",
+    f"WITH k AS (SELECT x, z, max(y) AS h FROM voxel WHERE (x * 7 + z * 3) % 11 = 0 GROUP BY 1, 2), t AS (SELECT x, z FROM (SELECT unnest(range(0, {SIDE}, 3)) AS x), (SELECT unnest(range(0, {SIDE}, 3)) AS z)), r AS (SELECT t.x, t.z, h, (t.x - k.x) * (t.x - k.x) + (t.z - k.z) * (t.z - k.z) AS d2, row_number() OVER (PARTITION BY t.x, t.z ORDER BY (t.x - k.x) * (t.x - k.x) + (t.z - k.z) * (t.z - k.z), k.z, k.x) AS rn FROM t, k) SELECT x, z, h, d2 FROM r WHERE rn = 1",
     ("voxel",),
 )
 def j11(t: Tables) -> DataFrame:

@@ -9,7 +9,7 @@ _TAGS = "tag array<struct<_k string, _v string>>"
 
 
 def _tags() -> F.Column:
-    return F.map_from_entries(F.coalesce(F.transform("tag", lambda t: F.struct(t["_k"], t["_v"])), F.array().cast("array<struct<k string, v string>>")))
+    return F.map_from_entries(F.coalesce(F.transform("tag", lambda t: F.struct(t["_k"].alias("k"), t["_v"].alias("v"))), F.array().cast("array<struct<k string, v string>>")))
 
 
 def read_osm_xml(spark: SparkSession, path: str) -> dict[str, DataFrame]:
