@@ -182,6 +182,9 @@ def _shard_edges(key: np.ndarray, codes: np.ndarray, rep: np.ndarray, query: np.
 
 # --- the forest ----------------------------------------------------------------------------------------
 
+#: Most parts that are split by vantage points.
+MAX_HOT = 100_000
+
 
 def block_plan(n: int, radius: int, shard_rows: int) -> list[list[tuple[int, int]]]:
     """The trees of the forest: of each, the (shift, width) of the blocks it looks at.
@@ -223,10 +226,14 @@ def links(fps: DataFrame, radius: int = 3, shard_rows: int = 4096, n: int | None
     """(a, b): edges that connect exactly the fingerprints linked, directly or by others.
 
     ``fps``: (fp, rep), distinct fp. Parts above ``shard_rows`` are split by vantage points learned
-    from a sample of at most 1,024 of their codes, taken in the order of a hash.
+    from a sample of their codes, taken by a hash: 1,024 of each, fewer where there are over a thousand
+    such parts. Shards grow with n beyond MAX_HOT * shard_rows codes, so that there are never more than
+    MAX_HOT parts to split, and about 2**20 + 64 * MAX_HOT sampled codes on the driver.
     """
     spark = fps.sparkSession
-    trees = block_plan(fps.count() if n is None else n, radius, shard_rows)
+    n = fps.count() if n is None else n
+    trees = block_plan(n, radius, shard_rows)
+    shard_rows = max(shard_rows, len(trees) * n // MAX_HOT)
 
     def part_key(blocks):
         key = F.lit(0).cast("long")
@@ -236,10 +243,11 @@ def links(fps: DataFrame, radius: int = 3, shard_rows: int = 4096, n: int | None
 
     keyed = fps.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(i).alias("tree"), part_key(b).alias("part")) for i, b in enumerate(trees)])).alias("k")).select("fp", "rep", "k.tree", "k.part")
     sizes = keyed.groupBy("tree", "part").agg(F.count(F.lit(1)).alias("rows"))
-    hot = {(r.tree, r.part): r.rows for r in sizes.filter(F.col("rows") > shard_rows).collect()}  # at most trees * n / shard_rows parts
+    hot = {(r.tree, r.part): r.rows for r in sizes.filter(F.col("rows") > shard_rows).collect()}  # at most MAX_HOT parts
     split: dict[tuple[int, int], list] = {}
     if hot:
-        at = F.broadcast(spark.createDataFrame([(t, p, min(1.0, 1024 / c)) for (t, p), c in hot.items()], "tree int, part long, share double"))
+        take = max(64, min(1024, (1 << 20) // len(hot)))
+        at = F.broadcast(spark.createDataFrame([(t, p, min(1.0, take / c)) for (t, p), c in hot.items()], "tree int, part long, share double"))
         drawn = keyed.join(at, ["tree", "part"]).filter(F.pmod(F.xxhash64("fp", F.lit(11)), F.lit(1 << 20)) < F.col("share") * (1 << 20))
         got: dict[tuple[int, int], list[int]] = {}
         for r in drawn.select("tree", "part", "fp").toLocalIterator():
@@ -255,8 +263,12 @@ def links(fps: DataFrame, radius: int = 3, shard_rows: int = 4096, n: int | None
             fp, rep = (np.asarray(column(b, c)) for c in ("fp", "rep"))
             shard = np.zeros(len(fp), dtype=np.int64)
             extra: list[tuple[np.ndarray, int]] = []
-            for (t, p), root in split.items():
-                rows = np.flatnonzero((tree == t) & (part == p))
+            order = np.lexsort((part, tree))
+            cuts = np.flatnonzero((np.diff(tree[order]) != 0) | (np.diff(part[order]) != 0)) + 1
+            for rows in np.split(order, cuts):
+                root = split.get((int(tree[rows[0]]), int(part[rows[0]]))) if len(rows) else None
+                if root is None:
+                    continue
                 stack = [(root, rows, np.zeros(len(rows), dtype=bool), 1)]
                 while stack:
                     node, rows, query, at = stack.pop()
