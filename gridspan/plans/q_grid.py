@@ -430,14 +430,14 @@ def w09(t: Tables) -> DataFrame:
 _K = "greatest({low}, least(504, ceil(coalesce({h}, 0) + 12) - 1))::BIGINT"
 
 
-@query(
-    "w11_c01_composed_voxels",
-    f"""WITH {_TILE}, {_MERGED}, a AS (SELECT *, (w IS NOT NULL AND (h IS NULL OR h <= w + 0.5)) AS water FROM merged WHERE cover), s AS (SELECT *, CASE WHEN water THEN {_K.format(low=1, h="w")} ELSE {_K.format(low=1, h="h")} END AS surf, CASE WHEN rc > 0 THEN rc WHEN water THEN 8 ELSE 1 END AS sc FROM a),
+#: Cells of the composed voxels: those of e with rn = 1.
+ORACLE_COMPOSED_CELLS = f"""{_TILE}, {_MERGED}, a AS (SELECT *, (w IS NOT NULL AND (h IS NULL OR h <= w + 0.5)) AS water FROM merged WHERE cover), s AS (SELECT *, CASE WHEN water THEN {_K.format(low=1, h="w")} ELSE {_K.format(low=1, h="h")} END AS surf, CASE WHEN rc > 0 THEN rc WHEN water THEN 8 ELSE 1 END AS sc FROM a),
     b AS (SELECT *, CASE WHEN bh IS NOT NULL THEN greatest({_K.format(low=1, h="bh")}, surf) END AS t0, CASE WHEN deck IS NOT NULL THEN {_K.format(low=0, h="deck")} END AS dk FROM s), d AS (SELECT *, CASE WHEN t0 IS NOT NULL THEN least(504, greatest(greatest(floor((t0 + 1) / 3.0::DOUBLE + 0.5)::BIGINT * 3, surf + 3) - 1, 1)) END AS top FROM b),
     r AS (SELECT x, z, 0::BIGINT AS y0, surf - 1 AS y1, 1 AS cls, 0 AS prio FROM d UNION ALL SELECT x, z, surf, surf, sc, 1 FROM d UNION ALL SELECT x, z, surf, top, 4, 2 FROM d WHERE top IS NOT NULL UNION ALL SELECT x, z, top, top, 5, 3 FROM d WHERE top IS NOT NULL UNION ALL SELECT x, z, dk, dk, 10, 4 FROM d WHERE dk IS NOT NULL UNION ALL SELECT x, z, 10, 12 + x % 3, 6 + z % 2, 5 FROM merged WHERE (x + z) % 10 = 0),
-    e AS (SELECT x, z, y, cls, row_number() OVER (PARTITION BY x, y, z ORDER BY prio DESC, y0 DESC, y1 DESC, cls DESC) AS rn FROM r, LATERAL (SELECT unnest(range(y0, y1 + 1)) AS y) k)
-    SELECT x, z, count(*) AS cells, sum(cls * (y + 1))::BIGINT AS mixed, max(y) AS top FROM e WHERE rn = 1 GROUP BY 1, 2""",
-)
+    e AS (SELECT x, z, y, cls, row_number() OVER (PARTITION BY x, y, z ORDER BY prio DESC, y0 DESC, y1 DESC, cls DESC) AS rn FROM r, LATERAL (SELECT unnest(range(y0, y1 + 1)) AS y) k)"""
+
+
+@query("w11_c01_composed_voxels", f"WITH {ORACLE_COMPOSED_CELLS} SELECT x, z, count(*) AS cells, sum(cls * (y + 1))::BIGINT AS mixed, max(y) AS top FROM e WHERE rn = 1 GROUP BY 1, 2")
 def w11(t: Tables) -> DataFrame:
     """Layers composed to voxels by precedence (a03, f13, x14), summed by column."""
     m = g.merged_tiles(_tiles(t))
