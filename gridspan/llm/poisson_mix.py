@@ -77,8 +77,9 @@ def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, total: float
     named = lambda c: F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), c))
     table = table.select(named(F.col("_source")).alias("_key"), "_parts", "_cdf")
     drawn = docs.select(*names, named(F.col("source")).alias("_key")).join(table, "_key").withColumn("_id", key)
-    draw = lambda i: F.size(F.filter("_cdf", lambda c: c <= uniform(F.lit(str(seed)), F.col("_id"), i.cast("string"))))
-    count = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda acc, i: acc + draw(i))
+    # the numbers first: an expression within the filter would hash again for every entry of the table
+    numbers = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda i: uniform(F.lit(str(seed)), F.col("_id"), i.cast("string")))
+    count = F.aggregate(numbers, F.lit(0), lambda acc, u: acc + F.size(F.filter("_cdf", lambda c: c <= u)))
     copies = drawn.select(*names, "_id", count.alias("n_copies")).filter("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     shuffled = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"{seed}s"), F.col("_id"), F.col("copy").cast("string")))).drop("_id")
     return shuffled.select(*names, *ADDED).repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -115,7 +115,8 @@ def derive(responses: DataFrame, key: str = "page_id") -> DataFrame:
             for kind, other, mime, block in (("metadata", "conversion", "application/warc-fields", "".join(f + "\r\n" for f in fields)), ("conversion", "metadata", "text/plain; charset=utf-8", text)):
                 raw = block.encode("utf-8", "replace")
                 crc = digest(raw)
-                lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {own[kind]}", *[f"WARC-Refers-To: {rid}"] * bool(rid), f"WARC-Concurrent-To: {own[other]}", *[f"WARC-Target-URI: {_line(uri)}", f"WARC-Refers-To-Target-URI: {_line(uri)}"] * bool(uri), *[f"WARC-Date: {date}", f"WARC-Refers-To-Date: {date}"] * bool(date)]
+                target = _line(uri) if uri else ""
+                lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {own[kind]}", *[f"WARC-Refers-To: {rid}"] * bool(rid), f"WARC-Concurrent-To: {own[other]}", *[f"WARC-Target-URI: {target}", f"WARC-Refers-To-Target-URI: {target}"] * bool(target), *[f"WARC-Date: {date}", f"WARC-Refers-To-Date: {date}"] * bool(date)]
                 lines += [f"WARC-Source-Payload-Digest: {payload_crc}", f"WARC-Block-Digest: {crc}", f"Content-Type: {mime}", f"Content-Length: {len(raw)}"]
                 rows.append((k, kind, own[kind], rid, own[other], uri, date, mime, len(raw), crc, payload_crc, len(links), "\r\n".join(lines), raw.decode()))
         kinds = [column(part, key).type, *[pa.string()] * 7, pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]

@@ -64,4 +64,4 @@ def test_range_buckets(spark, n):
     cuts, bucket = common.range_buckets(d, "k", n)
     rows = d.select("k", bucket.alias("b")).orderBy("k").collect()
     assert [r.b for r in rows] == sorted(r.b for r in rows)
-    assert len({r.b for r in rows}) == len(cuts) + 1
+    assert len(cuts) <= len({r.b for r in rows}) <= len(cuts) + 1

@@ -65,7 +65,7 @@ def test_boilerplate_goes_and_copies_count_once(spark):
     rows += [(200 + i, copy, "h") for i in range(30)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r for r in lf.rule_documents(d, max_docs=5).collect()}
-    assert all(got[i].kept and got[i].removed_words == 17 for i in range(10))
+    assert all(got[i].kept and got[i].removed_words == 18 for i in range(10))
     assert not got[100].kept and all(got[200 + i].kept and not got[200 + i].removed_words for i in range(30))
     stripped = {r.doc_id: r.text for r in lf.strip_lines(d, max_docs=5).collect()}
     assert stripped[3] == rows[3][1].split("\n")[0] and stripped[205] == copy

@@ -24,8 +24,20 @@ def test_plans_use_the_histogram_exactly(seed):
     hist = {rng.randint(1, 1024): rng.randint(1, 400) for _ in range(rng.randint(1, 300))}
     got = b.plan(hist)
     assert fill(got) == hist
-    bound = -(-sum(s * n for s, n in hist.items()) // 1024)
-    assert sum(t for t, _ in got) <= max(bound * 1.03 + 2, sum(n for s, n in hist.items() if s > 512) * 1.03 + 2)
+    assert sum(t for t, _ in got) <= 1.04 * lower_bound(hist) + 2
+
+
+def lower_bound(hist, cap=1024):
+    """Martello and Toth's L2."""
+    least = 0
+    for a in range(0, cap // 2 + 1, 4):
+        alone = sum(n for s, n in hist.items() if s > cap - a)
+        large = [(s, n) for s, n in hist.items() if cap // 2 < s <= cap - a]
+        small = sum(s * n for s, n in hist.items() if a <= s <= cap // 2)
+        bins = sum(n for _, n in large)
+        room = bins * cap - sum(s * n for s, n in large)
+        least = max(least, alone + bins + max(0, -(-(small - room) // cap)))
+    return least
 
 
 def best(sizes, cap):
