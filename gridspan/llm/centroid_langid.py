@@ -25,21 +25,31 @@ from gridspan.llm.common import column, fold, map_texts, ship, slices
 
 BITS = 12
 DIM = 1 << BITS
+#: Bytes of a text whose grams are counted at once.
+PART = 4 << 20
 _SPACE = bytes(b if chr(b).isalpha() or b >= 0x80 else 0x20 for b in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 def gram_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(texts, DIM) counts of hashed 2- and 3-grams, and whether each text has a letter."""
+    """(texts, DIM) counts of hashed 2- and 3-grams, and whether each text has a letter. A text over
+    PART bytes is counted in parts, without the grams across their edges, so memory is bounded."""
     plain = [t.decode("utf-8", "replace").lower() for t in texts]
-    letters = np.array([_LETTER.search(t) is not None for t in plain])
+    letters = np.array([_LETTER.search(t) is not None for t in plain], dtype=bool)
     cleaned = [b" ".join(t.encode().translate(_SPACE).split()) for t in plain]
+    if max(map(len, cleaned), default=0) > PART:
+        pieces = [[c[k : k + PART] for k in range(0, len(c), PART)] or [b""] for c in cleaned]
+        return np.stack([sum(_counts([p])[0] for p in ps) for ps in pieces]), letters
+    return _counts(cleaned), letters
+
+
+def _counts(cleaned: list[bytes]) -> np.ndarray:
     raw = b"\0 " + b" \0 ".join(cleaned) + b" \0\0"
     buf = np.frombuffer(raw, dtype=np.uint8)
     n = len(buf)
     ends = np.flatnonzero(buf == 0)
-    size = np.diff(ends)[: len(texts)]
-    doc = np.repeat(np.arange(len(texts), dtype=np.int64) * DIM, size)
+    size = np.diff(ends)[: len(cleaned)]
+    doc = np.repeat(np.arange(len(cleaned), dtype=np.int64) * DIM, size)
     b = buf[: n - 1].astype(np.uint32)
     two = (b[:-1] << np.uint32(8)) | b[1:]
     with np.errstate(over="ignore"):
@@ -51,11 +61,11 @@ def gram_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             at = at[(at >= 0) & (at < len(h))]
             h[at] = 0
     m = min(len(doc), len(h3))
-    out = np.bincount(doc[:m] + h3[:m], minlength=len(texts) * DIM)[: len(texts) * DIM]
-    out += np.bincount(doc[:m] + h2[:m], minlength=len(texts) * DIM)[: len(texts) * DIM]
-    out = out.reshape(len(texts), DIM)
+    out = np.bincount(doc[:m] + h3[:m], minlength=len(cleaned) * DIM)[: len(cleaned) * DIM]
+    out += np.bincount(doc[:m] + h2[:m], minlength=len(cleaned) * DIM)[: len(cleaned) * DIM]
+    out = out.reshape(len(cleaned), DIM)
     out[:, 0] = 0
-    return out, letters
+    return out
 
 
 @dataclass

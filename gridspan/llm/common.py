@@ -153,6 +153,8 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 _BYTE = mix(np.arange(256, dtype=np.uint64), 7)
 _POWERS: dict[str, np.ndarray] = {}
+#: Bytes whose prefix sums are held at once.
+HASH_STEP = 1 << 21
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,14 +188,29 @@ class TextBlock:
         self.first_word = np.concatenate(([0], np.cumsum(self.n_words)))
 
     def hashes(self, start: np.ndarray, end: np.ndarray, buf: np.ndarray | None = None) -> np.ndarray:
-        """64-bit hashes of the byte spans [start, end): a polynomial by prefix sums, then mixed."""
+        """64-bit hashes of the byte spans [start, end), both rising: a polynomial by prefix sums, then
+        mixed. The sums are made for HASH_STEP bytes at a time, so a very long text needs no more memory
+        than a short one but for its spans."""
         buf = self.buf if buf is None else buf
-        p, inv = _powers(len(buf) + 1)
+        n = len(buf)
+        p, inv = _powers(min(n, HASH_STEP) + 1)
+        low, high, scale = (np.empty(len(start), dtype=np.uint64) for _ in range(3))
+        carry = np.uint64(0)
         with np.errstate(over="ignore"):
-            sums = np.empty(len(buf) + 1, dtype=np.uint64)
-            sums[0] = 0
-            np.cumsum(_BYTE[buf] * p[: len(buf)], out=sums[1:])
-            return mix((sums[end] - sums[start]) * inv[start] ^ mix((end - start).astype(np.uint64), 3))
+            for o in range(0, n + 1, HASH_STEP):
+                part = buf[o : o + HASH_STEP]
+                sums = np.empty(len(part) + 1, dtype=np.uint64)
+                sums[0] = carry
+                up = np.uint64(pow(int(_ODD), o, 1 << 64))
+                np.cumsum(_BYTE[part] * (p[: len(part)] * up if o else p[: len(part)]), out=sums[1:])
+                sums[1:] += carry
+                carry = sums[-1]
+                for at, out in ((start, low), (end, high)):
+                    i, j = np.searchsorted(at, (o, o + HASH_STEP), "left")
+                    out[i:j] = sums[at[i:j] - o]
+                    if out is low:
+                        scale[i:j] = inv[at[i:j] - o] * np.uint64(pow(int(_INV), o, 1 << 64))
+            return mix((high - low) * scale ^ mix((end - start).astype(np.uint64), 3))
 
     def chained(self, word_hash: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Hashes of the word sequences [first, stop), from the words' hashes."""
@@ -202,6 +219,18 @@ class TextBlock:
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(word_hash * p[: len(word_hash)], dtype=np.uint64)))
             return mix((sums[stop] - sums[first]) * inv[first] ^ mix((stop - first).astype(np.uint64), 5))
 
+    @staticmethod
+    def bit_sums(doc: np.ndarray, n: int, wide: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+        """(n, bits): how many of each text's rows of ``wide`` (rows, words of 64 bits) have each bit;
+        ``doc`` rises. A bounded number of rows is spread to bits at once."""
+        out = np.zeros((n, 64 * wide.shape[1]), dtype=np.int64)
+        for lo in range(0, len(doc), step):
+            d = doc[lo : lo + step]
+            bits = np.unpackbits(wide[lo : lo + step].astype(">u8").view(np.uint8).reshape(len(d), -1), axis=1)
+            first = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+            out[d[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        return out
+
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and document of every line (split at line feeds)."""
         end = np.flatnonzero(self.buf == 10)

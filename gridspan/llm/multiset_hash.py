@@ -43,17 +43,11 @@ class Fingerprints:
         stop = np.where(np.append(doc[1:] == doc[:-1], False), np.append(start[1:], 0), b.end[doc]) if len(start) else start
         h = b.hashes(start, stop)
         wide = np.stack([mix(h, 100 + k) for k in range(SIGNS // 64)], axis=1) if len(h) else np.zeros((0, SIGNS // 64), np.uint64)
-        signs = np.zeros((b.n, SIGNS), dtype=np.int64)
         words = np.zeros((b.n, WORDS), dtype=np.uint64)
         n = np.bincount(doc, minlength=b.n)
-        base = np.concatenate(([0], np.cumsum(n)))
+        signs = 2 * b.bit_sums(doc, b.n, wide) - n[:, None]
+        base = np.cumsum(n) - n
         at = np.flatnonzero(n)
-        for k in range(0, len(at), 128):
-            some = at[k : k + 128]
-            lo, hi = base[some[0]], base[some[-1] + 1]
-            bits = np.unpackbits(wide[lo:hi].astype(">u8").view(np.uint8).reshape(hi - lo, -1), axis=1)
-            ones = np.add.reduceat(bits, base[some] - lo, axis=0, dtype=np.int32)
-            signs[some] = 2 * ones.astype(np.int64) - n[some][:, None]
         if len(at):
             for k in range(WORDS):
                 words[at, k] = np.add.reduceat(mix(h, 200 + k), base[at])

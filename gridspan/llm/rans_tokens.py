@@ -7,7 +7,7 @@ each), and share one stream of 32-bit words. So a block is decoded without any o
 its checkpoints (stream position and all lane states, every ``CHECK_STEPS`` steps) without what comes
 before. Checksums: crc32 of the block's bytes, and of the ids.
 
-Block (little-endian): magic ``GRAN``, version u16, lanes u16, documents u32, steps u32, words u32,
+Block (little-endian): magic ``GRAN``, kind u16 (1: named documents, 2: documents without doc_id), lanes u16, documents u32, steps u32, words u32,
 checkpoints u32, ids u64, first id's position u64, crc32 of ids u32, crc32 of the rest of the block u32;
 then doc_id i64 and length u32 for each document, checkpoints (position u32, states u64 * lanes; the
 first one is the start), and the words u32. A file is a table of blocks (``block`` binary) with a part
@@ -84,18 +84,19 @@ def encode_block(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, star
         if t % CHECK_STEPS == 0:
             marks[t] = state.copy()
     sizes = np.cumsum([0, *[len(w) for w in words]])
-    body = [np.asarray(doc_ids, dtype="<i8").tobytes(), np.asarray(lengths, dtype="<u4").tobytes()]
+    kind = 2 if len(doc_ids) and doc_ids[0] is None else 1
+    body = [np.asarray([0] * len(doc_ids) if kind == 2 else doc_ids, dtype="<i8").tobytes(), np.asarray(lengths, dtype="<u4").tobytes()]
     for t in sorted(marks):
         body += [struct.pack("<I", int(sizes[t])), marks[t].astype("<u8").tobytes()]
     body += [w.tobytes() for w in words]
     rest = b"".join(body)
-    return _HEAD.pack(b"GRAN", 1, LANES, len(doc_ids), steps, int(sizes[-1]), len(marks), n, start, zlib.crc32(np.asarray(ids, dtype="<u4").tobytes()), zlib.crc32(rest)) + rest
+    return _HEAD.pack(b"GRAN", kind, LANES, len(doc_ids), steps, int(sizes[-1]), len(marks), n, start, zlib.crc32(np.asarray(ids, dtype="<u4").tobytes()), zlib.crc32(rest)) + rest
 
 
 def block_head(block: bytes) -> dict:
     """Header, doc_ids, lengths and checkpoints; the checksum of the block is tested."""
-    magic, version, lanes, docs, steps, n_words, marks, n, start, ids_crc, crc = _HEAD.unpack_from(block)
-    if magic != b"GRAN" or version != 1:
+    magic, kind, lanes, docs, steps, n_words, marks, n, start, ids_crc, crc = _HEAD.unpack_from(block)
+    if magic != b"GRAN" or kind not in (1, 2):
         raise ValueError("not a block of this format")
     if zlib.crc32(memoryview(block)[_HEAD.size :]) != crc:
         raise ValueError("a block's bytes do not match its checksum")
@@ -108,7 +109,7 @@ def block_head(block: bytes) -> dict:
         points.append((struct.unpack_from("<I", block, at)[0], np.frombuffer(block, "<u8", lanes, at + 4)))
         at += 4 + 8 * lanes
     words = np.frombuffer(block, "<u4", n_words, at)
-    return {"lanes": lanes, "steps": steps, "n": n, "start": start, "ids_crc": ids_crc, "doc_ids": doc_ids, "lengths": lengths, "points": points, "words": words}
+    return {"kind": kind, "lanes": lanes, "steps": steps, "n": n, "start": start, "ids_crc": ids_crc, "doc_ids": doc_ids, "lengths": lengths, "points": points, "words": words}
 
 
 def decode_steps(head: dict, table: Table, point: int) -> np.ndarray:
@@ -181,14 +182,13 @@ def write_binary(docs: DataFrame, path: str, block_ids: int = BLOCK_IDS, per_buc
     written at ``path``/table as well.
 
     Defined results: a null text is empty (the end id alone). Rows that repeat a doc_id stay apart, in
-    the order of their ids' bytes. A null doc_id has no place in the order and is an error. An empty
-    table writes no block. A document longer than a block has a block of its own.
+    the order of their ids' bytes. Rows without doc_id come after all others, in blocks of their own kind,
+    and are read back without one. An empty table writes no block. A document longer than a block has a block of its own.
     """
     spark = docs.sparkSession
     ship(spark)
-    if docs.filter("doc_id IS NULL").limit(1).count():
-        raise ValueError("a row without doc_id has no place in the order")
-    _, bucket = range_buckets(docs.select("doc_id"), "doc_id", per_bucket)
+    cuts, bucket = range_buckets(docs.select("doc_id"), "doc_id", per_bucket)
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(bucket)
     dealt = tokenized(docs).withColumn("bucket", bucket.cast("int"))
     # each document's first position in its range goes along, so that the table may be read in any split
     ahead_of = Window.partitionBy("bucket").orderBy("doc_id", "ids").rowsBetween(Window.unboundedPreceding, -1)
@@ -212,7 +212,7 @@ def write_binary(docs: DataFrame, path: str, block_ids: int = BLOCK_IDS, per_buc
         for b in batches:
             for bucket, pos, doc_id, raw in zip(*(column(b, c).to_pylist() for c in ("bucket", "pos", "doc_id", "ids")), strict=True):
                 at = ahead.value[bucket] + pos
-                if held and (at != after or at + len(raw) // 2 - first > block_ids):
+                if held and (at != after or (doc_id is None) != (held[-1][0] is None) or at + len(raw) // 2 - first > block_ids):
                     yield block()
                     held = []
                 if not held:
@@ -246,7 +246,8 @@ def read_binary(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                 ends = np.cumsum(head["lengths"])
                 starts = ends - head["lengths"]
                 crc = [zlib.crc32(ids[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                cols = [pa.array(head["doc_ids"], pa.int64()), pa.array(starts + head["start"], pa.int64()), pa.array(head["lengths"], pa.int64()), pa.array(crc, pa.int64())]
+                names = pa.nulls(len(starts), pa.int64()) if head["kind"] == 2 else pa.array(head["doc_ids"], pa.int64())
+                cols = [names, pa.array(starts + head["start"], pa.int64()), pa.array(head["lengths"], pa.int64()), pa.array(crc, pa.int64())]
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1:]), pa.int32()), pa.array(ids, pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids])

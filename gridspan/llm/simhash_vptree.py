@@ -59,13 +59,8 @@ def fingerprints_of(texts: list[bytes], shingle: int = 3) -> np.ndarray:
     last = np.minimum(first + shingle, block.first_word[doc + 1]) - 1
     h = xxhash.xxh64_intdigest
     hashes = np.fromiter((h(packed[a:b], 42) for a, b in zip(start[first].tolist(), stop[last].tolist(), strict=True)), dtype=np.uint64, count=len(doc))
-    at = np.flatnonzero(n_sh)
-    for k in range(0, len(at), 256):  # bits of 256 documents at a time
-        some = at[k : k + 256]
-        lo, hi = base[some[0]], base[some[-1]] + n_sh[some[-1]]
-        bits = np.unpackbits(hashes[lo:hi].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, base[some] - lo, axis=0, dtype=np.int64)
-        out[some] = np.packbits(2 * ones > n_sh[some][:, None], axis=1).view(">u8").ravel()
+    ones = block.bit_sums(doc, block.n, hashes[:, None])
+    out[:] = np.packbits(2 * ones > n_sh[:, None], axis=1).view(">u8").ravel()
     return out
 
 

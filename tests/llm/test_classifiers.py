@@ -132,6 +132,14 @@ def test_gram_counts():
     assert (got[3] == got[4]).all() and got[1].sum() <= got[0].sum()
 
 
+def test_long_texts_are_counted_in_parts(monkeypatch):
+    texts = [b"abc def " * 30, b"x", b""]
+    want = centroid_langid.gram_counts(texts)[0]
+    monkeypatch.setattr(centroid_langid, "PART", 64)
+    got, letters = centroid_langid.gram_counts(texts)
+    assert letters.tolist() == [True, True, False] and abs(got.sum() - want.sum()) < 40 and (got[1] == want[1]).all()
+
+
 def test_kmeans_is_deterministic():
     rng = np.random.default_rng(0)
     x = rng.random((60, 8)).astype(np.float32)

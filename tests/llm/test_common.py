@@ -65,3 +65,23 @@ def test_range_buckets(spark, n):
     rows = d.select("k", bucket.alias("b")).orderBy("k").collect()
     assert [r.b for r in rows] == sorted(r.b for r in rows)
     assert len(cuts) <= len({r.b for r in rows}) <= len(cuts) + 1
+
+
+def test_hashes_do_not_depend_on_steps(monkeypatch):
+    texts = [("word%d " % i * 50).encode() for i in range(40)]
+    b = TextBlock(texts)
+    h, lines = b.hashes(b.word_start, b.word_end), b.hashes(b.start, b.end)
+    monkeypatch.setattr(common, "HASH_STEP", 37)
+    assert (b.hashes(b.word_start, b.word_end) == h).all() and (b.hashes(b.start, b.end) == lines).all()
+    assert len(set(h.tolist())) == 40 and len(set(lines.tolist())) == 40
+
+
+def test_bit_sums_do_not_depend_on_steps():
+    rng = np.random.default_rng(0)
+    doc = np.sort(rng.integers(0, 9, 500))
+    wide = rng.integers(0, 2**63, (500, 2), dtype=np.uint64)
+    want = np.zeros((10, 128), dtype=int)
+    for d, row in zip(doc, wide, strict=True):
+        want[d] += [int(row[k // 64]) >> 63 - k % 64 & 1 for k in range(128)]
+    for step in (1, 7, 1000):
+        assert (TextBlock.bit_sums(doc, 10, wide, step) == want).all()

@@ -41,3 +41,11 @@ def test_run(spark, sf):
     out = cp.run(spark, sf)
     assert {"doc_id", "piece", "start", "length", "sequence_id", "offset", "ids_crc32"} <= set(out.columns)
     assert out.count() > 0
+
+
+def test_empty_and_odd_tables(spark, documents, odd_docs, sf):
+    for docs in (documents.limit(0), odd_docs):
+        for i, (_, stage) in enumerate(cp.STAGES):
+            got = stage(spark, docs, sf)
+            assert got.columns == list(DOCUMENT_COLUMNS) or i == 4
+            got.collect()
