@@ -80,6 +80,14 @@ def triangle_cells(tris: DataFrame, order: str, small: int = 10) -> DataFrame:
     return d.groupBy("x", "z").agg(F.max_by(h, painted).alias("h"))
 
 
+def tin_heights(tris: DataFrame, order: str, targets: DataFrame) -> DataFrame:
+    """(x, z, h) of all target cells: on a triangle where one covers the centre, else of the nearest
+    covered cell."""
+    on = triangle_cells(tris, order).join(targets.select("x", "z"), ["x", "z"], "left_semi")
+    off = targets.select("x", "z").join(on.select("x", "z"), ["x", "z"], "left_anti")
+    return on.unionByName(nearest_fill(on, off).select("x", "z", "h"))
+
+
 def plane_fit(points: DataFrame, key: str) -> DataFrame:
     """(key, a, b, c0) of the least-squares plane z = a x + b y + c0; null where points are in a line."""
     g = points.groupBy(key).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg("z").alias("mz"), F.covar_pop("x", "x").alias("xx"), F.covar_pop("x", "y").alias("xy"), F.covar_pop("y", "y").alias("yy"), F.covar_pop("x", "z").alias("xz"), F.covar_pop("y", "z").alias("yz"))

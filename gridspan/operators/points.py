@@ -16,6 +16,13 @@ def every_nth(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataF
     return df.withColumn("_rn", rn).filter((c("_rn") - 1) % n == 0).drop("_rn")
 
 
+def cropped(points: DataFrame, x0: float, y0: float, size: float, pad: float = 4.0) -> DataFrame:
+    """Points of a box with a margin, 16-bit colours (r, g, b) brought to 8 bits."""
+    inside = (c("x") >= x0 - pad) & (c("x") < x0 + size + pad) & (c("y") >= y0 - pad) & (c("y") < y0 + size + pad)
+    rest = [n for n in points.columns if n not in ("r", "g", "b")]
+    return points.filter(inside).select(*rest, *[F.shiftright(c(n).cast("int"), 8).alias(n) for n in ("r", "g", "b")])
+
+
 def cell(points: DataFrame) -> DataFrame:
     return points.withColumn("ix", F.floor("x").cast("long")).withColumn("iz", F.floor("y").cast("long"))
 

@@ -184,6 +184,14 @@ def j08(t: Tables) -> DataFrame:
     return out(g.triangle_cells(_triangles(t), "id"), x="long", z="long", h="round5")
 
 
+@query("g07_tin_heights")
+def g07(t: Tables) -> DataFrame:
+    """A TIN's heights at every cell, the nearest outside it (its parts are compared as j08 and j11)."""
+    side = t.spark.range(0, 100, 2)
+    targets = side.select(c("id").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(99).cast("long"), F.lit(2).cast("long"))).alias("z"))
+    return out(g.tin_heights(_triangles(t), "id", targets), x="long", z="long", h="round5")
+
+
 @query(
     "f10_f12_near_frame_and_decks",
     f"WITH tri AS ({_TRI}) SELECT id, CASE WHEN h0 > h1 + 2.5 THEN 'deck' ELSE 'surface' END AS layer FROM tri WHERE greatest(x0, x1, x2) > 20 AND least(x0, x1, x2) < 90 AND greatest(z0, z1, z2) > 10 AND least(z0, z1, z2) < 60",

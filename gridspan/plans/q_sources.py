@@ -73,3 +73,32 @@ def k01(t: Tables) -> DataFrame:
     from gridspan.operators.grid import class_histogram
 
     return out(class_histogram(t.voxel, []).select(F.concat(F.lit("c"), c("cls").cast("string")).alias("name"), "n"), name="string", n="long")
+
+
+@query("s12_cropped_cloud", "SELECT l_orderkey, l_partkey::DOUBLE AS x, (l_suppkey * 3)::DOUBLE AS y, ((l_orderkey * 7919 % 65536) // 256)::BIGINT AS r, ((l_partkey * 104729 % 65536) // 256)::BIGINT AS g FROM lineitem WHERE l_partkey >= 96 AND l_partkey < 264 AND l_suppkey * 3 >= 16 AND l_suppkey * 3 < 184")
+def s12(t: Tables) -> DataFrame:
+    """Points of a box with its margin, colours brought to eight bits."""
+    from gridspan.operators.points import cropped
+
+    k, p, s = c("l_orderkey"), c("l_partkey"), c("l_suppkey")
+    d = t.lineitem.select(k, p.cast("double").alias("x"), (s * 3).cast("double").alias("y"), (k * 7919 % 65536).alias("r"), (p * 104729 % 65536).alias("g"), F.lit(0).alias("b"))
+    return out(cropped(d, 100, 20, 160), l_orderkey="long", x="double", y="double", r="long", g="long")
+
+
+@query("s20_byte_slices", "SELECT o_orderkey, substr(n_name || '/' || n_name, 1 + (o_orderkey % 5)::INT, 1 + (o_custkey % 4)::INT) AS piece FROM orders JOIN nation ON n_nationkey = o_custkey % 25")
+def s20(t: Tables) -> DataFrame:
+    """Ranges cut out of whole binary files."""
+    from gridspan.operators.codec import slices_of
+
+    shards = t.nation.select(c("n_nationkey").cast("long").alias("shard"), F.concat("n_name", F.lit("/"), "n_name").cast("binary").alias("content"))
+    refs = t.orders.select("o_orderkey", (c("o_custkey") % 25).alias("shard"), (c("o_orderkey") % 5).cast("int").alias("start"), (1 + c("o_custkey") % 4).cast("int").alias("len"))
+    return out(slices_of(shards, refs).select("o_orderkey", c("blob").cast("string").alias("piece")), o_orderkey="long", piece="string")
+
+
+@query("f23_checked_rows", "SELECT count(*) AS n, count(CASE WHEN p_size BETWEEN 1 AND 200 THEN 1 END) AS good FROM part")
+def f23(t: Tables) -> DataFrame:
+    """A boundary check that fails the query on a row outside the rules."""
+    from gridspan.sources.dims import checked
+
+    d = checked(t.part, {"size within 1..200": c("p_size").between(1, 200), "a name": F.length("p_name") > 0})
+    return out(d.agg(F.count(F.lit(1)).alias("n"), F.count_if(c("p_size").between(1, 200)).alias("good")), n="long", good="long")

@@ -33,6 +33,15 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
     return d.groupBy("id", "name").agg(F.min_by(F.struct("pos", "lang"), "pos").alias("f")).select("id", "f.pos", "f.lang", "name")
 
 
+def checked(df: DataFrame, rules: dict[str, F.Column]) -> DataFrame:
+    """``df``, whose every row must meet all rules (a null counts as not met); the first row that does not
+    fails the query with the rule's name. The check rides on the scan: no extra pass."""
+    bad = F.lit(None).cast("string")
+    for name, rule in reversed(rules.items()):
+        bad = F.when(F.coalesce(rule, F.lit(False)), bad).otherwise(F.lit(name))
+    return df.filter(F.when(bad.isNull(), True).otherwise(F.raise_error(F.concat(F.lit("a row breaks the rule: "), bad)).cast("boolean")))
+
+
 def composed_names(df: DataFrame, column: str) -> DataFrame:
     """``column`` in normal form C and trimmed; rows whose name is then empty or null are dropped."""
 

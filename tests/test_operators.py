@@ -307,3 +307,64 @@ def test_empty_inputs(spark):
     assert grid.exposed_faces(empty).count() == 0
     assert codec.column_runs(empty, ["x", "z"]).count() == 0
     assert isinstance(grid.class_histogram(empty, ["x"]).toPandas(), pd.DataFrame)
+
+
+def test_delaunay_circles_are_empty(spark):
+    rng = random.Random(9)
+    pts = [(t, rng.uniform(0, 10), rng.uniform(0, 10), rng.uniform(0, 3)) for t in (1, 2) for _ in range(40)] + [(3, 0.0, 0.0, 1.0), (3, 1.0, 1.0, 1.0)]
+    got = graph.delaunay(spark.createDataFrame(pts, "tile int, x double, z double, h double"), "tile").toPandas()
+    assert set(got.tile) == {1, 2}
+    for t, tris in got.groupby("tile"):
+        own = np.array([p[1:3] for p in pts if p[0] == t])
+        area = 0.0
+        for r in tris.itertuples():
+            a, b, d = np.array([r.x0, r.z0]), np.array([r.x1, r.z1]), np.array([r.x2, r.z2])
+            m = np.linalg.solve(2 * np.array([b - a, d - a]), [b @ b - a @ a, d @ d - a @ a])
+            assert (np.linalg.norm(own - m, axis=1) >= np.linalg.norm(a - m) - 1e-7).all()
+            area += abs((b - a)[0] * (d - a)[1] - (b - a)[1] * (d - a)[0]) / 2
+        assert area == pytest.approx(hull_area(sorted(map(tuple, own))), rel=1e-3)
+
+
+def hull_area(points):
+    def chain(ps):
+        out = []
+        for p in ps:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    ring = chain(points) + chain(points[::-1])
+    return abs(sum(p[0] * q[1] - p[1] * q[0] for p, q in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
+
+
+def test_rings_are_stitched(spark):
+    line = lambda *p: [{"x": float(a), "z": float(b)} for a, b in p]
+    rows = [(1, "outer", 0, line((0, 0), (4, 0))), (1, "outer", 1, line((4, 4), (4, 0))), (1, "outer", 2, line((4, 4), (0, 4), (0, 0))), (1, "outer", 3, line((9, 9), (8, 8))), (1, "inner", 4, line((1, 1), (2, 1), (2, 2), (1, 1)))]
+    got = {(r.role, r.part): len(r.ring) for r in graph.stitched_rings(spark.createDataFrame(rows, "id int, role string, seq int, line array<struct<x:double,z:double>>")).collect()}
+    assert got == {("outer", 0): 5, ("inner", 0): 4}
+
+
+def test_directory_bytes():
+    rng = np.random.default_rng(3)
+    n = rng.integers(0, 900, 400) * (rng.random(400) < 0.7)
+    h = rng.integers(1, 90, 400)
+    at, want = 0, []
+    for i, size in enumerate(n.tolist()):
+        if size:
+            if at % 4096 + size > 4096:
+                at = (at // 4096 + 1) * 4096
+            want.append((i, size, int(h[i]), at))
+            at += size
+    assert codec.read_directory(codec.directory_bytes(n, h), 4096) == want
+    with pytest.raises(ValueError):
+        codec.directory_bytes(np.array([70000]), np.array([1]))
+
+
+def test_checked_rows(spark):
+    from gridspan.sources.dims import checked
+
+    d = spark.createDataFrame([(1,), (None,)], "a int")
+    assert checked(d.filter("a = 1"), {"positive": c("a") > 0}).count() == 1
+    with pytest.raises(Exception, match="positive"):
+        checked(d, {"positive": c("a") > 0}).collect()
