@@ -112,29 +112,29 @@ def _morton(x: str, z: str) -> str:
     return f"(({_SPREAD.format(v=x)}) | (({_SPREAD.format(v=z)}) << 1))"
 
 
-_SLOT = f"""slot AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN level >= 5 THEN 0 ELSE 1 END, CASE WHEN level >= 5 THEN 0 ELSE {_morton("(cx >> (4 - level)::INT)", "(cz >> (4 - level)::INT)")} END, -level, CASE WHEN level >= 5 THEN {_morton("cx", "cz")} ELSE {_morton("(cx - ((cx >> (4 - level)::INT) << (4 - level)::INT))", "(cz - ((cz >> (4 - level)::INT) << (4 - level)::INT))")} END) - 1 AS slot
-    FROM (SELECT level, cx, cz, len FROM directory WHERE level < 5) UNION ALL SELECT 0,0,0,0,0 WHERE false)""".replace(" UNION ALL SELECT 0,0,0,0,0 WHERE false", "")
+_SLOT = f"""slot AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN level >= 5 THEN 0 ELSE 1 END, CASE WHEN level >= 5 THEN 0 ELSE {_morton("(cx >> greatest(4 - level, 0)::INT)", "(cz >> greatest(4 - level, 0)::INT)")} END, -level, CASE WHEN level >= 5 THEN {_morton("cx", "cz")} ELSE {_morton("(cx - ((cx >> greatest(4 - level, 0)::INT) << greatest(4 - level, 0)::INT))", "(cz - ((cz >> greatest(4 - level, 0)::INT) << greatest(4 - level, 0)::INT))")} END) - 1 AS slot
+    FROM directory)"""
 
 
-def _slots(t: Tables, where: str) -> DataFrame:
-    d = t.directory.filter(where)
+def _slots(t: Tables) -> DataFrame:
+    d = t.directory
     w = Window.orderBy(codec.slot_key(c("level"), c("cx"), c("cz")))
     return d.withColumn("slot", F.row_number().over(w) - 1)
 
 
-@query("o02_slot_order", f"WITH {_SLOT} SELECT slot, level, cx, cz FROM slot WHERE level >= 2".replace("WHERE level < 5)", "WHERE level BETWEEN 2 AND 4)"), ("chunk", "directory"))
+@query("o02_slot_order", f"WITH {_SLOT} SELECT slot, level, cx, cz FROM slot", ("chunk", "directory"))
 def o02(t: Tables) -> DataFrame:
     """Chunks along the file: supertiles on a Morton curve, coarse to fine in each."""
-    return out(_slots(t, "level BETWEEN 2 AND 4"), slot="long", level="long", cx="long", cz="long")
+    return out(_slots(t), slot="long", level="long", cx="long", cz="long")
 
 
 @query(
     "w04_k05_shard_offsets",
-    f"""WITH RECURSIVE {_SLOT.replace("WHERE level < 5)", "WHERE level BETWEEN 2 AND 4)")}, walk AS (SELECT slot, len, 0::BIGINT AS off FROM slot WHERE slot = 0 UNION ALL SELECT s.slot, s.len, CASE WHEN (w.off + w.len) % 65536 + s.len > 65536 THEN ((w.off + w.len) // 65536 + 1) * 65536 ELSE w.off + w.len END FROM walk w JOIN slot s ON s.slot = w.slot + 1)
+    f"""WITH RECURSIVE {_SLOT}, walk AS (SELECT slot, len, 0::BIGINT AS off FROM slot WHERE slot = 0 UNION ALL SELECT s.slot, s.len, CASE WHEN (w.off + w.len) % 65536 + s.len > 65536 THEN ((w.off + w.len) // 65536 + 1) * 65536 ELSE w.off + w.len END FROM walk w JOIN slot s ON s.slot = w.slot + 1)
     SELECT slot, len, off AS "offset", off // 65536 AS shard FROM walk""",
     ("chunk", "directory"),
 )
 def w04(t: Tables) -> DataFrame:
     """Positions of blobs; one that would straddle a shard's end begins the next (s19)."""
-    d = codec.with_offsets(_slots(t, "level BETWEEN 2 AND 4").select("slot", "len"), "slot", "len", 65536)
+    d = codec.with_offsets(_slots(t).select("slot", "len"), "slot", "len", 65536)
     return out(d.withColumn("shard", F.floor(c("offset") / 65536)), slot="long", len="long", offset="long", shard="long")

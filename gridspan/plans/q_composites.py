@@ -34,7 +34,7 @@ def k05(t: Tables) -> DataFrame:
 
     tiles = q_grid._tiles(t)
     m = grid.merged_tiles(tiles)
-    spans = m.filter("(x + z) % 10 = 0").select("x", "z", F.lit(10).alias("y0"), (12 + c("x") % 3).alias("y1"), (6 + c("z") % 2).alias("cls"))
+    spans = m.filter("bh IS NULL").select("x", "z", F.lit(10).alias("y0"), (12 + c("x") % 3).alias("y1"), (6 + c("z") % 2).alias("cls"))
     path = _shared(t)
     composites.build_map(tiles, spans, path, levels=2)
     cells = composites.open_chunks(t.spark, path).filter("level = 0")
@@ -58,7 +58,7 @@ def u04(t: Tables) -> DataFrame:
 
 @query(
     "rivers_ranked",
-    """WITH r AS (SELECT p_partkey AS row, p_name AS name, (p_size * 100)::BIGINT AS km, 'T' || (p_partkey % 700) AS title FROM part WHERE p_partkey % 2 = 0), q AS (SELECT *, CASE WHEN p_k < 500 THEN 'Q' || p_k END AS qid FROM (SELECT *, CASE WHEN substr(title, 2)::INT % 5 = 0 THEN substr(title, 2)::INT + 1 ELSE substr(title, 2)::INT END AS p_k FROM r)),
+    """WITH r AS (SELECT p_partkey AS row, p_name AS name, (p_size * 100)::BIGINT AS km, 'T' || (p_partkey % 700) AS title FROM part), q AS (SELECT *, CASE WHEN p_k < 500 THEN 'Q' || p_k END AS qid FROM (SELECT *, CASE WHEN substr(title, 2)::INT % 5 = 0 THEN substr(title, 2)::INT + 1 ELSE substr(title, 2)::INT END AS p_k FROM r)),
     more AS (SELECT 'Q' || (s_suppkey * 9) AS qid, s_name AS name, 900.0 + s_suppkey AS len FROM supplier), t AS (SELECT * FROM more WHERE qid NOT IN (SELECT qid FROM q WHERE qid IS NOT NULL) ORDER BY len DESC, qid LIMIT 20),
     a AS (SELECT row, name, km, coalesce(qid, '') AS qids FROM q UNION ALL SELECT 1099511627776 + row_number() OVER (ORDER BY len DESC, qid), name, round_even(len, 0)::BIGINT, qid FROM t)
     SELECT row_number() OVER (ORDER BY km DESC, row) AS rank, name, km AS length_km, qids FROM a QUALIFY rank <= 300""",
@@ -66,7 +66,7 @@ def u04(t: Tables) -> DataFrame:
 def rivers_ranked(t: Tables) -> DataFrame:
     """Titles resolved through redirects, topped up by the longest that are new, sorted and ranked."""
     k = c("p_partkey")
-    rows = t.part.filter(k % 2 == 0).select(k.alias("row"), c("p_name").alias("name"), (c("p_size") * 100).cast("long").alias("length_km"), F.array(F.concat(F.lit("T"), (k % 700).cast("string"))).alias("titles"))
+    rows = t.part.select(k.alias("row"), c("p_name").alias("name"), (c("p_size") * 100).cast("long").alias("length_km"), F.array(F.concat(F.lit("T"), (k % 700).cast("string"))).alias("titles"))
     n = t.spark.range(701)
     title = lambda v: F.concat(F.lit("T"), v.cast("string"))
     aliases = n.filter("id % 5 = 0").select(title(c("id")).alias("source"), title(c("id") + 1).alias("target"))
@@ -80,14 +80,14 @@ def rivers_ranked(t: Tables) -> DataFrame:
 def t02(t: Tables) -> DataFrame:
     """All that camera paths will want: 41 samples each, selected, with ancestors, by urgency."""
     k = c("s_suppkey")
-    f = t.supplier.filter(k <= 12).select(k.alias("flight"), (k * 397 % 6000).cast("double").alias("x0"), (k * 211 % 5000).cast("double").alias("z0"), F.lit(0.3).alias("zoom0"), (k * 719 % 6000).cast("double").alias("x1"), (k * 577 % 5000).cast("double").alias("z1"), F.lit(0.5).alias("zoom1"))
+    f = t.supplier.select(k.alias("flight"), (k * 397 % 6000).cast("double").alias("x0"), (k * 211 % 5000).cast("double").alias("z0"), F.lit(0.3).alias("zoom0"), (k * 719 % 6000).cast("double").alias("x1"), (k * 577 % 5000).cast("double").alias("z1"), F.lit(0.5).alias("zoom1"))
     return out(composites.flight_demand(f, t.directory), flight="long", level="long", cx="long", cz="long", score="round3")
 
 
 @query("lidar_voxels")
 def lidar(t: Tables) -> DataFrame:
     """An aerial cloud and masks to voxels (tested on a made scene)."""
-    m = t.point.select(F.floor("x").alias("x"), F.floor("y").alias("z")).distinct().filter("x < 60 AND z < 60")
+    m = t.point.select(F.floor("x").alias("x"), F.floor("y").alias("z")).distinct()
     k = (c("x") * 7 + c("z") * 3) % 10
     m = m.select("x", "z", (k < 3).alias("building"), (k == 4).alias("road"), (k == 5).alias("sidewalk"), (k == 6).alias("water"))
-    return out(composites.lidar_voxels(t.point.filter("x < 60 AND y < 60"), m), x="long", y="long", z="long", cls="long")
+    return out(composites.lidar_voxels(t.point, m), x="long", y="long", z="long", cls="long")

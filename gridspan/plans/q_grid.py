@@ -83,10 +83,9 @@ def c02(t: Tables) -> DataFrame:
 _FACES = " UNION ALL ".join(f"SELECT v.x, v.y, v.z, v.cls, '{n}' AS face FROM voxel v ANTI JOIN (SELECT x - {a} AS x, y - {b} AS y, z - {d} AS z FROM voxel) n ON v.x = n.x AND v.y = n.y AND v.z = n.z" for n, a, b, d in g.FACES)
 
 
-@query("f21_exposed_faces", f"SELECT x, y, z, cls, face FROM ({_FACES}) WHERE (x + z) % 3 = 0", ("voxel",))
+@query("f21_exposed_faces", f"SELECT x, y, z, cls, face FROM ({_FACES})", ("voxel",))
 def f21(t: Tables) -> DataFrame:
-    d = g.exposed_faces(t.voxel).filter("(x + z) % 3 = 0")
-    return out(d, x="long", y="long", z="long", cls="long", face="string")
+    return out(g.exposed_faces(t.voxel), x="long", y="long", z="long", cls="long", face="string")
 
 
 @query("a23_faces_by_class", f"SELECT cls, face, count(*) AS n FROM ({_FACES}) GROUP BY 1, 2", ("voxel",))
@@ -162,13 +161,13 @@ def j06(t: Tables) -> DataFrame:
     return out(g.polygon_cells(p.select("id", ring.alias("ring")), "id", "ring"), id="long", x="long", z="long")
 
 
-_TRI = "SELECT o_orderkey AS id, (o_orderkey * 17 % 110)::DOUBLE + 0.1 AS x0, (o_custkey * 7 % 110)::DOUBLE + 0.2 AS z0, (o_orderkey % 23)::DOUBLE AS h0, (o_orderkey * 17 % 110) + 1.3 + o_orderkey % 14 AS x1, (o_custkey * 7 % 110) + 0.7::DOUBLE AS z1, (o_custkey % 19)::DOUBLE AS h1, (o_orderkey * 17 % 110) + 0.9::DOUBLE AS x2, (o_custkey * 7 % 110) + 1.6 + o_custkey % 5 AS z2, (o_orderkey % 7)::DOUBLE AS h2 FROM orders WHERE o_orderkey % 5 = 0"
+_TRI = "SELECT o_orderkey AS id, (o_orderkey * 17 % 110)::DOUBLE + 0.1 AS x0, (o_custkey * 7 % 110)::DOUBLE + 0.2 AS z0, (o_orderkey % 23)::DOUBLE AS h0, (o_orderkey * 17 % 110) + 1.3 + o_orderkey % 14 AS x1, (o_custkey * 7 % 110) + 0.7::DOUBLE AS z1, (o_custkey % 19)::DOUBLE AS h1, (o_orderkey * 17 % 110) + 0.9::DOUBLE AS x2, (o_custkey * 7 % 110) + 1.6 + o_custkey % 5 AS z2, (o_orderkey % 7)::DOUBLE AS h2 FROM orders"
 
 
 def _triangles(t: Tables) -> DataFrame:
     k, u = c("o_orderkey"), c("o_custkey")
     bx, bz = k * 17 % 110, u * 7 % 110
-    return t.orders.filter(k % 5 == 0).select(k.alias("id"), (bx.cast("double") + 0.1).alias("x0"), (bz.cast("double") + 0.2).alias("z0"), (k % 23).cast("double").alias("h0"), (bx + 1.3 + k % 14).alias("x1"), (bz + 0.7).alias("z1"), (u % 19).cast("double").alias("h1"), (bx + 0.9).alias("x2"), (bz + 1.6 + u % 5).alias("z2"), (k % 7).cast("double").alias("h2"))
+    return t.orders.select(k.alias("id"), (bx.cast("double") + 0.1).alias("x0"), (bz.cast("double") + 0.2).alias("z0"), (k % 23).cast("double").alias("h0"), (bx + 1.3 + k % 14).alias("x1"), (bz + 0.7).alias("z1"), (u % 19).cast("double").alias("h1"), (bx + 0.9).alias("x2"), (bz + 1.6 + u % 5).alias("z2"), (k % 7).cast("double").alias("h2"))
 
 
 @query(
@@ -187,8 +186,8 @@ def j08(t: Tables) -> DataFrame:
 @query("g07_tin_heights")
 def g07(t: Tables) -> DataFrame:
     """A TIN's heights at every cell, the nearest outside it (its parts are compared as j08 and j11)."""
-    side = t.spark.range(0, 100, 2)
-    targets = side.select(c("id").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(99).cast("long"), F.lit(2).cast("long"))).alias("z"))
+    side = t.spark.range(SIDE)
+    targets = side.select(c("id").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SIDE - 1).cast("long"))).alias("z"))
     return out(g.tin_heights(_triangles(t), "id", targets), x="long", z="long", h="round5")
 
 
@@ -218,25 +217,25 @@ def a26(t: Tables) -> DataFrame:
 
 @query(
     "j10_c10_detail_blocks",
-    f"WITH p AS (SELECT (lon - 139.5) * 3000 AS x, (lat - 35.5) * 3000 AS z FROM place WHERE id % 3 = 0), b AS (SELECT unnest(range(-10, 60)) AS bx), q AS (SELECT unnest(range(-10, 60)) AS bz) SELECT DISTINCT bx, bz FROM p, b, q WHERE pow(greatest(bx * 64 - x, x - (bx + 1) * 64, 0), 2) + pow(greatest(bz * 64 - z, z - (bz + 1) * 64, 0), 2) <= 150 * 150",
+    f"WITH p AS (SELECT (lon - 139.5) * 3000 AS x, (lat - 35.5) * 3000 AS z FROM place), b AS (SELECT unnest(range(-10, 60)) AS bx), q AS (SELECT unnest(range(-10, 60)) AS bz) SELECT DISTINCT bx, bz FROM p, b, q WHERE pow(greatest(bx * 64 - x, x - (bx + 1) * 64, 0), 2) + pow(greatest(bz * 64 - z, z - (bz + 1) * 64, 0), 2) <= 150 * 150",
     ("place",),
 )
 def j10(t: Tables) -> DataFrame:
     """Blocks of 64 within 150 of a point."""
-    p = t.place.filter("id % 3 = 0").select(((c("lon") - 139.5) * 3000).alias("x"), ((c("lat") - 35.5) * 3000).alias("z"))
+    p = t.place.select(((c("lon") - 139.5) * 3000).alias("x"), ((c("lat") - 35.5) * 3000).alias("z"))
     return out(g.blocks_near(p, 64, 150.0), bx="long", bz="long")
 
 
 @query(
     "j11_nearest_fill",
-    f"WITH k AS (SELECT x, z, max(y) AS h FROM voxel WHERE (x * 7 + z * 3) % 11 = 0 GROUP BY 1, 2), t AS (SELECT x, z FROM (SELECT unnest(range(0, {SIDE}, 3)) AS x), (SELECT unnest(range(0, {SIDE}, 3)) AS z)), r AS (SELECT t.x, t.z, h, (t.x - k.x) * (t.x - k.x) + (t.z - k.z) * (t.z - k.z) AS d2, row_number() OVER (PARTITION BY t.x, t.z ORDER BY (t.x - k.x) * (t.x - k.x) + (t.z - k.z) * (t.z - k.z), k.z, k.x) AS rn FROM t, k) SELECT x, z, h, d2 FROM r WHERE rn = 1",
+    f"WITH k AS (SELECT x, z, max(y) AS h FROM voxel WHERE cls = 5 GROUP BY 1, 2), t AS (SELECT x, z FROM (SELECT unnest(range(0, {SIDE})) AS x), (SELECT unnest(range(0, {SIDE})) AS z)), r AS (SELECT t.x, t.z, h, (t.x - k.x) * (t.x - k.x) + (t.z - k.z) * (t.z - k.z) AS d2, row_number() OVER (PARTITION BY t.x, t.z ORDER BY (t.x - k.x) * (t.x - k.x) + (t.z - k.z) * (t.z - k.z), k.z, k.x) AS rn FROM t, k) SELECT x, z, h, d2 FROM r WHERE rn = 1",
     ("voxel",),
 )
 def j11(t: Tables) -> DataFrame:
-    """The nearest known height for every third cell."""
-    k = t.voxel.filter("(x * 7 + z * 3) % 11 = 0").groupBy("x", "z").agg(F.max("y").alias("h"))
-    side = t.spark.range(0, SIDE, 3)
-    targets = side.select(c("id").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SIDE - 1).cast("long"), F.lit(3).cast("long"))).alias("z"))
+    """The nearest known height for every cell."""
+    k = t.voxel.filter("cls = 5").groupBy("x", "z").agg(F.max("y").alias("h"))
+    side = t.spark.range(SIDE)
+    targets = side.select(c("id").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SIDE - 1).cast("long"))).alias("z"))
     return out(g.nearest_fill(k, targets), x="long", z="long", h="long", d2="long")
 
 
@@ -269,7 +268,7 @@ def j13(t: Tables) -> DataFrame:
 
 @query(
     "j14_lamp_light",
-    """WITH lamp AS (SELECT x + 0.5 AS lx, y + 0.5 AS ly, z + 0.5 AS lz FROM voxel v WHERE cls = 7 AND x % 4 = 0), v AS (SELECT x * 100000 + z * 100 + y AS id, x::DOUBLE AS x, (y + 1)::DOUBLE AS y, z::DOUBLE AS z FROM voxel WHERE cls = 2),
+    """WITH lamp AS (SELECT x + 0.5 AS lx, y + 0.5 AS ly, z + 0.5 AS lz FROM voxel v WHERE cls = 7), v AS (SELECT x * 100000 + z * 100 + y AS id, x::DOUBLE AS x, (y + 1)::DOUBLE AS y, z::DOUBLE AS z FROM voxel WHERE cls = 2),
     d AS (SELECT id, lx - x AS dx, ly - y AS dy, lz - z AS dz, sqrt(pow(lx - x, 2) + pow(ly - y, 2) + pow(lz - z, 2)) AS d FROM v JOIN lamp ON lx BETWEEN x - 6 AND x + 6 AND lz BETWEEN z - 6 AND z + 6),
     s AS (SELECT id, least(1, sum(pow(1 - d / 6, 2) * least(1, greatest(0, CASE WHEN d < 1e-4 THEN 1 ELSE dy / d END * 0.8 + 0.35)))) AS light FROM d WHERE d < 6 GROUP BY id)
     SELECT v.id, round(coalesce(light, 0.0), 6) AS light FROM v LEFT JOIN s USING (id)""",
@@ -277,28 +276,28 @@ def j13(t: Tables) -> DataFrame:
 )
 def j14(t: Tables) -> DataFrame:
     """Light pools of lamps at vertices of road cells."""
-    lamps = t.voxel.filter("cls = 7 AND x % 4 = 0").select((c("x") + 0.5).alias("x"), (c("y") + 0.5).alias("y"), (c("z") + 0.5).alias("z"))
+    lamps = t.voxel.filter("cls = 7").select((c("x") + 0.5).alias("x"), (c("y") + 0.5).alias("y"), (c("z") + 0.5).alias("z"))
     v = t.voxel.filter("cls = 2").select((c("x") * 100000 + c("z") * 100 + c("y")).alias("id"), c("x").cast("double").alias("x"), (c("y") + 1).cast("double").alias("y"), c("z").cast("double").alias("z"), F.lit(0.0).alias("fx"), F.lit(1.0).alias("fy"), F.lit(0.0).alias("fz"))
     return out(g.lamp_light(v, lamps, 6.0), id="long", light="round6")
 
 
 @query(
     "g06_distance_bands",
-    "WITH w AS (SELECT DISTINCT x, z FROM voxel WHERE cls = 4 AND x % 5 = 0), t AS (SELECT DISTINCT x, z FROM voxel) SELECT t.x, t.z, min(pow(t.x - w.x, 2) + pow(t.z - w.z, 2))::BIGINT AS d2 FROM t, w WHERE w.x BETWEEN t.x - 4 AND t.x + 4 AND w.z BETWEEN t.z - 4 AND t.z + 4 AND pow(t.x - w.x, 2) + pow(t.z - w.z, 2) <= 16 GROUP BY 1, 2",
+    "WITH w AS (SELECT DISTINCT x, z FROM voxel WHERE cls = 4), t AS (SELECT DISTINCT x, z FROM voxel) SELECT t.x, t.z, min(pow(t.x - w.x, 2) + pow(t.z - w.z, 2))::BIGINT AS d2 FROM t, w WHERE w.x BETWEEN t.x - 4 AND t.x + 4 AND w.z BETWEEN t.z - 4 AND t.z + 4 AND pow(t.x - w.x, 2) + pow(t.z - w.z, 2) <= 16 GROUP BY 1, 2",
     ("voxel",),
 )
 def g06(t: Tables) -> DataFrame:
     """Squared distance to the nearest wall column, up to four cells."""
-    return out(g.within(t.voxel, t.voxel.filter("cls = 4 AND x % 5 = 0").select("x", "z").distinct(), 4.0), x="long", z="long", d2="long")
+    return out(g.within(t.voxel, t.voxel.filter("cls = 4").select("x", "z").distinct(), 4.0), x="long", z="long", d2="long")
 
 
-_SEG = "SELECT o_orderkey AS id, (o_orderkey * 13 % 100)::DOUBLE AS x0, (o_custkey * 5 % 100)::DOUBLE AS z0, (o_orderkey * 13 % 100 + o_custkey % 12 - 6)::DOUBLE AS x1, (o_custkey * 5 % 100 + o_orderkey % 9 - 4)::DOUBLE AS z1, 1.2 + (o_orderkey % 3) / 2.0::DOUBLE AS w FROM orders WHERE o_orderkey % 10 = 0"
+_SEG = "SELECT o_orderkey AS id, (o_orderkey * 13 % 100)::DOUBLE AS x0, (o_custkey * 5 % 100)::DOUBLE AS z0, (o_orderkey * 13 % 100 + o_custkey % 12 - 6)::DOUBLE AS x1, (o_custkey * 5 % 100 + o_orderkey % 9 - 4)::DOUBLE AS z1, 1.2 + (o_orderkey % 3) / 2.0::DOUBLE AS w FROM orders"
 
 
 def _segments(t: Tables) -> DataFrame:
     k, u = c("o_orderkey"), c("o_custkey")
     d = lambda e: e.cast("double")
-    return t.orders.filter(k % 10 == 0).select(k.alias("id"), d(k * 13 % 100).alias("x0"), d(u * 5 % 100).alias("z0"), d(k * 13 % 100 + u % 12 - 6).alias("x1"), d(u * 5 % 100 + k % 9 - 4).alias("z1"), (1.2 + (k % 3) / 2.0).alias("w"))
+    return t.orders.select(k.alias("id"), d(k * 13 % 100).alias("x0"), d(u * 5 % 100).alias("z0"), d(k * 13 % 100 + u % 12 - 6).alias("x1"), d(u * 5 % 100 + k % 9 - 4).alias("z1"), (1.2 + (k % 3) / 2.0).alias("w"))
 
 
 @query(
@@ -345,13 +344,13 @@ def j25(t: Tables) -> DataFrame:
 
 @query(
     "g11_surface_samples",
-    "WITH t AS (SELECT o_orderkey AS id, 0.0 AS ax, 0.0 AS ay, 0.0 AS az, (1 + o_orderkey % 3)::DOUBLE AS bx, 0.0 AS by_, (o_custkey % 2)::DOUBLE AS bz, 0.0 AS cx, (1 + o_custkey % 4)::DOUBLE AS cy, 0.0 AS cz FROM orders WHERE o_orderkey % 20 = 0), n AS (SELECT *, greatest(1, ceil(greatest(sqrt(bx * bx + bz * bz), cy, sqrt(bx * bx + cy * cy + bz * bz)) / 0.6))::BIGINT AS n FROM t) SELECT id, n, ((n + 1) * (n + 2) / 2)::BIGINT AS points, round(bx, 6) AS max_x, round(cy, 6) AS max_y FROM n",
+    "WITH t AS (SELECT o_orderkey AS id, 0.0 AS ax, 0.0 AS ay, 0.0 AS az, (1 + o_orderkey % 3)::DOUBLE AS bx, 0.0 AS by_, (o_custkey % 2)::DOUBLE AS bz, 0.0 AS cx, (1 + o_custkey % 4)::DOUBLE AS cy, 0.0 AS cz FROM orders), n AS (SELECT *, greatest(1, ceil(greatest(sqrt(bx * bx + bz * bz), cy, sqrt(bx * bx + cy * cy + bz * bz)) / 0.6))::BIGINT AS n FROM t) SELECT id, n, ((n + 1) * (n + 2) / 2)::BIGINT AS points, round(bx, 6) AS max_x, round(cy, 6) AS max_y FROM n",
 )
 def g11(t: Tables) -> DataFrame:
     """Points over triangles, by a barycentric lattice."""
     k, u = c("o_orderkey"), c("o_custkey")
     z = F.lit(0.0)
-    tri = t.orders.filter(k % 20 == 0).select(k.alias("id"), z.alias("ax"), z.alias("ay"), z.alias("az"), (1 + k % 3).cast("double").alias("bx"), z.alias("by"), (u % 2).cast("double").alias("bz"), z.alias("cx"), (1 + u % 4).cast("double").alias("cy"), z.alias("cz"))
+    tri = t.orders.select(k.alias("id"), z.alias("ax"), z.alias("ay"), z.alias("az"), (1 + k % 3).cast("double").alias("bx"), z.alias("by"), (u % 2).cast("double").alias("bz"), z.alias("cx"), (1 + u % 4).cast("double").alias("cy"), z.alias("cz"))
     d = g.sampled_triangles(tri, "id", 0.6).groupBy("id").agg(F.count(F.lit(1)).alias("points"), F.max("x").alias("max_x"), F.max("y").alias("max_y"))
     n = ((F.sqrt(8 * c("points") + 1.0) - 3) / 2).cast("long")
     return out(d.withColumn("n", n), id="long", n="long", points="long", max_x="round6", max_y="round6")
@@ -441,7 +440,7 @@ _K = "greatest({low}, least(504, ceil(coalesce({h}, 0) + 12) - 1))::BIGINT"
 #: Cells of the composed voxels: those of e with rn = 1.
 ORACLE_COMPOSED_CELLS = f"""{_TILE}, {_MERGED}, a AS (SELECT *, (w IS NOT NULL AND (h IS NULL OR h <= w + 0.5)) AS water FROM merged WHERE cover), s AS (SELECT *, CASE WHEN water THEN {_K.format(low=1, h="w")} ELSE {_K.format(low=1, h="h")} END AS surf, CASE WHEN rc > 0 THEN rc WHEN water THEN 8 ELSE 1 END AS sc FROM a),
     b AS (SELECT *, CASE WHEN bh IS NOT NULL THEN greatest({_K.format(low=1, h="bh")}, surf) END AS t0, CASE WHEN deck IS NOT NULL THEN {_K.format(low=0, h="deck")} END AS dk FROM s), d AS (SELECT *, CASE WHEN t0 IS NOT NULL THEN least(504, greatest(greatest(floor((t0 + 1) / 3.0::DOUBLE + 0.5)::BIGINT * 3, surf + 3) - 1, 1)) END AS top FROM b),
-    r AS (SELECT x, z, 0::BIGINT AS y0, surf - 1 AS y1, 1 AS cls, 0 AS prio FROM d UNION ALL SELECT x, z, surf, surf, sc, 1 FROM d UNION ALL SELECT x, z, surf, top, 4, 2 FROM d WHERE top IS NOT NULL UNION ALL SELECT x, z, top, top, 5, 3 FROM d WHERE top IS NOT NULL UNION ALL SELECT x, z, dk, dk, 10, 4 FROM d WHERE dk IS NOT NULL UNION ALL SELECT x, z, 10, 12 + x % 3, 6 + z % 2, 5 FROM merged WHERE (x + z) % 10 = 0),
+    r AS (SELECT x, z, 0::BIGINT AS y0, surf - 1 AS y1, 1 AS cls, 0 AS prio FROM d UNION ALL SELECT x, z, surf, surf, sc, 1 FROM d UNION ALL SELECT x, z, surf, top, 4, 2 FROM d WHERE top IS NOT NULL UNION ALL SELECT x, z, top, top, 5, 3 FROM d WHERE top IS NOT NULL UNION ALL SELECT x, z, dk, dk, 10, 4 FROM d WHERE dk IS NOT NULL UNION ALL SELECT x, z, 10, 12 + x % 3, 6 + z % 2, 5 FROM merged WHERE bh IS NULL),
     e AS (SELECT x, z, y, cls, row_number() OVER (PARTITION BY x, y, z ORDER BY prio DESC, y0 DESC, y1 DESC, cls DESC) AS rn FROM r, LATERAL (SELECT unnest(range(y0, y1 + 1)) AS y) k)"""
 
 
@@ -449,7 +448,7 @@ ORACLE_COMPOSED_CELLS = f"""{_TILE}, {_MERGED}, a AS (SELECT *, (w IS NOT NULL A
 def w11(t: Tables) -> DataFrame:
     """Layers composed to voxels by precedence (a03, f13, x14), summed by column."""
     m = g.merged_tiles(_tiles(t))
-    spans = m.filter("(x + z) % 10 = 0").select("x", "z", F.lit(10).alias("y0"), (12 + c("x") % 3).alias("y1"), (6 + c("z") % 2).alias("cls"))
+    spans = m.filter("bh IS NULL").select("x", "z", F.lit(10).alias("y0"), (12 + c("x") % 3).alias("y1"), (6 + c("z") % 2).alias("cls"))
     v = g.composed(m.withColumn("known_h", c("h")), spans, 3)
     d = v.groupBy("x", "z").agg(F.count(F.lit(1)).alias("cells"), F.sum(c("cls") * (c("y") + 1)).alias("mixed"), F.max("y").alias("top"))
     return out(d, x="long", z="long", cells="long", mixed="long", top="long")

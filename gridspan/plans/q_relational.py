@@ -53,7 +53,7 @@ def j03(t: Tables) -> DataFrame:
 @query(
     "j04_g03_relation_walk",
     """WITH RECURSIVE m AS (SELECT o_custkey AS relation, CASE WHEN o_orderkey % 2 = 0 THEN 'way' ELSE 'relation' END AS kind, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE o_orderkey * 13 % 300 END AS ref, CASE WHEN o_orderkey % 9 = 0 THEN 'tributary' ELSE '' END AS role FROM orders),
-    walk AS (SELECT DISTINCT c_custkey AS root, c_custkey AS relation, 0 AS level FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT DISTINCT root, ref, level + 1 FROM walk JOIN m USING (relation) WHERE level < 2 AND kind = 'relation' AND role <> 'tributary'),
+    walk AS (SELECT DISTINCT c_custkey AS root, c_custkey AS relation, 0 AS level FROM customer UNION ALL SELECT DISTINCT root, ref, level + 1 FROM walk JOIN m USING (relation) WHERE level < 2 AND kind = 'relation' AND role <> 'tributary'),
     rel AS (SELECT root, relation, min(level) AS level FROM walk GROUP BY 1, 2)
     SELECT root, count(DISTINCT relation) AS relations, count(DISTINCT CASE WHEN kind = 'way' AND role <> 'tributary' AND ref % 6 <> 4 THEN ref END) AS ways FROM rel LEFT JOIN m USING (relation) GROUP BY root""",
 )
@@ -61,7 +61,7 @@ def j04(t: Tables) -> DataFrame:
     """Three levels of sub-relations without repeats, then their centre-line ways."""
     k = c("o_orderkey")
     m = t.orders.select(c("o_custkey").alias("relation"), F.when(k % 2 == 0, "way").otherwise("relation").alias("kind"), F.when(k % 2 == 0, k).otherwise(k * 13 % 300).alias("ref"), F.when(k % 9 == 0, "tributary").otherwise("").alias("role"))
-    roots = t.customer.filter("c_custkey % 10 = 0").select(c("c_custkey").alias("root"))
+    roots = t.customer.select(c("c_custkey").alias("root"))
     walked = osm.walk_relations(roots, m)
     ways = t.orders.select(k.alias("id"), F.create_map(F.lit("waterway"), F.when(k % 6 == 4, "dam").otherwise("river")).alias("tags"))
     n = osm.member_ways(walked, m, ways).groupBy("root").agg(F.count(F.lit(1)).alias("ways"))
@@ -69,10 +69,10 @@ def j04(t: Tables) -> DataFrame:
     return out(d, root="long", relations="long", ways="long")
 
 
-@query("j05_names_of_places", "SELECT n_nationkey::BIGINT AS id, n_name AS name, r_name AS region, s_name AS first_place FROM nation LEFT JOIN region ON r_regionkey = n_regionkey LEFT JOIN (SELECT s_nationkey, min(s_name) AS s_name FROM supplier WHERE s_suppkey % 4 = 0 GROUP BY s_nationkey) ON s_nationkey = n_nationkey")
+@query("j05_names_of_places", "SELECT n_nationkey::BIGINT AS id, n_name AS name, r_name AS region, s_name AS first_place FROM nation LEFT JOIN region ON r_regionkey = n_regionkey LEFT JOIN (SELECT s_nationkey, min(s_name) AS s_name FROM supplier WHERE s_acctbal > 5000 GROUP BY s_nationkey) ON s_nationkey = n_nationkey")
 def j05(t: Tables) -> DataFrame:
     """Left joins to small dimensions; Spark broadcasts them by their size."""
-    s = t.supplier.filter("s_suppkey % 4 = 0").groupBy("s_nationkey").agg(F.min("s_name").alias("first_place"))
+    s = t.supplier.filter("s_acctbal > 5000").groupBy("s_nationkey").agg(F.min("s_name").alias("first_place"))
     n = t.nation
     d = n.join(t.region, n["n_regionkey"] == c("r_regionkey"), "left").join(s, n["n_nationkey"] == s["s_nationkey"], "left")
     return out(d.select(c("n_nationkey").alias("id"), c("n_name").alias("name"), c("r_name").alias("region"), "first_place"), id="long", name="string", region="string", first_place="string")
@@ -206,11 +206,11 @@ def u05(t: Tables) -> DataFrame:
 
 @query(
     "s02_alias_chains",
-    "WITH RECURSIVE a AS (SELECT p_partkey AS source, p_partkey // 2 AS target FROM part WHERE p_partkey % 3 = 0 AND p_partkey // 2 > 0), walk AS (SELECT p_partkey AS name, p_partkey AS cur, 0 AS d FROM part UNION ALL SELECT name, target, d + 1 FROM walk JOIN a ON cur = source WHERE d < 16) SELECT name, max_by(cur, d) AS final FROM walk GROUP BY name",
+    "WITH RECURSIVE a AS (SELECT p_partkey AS source, p_partkey // 2 AS target FROM part WHERE p_size > 25 AND p_partkey // 2 > 0), walk AS (SELECT p_partkey AS name, p_partkey AS cur, 0 AS d FROM part UNION ALL SELECT name, target, d + 1 FROM walk JOIN a ON cur = source WHERE d < 16) SELECT name, max_by(cur, d) AS final FROM walk GROUP BY name",
 )
 def s02(t: Tables) -> DataFrame:
     """Names followed through redirects to the end."""
-    a = t.part.filter("p_partkey % 3 = 0 AND floor(p_partkey / 2) > 0").select(c("p_partkey").alias("source"), F.floor(c("p_partkey") / 2).alias("target"))
+    a = t.part.filter("p_size > 25 AND floor(p_partkey / 2) > 0").select(c("p_partkey").alias("source"), F.floor(c("p_partkey") / 2).alias("target"))
     return out(osm.resolve_aliases(t.part.select(c("p_partkey").alias("name")), a), name="long", final="long")
 
 

@@ -111,7 +111,7 @@ def x12(t: Tables) -> DataFrame:
 
 @query(
     "x13_bilinear_samples",
-    """WITH g AS (SELECT x, z, max(y)::DOUBLE AS h FROM voxel GROUP BY x, z), s AS (SELECT DISTINCT id, x, y AS z, floor(x)::BIGINT AS i, floor(y)::BIGINT AS k FROM point WHERE id % 5 = 0)
+    """WITH g AS (SELECT x, z, max(y)::DOUBLE AS h FROM voxel GROUP BY x, z), s AS (SELECT DISTINCT id, x, y AS z, floor(x)::BIGINT AS i, floor(y)::BIGINT AS k FROM point)
     SELECT s.id, round((a.h * (1 - (s.x - i)) + b.h * (s.x - i)) * (1 - (s.z - k)) + (cc.h * (1 - (s.x - i)) + d.h * (s.x - i)) * (s.z - k), 6) AS h FROM s
     JOIN g a ON a.x = i AND a.z = k JOIN g b ON b.x = i + 1 AND b.z = k JOIN g cc ON cc.x = i AND cc.z = k + 1 JOIN g d ON d.x = i + 1 AND d.z = k + 1""",
     ("voxel", "point"),
@@ -119,11 +119,11 @@ def x12(t: Tables) -> DataFrame:
 def x13(t: Tables) -> DataFrame:
     """Heights between four pixels: one shuffle of samples to pixels, then one back to samples."""
     g = t.voxel.groupBy("x", "z").agg(F.max("y").cast("double").alias("h"))
-    s = t.point.filter(c("id") % 5 == 0).select("id", (c("x") - F.floor("x")).alias("fx"), (c("y") - F.floor("y")).alias("fz"), F.floor("x").alias("i"), F.floor("y").alias("k"))
+    s = t.point.select("id", (c("x") - F.floor("x")).alias("fx"), (c("y") - F.floor("y")).alias("fz"), F.floor("x").alias("i"), F.floor("y").alias("k"))
     corner = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dz).alias("dz")) for dz in (0, 1) for dx in (0, 1)]))
-    s = s.withColumn("o", corner).select("id", "fx", "fz", "o", (c("i") + c("o.dx")).alias("x"), (c("k") + c("o.dz")).alias("z"))
+    s = s.withColumn("o", corner).select("id", "i", "k", "fx", "fz", "o", (c("i") + c("o.dx")).alias("x"), (c("k") + c("o.dz")).alias("z"))
     w = F.when(c("o.dx") == 1, c("fx")).otherwise(1 - c("fx")) * F.when(c("o.dz") == 1, c("fz")).otherwise(1 - c("fz"))
-    d = s.distinct().join(g, ["x", "z"]).groupBy("id", "fx", "fz").agg(F.sum(c("h") * w).alias("h"), F.count(F.lit(1)).alias("n")).filter("n = 4")
+    d = s.distinct().join(g, ["x", "z"]).groupBy("id", "i", "k", "fx", "fz").agg(F.sum(c("h") * w).alias("h"), F.count(F.lit(1)).alias("n")).filter("n = 4")
     return out(d, id="long", h="round6")
 
 
@@ -203,22 +203,22 @@ def x18(t: Tables) -> DataFrame:
 
 @query(
     "x19_flight_samples",
-    """WITH f AS (SELECT o_orderkey AS id, 128.0::DOUBLE / (0.2 + (o_orderkey % 10) / 8.0::DOUBLE) * 1.5 AS w0, 128.0::DOUBLE / (0.2 + (o_custkey % 12) / 8.0::DOUBLE) * 1.5 AS w1, CASE WHEN o_orderkey % 17 = 0 THEN 0.0 ELSE (o_totalprice / 40) * 1.2 END AS u1 FROM orders WHERE o_orderkey % 10 = 0),
+    """WITH f AS (SELECT o_orderkey AS id, 128.0::DOUBLE / (0.2 + (o_orderkey % 10) / 8.0::DOUBLE) * 1.5 AS w0, 128.0::DOUBLE / (0.2 + (o_custkey % 12) / 8.0::DOUBLE) * 1.5 AS w1, CASE WHEN o_orderkey % 17 = 0 THEN 0.0 ELSE (o_totalprice / 40) * 1.2 END AS u1 FROM orders),
     b AS (SELECT *, greatest(u1, 1e-12) AS u, u1 < 1e-3 * least(w0, w1) AS zo FROM f),
     r AS (SELECT *, asinh(-(w1 * w1 - w0 * w0 + 3.8415999999999992 * u * u) / (2 * w0 * 1.9599999999999997 * u)) AS r0, asinh(-(w1 * w1 - w0 * w0 - 3.8415999999999992 * u * u) / (2 * w1 * 1.9599999999999997 * u)) AS r1 FROM b),
     l AS (SELECT *, CASE WHEN zo THEN abs(ln(w1 / w0)) / 1.4 ELSE (r1 - r0) / 1.4 END AS len FROM r),
     s AS (SELECT *, len * (i / 4.0::DOUBLE) AS s FROM l, (SELECT unnest(range(0, 5)) AS i))
     SELECT id, i::BIGINT AS i, round(least(4200, greatest(650, 600 + 430 * len)), 3) AS ms,
-    round(CASE WHEN zo THEN CASE WHEN len > 0 THEN s / len ELSE 1 END ELSE least(1, greatest(0, w0 / 1.9599999999999997 * (cosh(r0) * tanh(1.4 * s + r0) - sinh(r0)) / u)) END, 4) AS frac,
-    round(CASE WHEN zo THEN w0 * exp(sign(w1 - w0) * 1.4 * s) ELSE w0 * cosh(r0) / cosh(1.4 * s + r0) END, 3) AS width FROM s""",
+    round(CASE WHEN zo THEN CASE WHEN len > 0 THEN s / len ELSE 1 END ELSE least(1, greatest(0, w0 / 1.9599999999999997 * (cosh(r0) * tanh(1.4 * s + r0) - sinh(r0)) / u)) END, 6) AS frac,
+    round(CASE WHEN zo THEN w0 * exp(sign(w1 - w0) * 1.4 * s) ELSE w0 * cosh(r0) / cosh(1.4 * s + r0) END, 5) AS width FROM s""",
 )
 def x19(t: Tables) -> DataFrame:
     """Five samples of each optimal pan-and-zoom path, pure zooms included."""
     w = lambda k, m: 128.0 / (0.2 + (c(k) % m) / 8.0) * 1.5
-    f = t.orders.filter(c("o_orderkey") % 10 == 0).select(c("o_orderkey").alias("id"), w("o_orderkey", 10).alias("w0"), w("o_custkey", 12).alias("w1"), F.when(c("o_orderkey") % 17 == 0, 0.0).otherwise((c("o_totalprice") / 40) * 1.2).alias("u1"))
+    f = t.orders.select(c("o_orderkey").alias("id"), w("o_orderkey", 10).alias("w0"), w("o_custkey", 12).alias("w1"), F.when(c("o_orderkey") % 17 == 0, 0.0).otherwise((c("o_totalprice") / 40) * 1.2).alias("u1"))
     f = f.withColumn("plan", curves.flight(c("w0"), c("w1"), c("u1"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4))))
     f = f.withColumn("at", curves.flight_at(c("plan"), c("w0"), c("w1"), c("u1"), c("plan.length") * (c("i") / 4.0)))
-    return out(f.select("id", "i", curves.flight_ms(c("plan.length")).alias("ms"), "at.frac", "at.width"), id="long", i="long", ms="round3", frac="round4", width="round3")
+    return out(f.select("id", "i", curves.flight_ms(c("plan.length")).alias("ms"), "at.frac", "at.width"), id="long", i="long", ms="round3", frac="round6", width="round5")
 
 
 @query("x20_view_scale", "SELECT event_id, round(900 / (128 / (0.1 + abs(value) / 50)), 8) AS ppm, round(CASE WHEN event_id % 4 = 0 THEN 30.0 ELSE 0.6 * value + 8 END, 8) AS eye FROM events")
@@ -309,10 +309,10 @@ def x05(t: Tables) -> DataFrame:
     return out(d.select("o_orderkey", F.size("p").alias("n"), c("p")[0]["x"].alias("x0"), c("p")[1]["y"].alias("y1")), o_orderkey="long", n="long", x0="round6", y1="round6")
 
 
-@query("x27_span_expansion", "SELECT x, z, y, cls FROM (SELECT x, z, min(y) AS y0, max(y) AS y1, max(cls) AS cls FROM voxel WHERE (x + z) % 4 = 0 GROUP BY x, z) s, LATERAL (SELECT unnest(range(y0, y1 + 1)) AS y) e", ("voxel",))
+@query("x27_span_expansion", "SELECT x, z, y, cls FROM (SELECT x, z, min(y) AS y0, max(y) AS y1, max(cls) AS cls FROM voxel GROUP BY x, z) s, LATERAL (SELECT unnest(range(y0, y1 + 1)) AS y) e", ("voxel",))
 def x27(t: Tables) -> DataFrame:
     """Column spans to cells."""
-    s = t.voxel.filter("(x + z) % 4 = 0").groupBy("x", "z").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.max("cls").alias("cls"))
+    s = t.voxel.groupBy("x", "z").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.max("cls").alias("cls"))
     return out(s.withColumn("y", F.explode(F.sequence("y0", "y1"))), x="long", z="long", y="long", cls="long")
 
 
@@ -339,9 +339,10 @@ def x29(t: Tables) -> DataFrame:
     return out(s.select("river", "scale", side(c("hi") - c("lo"), c("dx")).alias("w"), side(c("lb") - c("la"), F.lit(0.01)).alias("h")), river="long", scale="round6", w="long", h="long")
 
 
-@query("f04_f03_building_heights", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 12.5 WHEN 1 THEN 9.0 WHEN 2 THEN 15.0 WHEN 3 THEN 9.0 ELSE (2 + c % 2) * 3.0 END::DOUBLE AS height, o_orderkey % 5 < 2 AS explicit FROM (SELECT o_orderkey, o_custkey AS c FROM orders)".replace("(2 + c % 2) * 3.0", "6.0") + " WHERE o_orderkey % 5 < 4")
+@query("f04_f03_building_heights", "SELECT o_orderkey, (CASE o_orderkey % 5 WHEN 0 THEN 12.5 WHEN 1 THEN 9.0 WHEN 2 THEN 15.0 WHEN 3 THEN 9.0 END)::DOUBLE AS height, o_orderkey % 5 < 2 AS explicit, o_orderkey % 5 = 4 AS guessed FROM orders")
 def f04(t: Tables) -> DataFrame:
-    """Heights from loose tags: height, levels, kind, then a hashed guess (left out of the comparison)."""
+    """Heights from loose tags: height, levels, kind, then a hashed guess of two or three floors (its value
+    is unit-tested; here only that it is one of them)."""
     from gridspan.operators.osm import building_height
 
     k = c("o_orderkey") % 5
@@ -349,5 +350,6 @@ def f04(t: Tables) -> DataFrame:
         F.create_map(F.lit("height"), F.when(k == 0, F.lit("12,5 m")).when(k == 1, F.lit("0")), F.lit("building:levels"), F.when(k == 1, F.lit("3")), F.lit("building"), F.when(k == 2, F.lit("apartments")).when(k == 3, F.lit("school")).otherwise(F.lit("yes"))),
         lambda _, v: v.isNotNull(),
     )
-    d = t.orders.select("o_orderkey", building_height(F.concat(F.lit("way"), c("o_orderkey").cast("string")), tags).alias("h")).filter("o_orderkey % 5 < 4")
-    return out(d.select("o_orderkey", "h.height", "h.explicit"), o_orderkey="long", height="double", explicit="boolean")
+    d = t.orders.select("o_orderkey", building_height(F.concat(F.lit("way"), c("o_orderkey").cast("string")), tags).alias("h"))
+    guess = (k == 4) & c("h.height").isin(6.0, 9.0)
+    return out(d.select("o_orderkey", F.when(k < 4, c("h.height")).alias("height"), "h.explicit", guess.alias("guessed")), o_orderkey="long", height="double", explicit="boolean", guessed="boolean")

@@ -37,7 +37,7 @@ def s11(t: Tables) -> DataFrame:
 
 @query(
     "s15_f17_block_sections",
-    """WITH s AS (SELECT s_suppkey AS cx, i FROM supplier, (SELECT unnest(range(0, 4096)) AS i) WHERE s_suppkey <= 30), b AS (SELECT cx, i, (cx * 7 + (i % 16) + (i // 16) % 5) % 6 AS k FROM s), n AS (SELECT cx, i // 256 AS y, (['air', 'gray_concrete', 'oak_log', 'oak_fence', 'stone_brick_wall', 'stone'])[k + 1] AS name FROM b)
+    """WITH s AS (SELECT s_suppkey AS cx, i FROM supplier, (SELECT unnest(range(0, 4096)) AS i)), b AS (SELECT cx, i, (cx * 7 + (i % 16) + (i // 16) % 5) % 6 AS k FROM s), n AS (SELECT cx, i // 256 AS y, (['air', 'gray_concrete', 'oak_log', 'oak_fence', 'stone_brick_wall', 'stone'])[k + 1] AS name FROM b)
     SELECT cx, y, name, CASE name WHEN 'air' THEN 'air' WHEN 'oak_log' THEN 'veg' WHEN 'oak_fence' THEN 'fence' WHEN 'stone_brick_wall' THEN 'lamp' ELSE 'solid' END AS kind, count(*) AS n FROM n GROUP BY 1, 2, 3""",
 )
 def s15(t: Tables) -> DataFrame:
@@ -46,17 +46,17 @@ def s15(t: Tables) -> DataFrame:
     k = c("s_suppkey")
     word = lambda w: F.aggregate(F.sequence(F.lit(15), F.lit(0), F.lit(-1)), F.lit(0).cast("long"), lambda a, j: a * 16 + (k * 7 + j + w % 5) % 6)
     data = F.transform(F.sequence(F.lit(0), F.lit(255)), word)
-    d = t.supplier.filter(k <= 30).select(k.alias("cx"), F.lit(0).alias("cz"), F.lit(0).alias("sy"), pal.alias("palette"), data.alias("data"))
+    d = t.supplier.select(k.alias("cx"), F.lit(0).alias("cz"), F.lit(0).alias("sy"), pal.alias("palette"), data.alias("data"))
     b = blocks.section_blocks(d).withColumn("kind", blocks.block_kind(c("name")))
     return out(b.groupBy("cx", "y", "name", "kind").agg(F.count(F.lit(1)).alias("n")), cx="long", y="long", name="string", kind="string", n="long")
 
 
-@query("s16_grid_bytes", "SELECT p_partkey AS id, i::BIGINT AS i, ('0x' || substr(m, 2 * i::INT + 1, 2))::BIGINT AS value FROM (SELECT p_partkey, md5(p_name) AS m FROM part WHERE p_partkey % 10 = 0), (SELECT unnest(range(0, 16)) AS i)")
+@query("s16_grid_bytes", "SELECT p_partkey AS id, i::BIGINT AS i, ('0x' || substr(m, 2 * i::INT + 1, 2))::BIGINT AS value FROM (SELECT p_partkey, md5(p_name) AS m FROM part), (SELECT unnest(range(0, 16)) AS i)")
 def s16(t: Tables) -> DataFrame:
     """A binary grid as a row for each byte."""
     from gridspan.sources.voxel_files import byte_cells
 
-    d = t.part.filter("p_partkey % 10 = 0").select(c("p_partkey").alias("id"), F.unhex(F.md5("p_name")).alias("data"))
+    d = t.part.select(c("p_partkey").alias("id"), F.unhex(F.md5("p_name")).alias("data"))
     return out(byte_cells(d, "id", "data"), id="long", i="long", value="long")
 
 

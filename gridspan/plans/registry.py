@@ -117,13 +117,14 @@ def _place(t: Tables) -> DataFrame:
     return t.supplier.select(c("s_suppkey").alias("id"), c("s_name").alias("name"), (35.5 + (c("s_suppkey") * 37 % 400) / 1000.0).alias("lat"), (139.5 + (c("s_suppkey") * 91 % 600) / 1000.0).alias("lon"), c("s_acctbal").alias("size"), c("s_nationkey").alias("nation"))
 
 
-@fixture("chunk", "SELECT DISTINCT level, cx, cz FROM (SELECT o_orderkey * 37 % 256 AS x, o_custkey * 11 % 200 AS z FROM orders WHERE o_orderkey % 3 > 0) t, (SELECT unnest(range(0, 7))::BIGINT AS level) l, LATERAL (SELECT (x >> level)::BIGINT AS cx, (z >> level)::BIGINT AS cz) k WHERE level > 0 OR (cx + cz) % 3 > 0")
+@fixture("chunk", "SELECT DISTINCT level, cx, cz FROM (SELECT o_orderkey * 37 % 256 AS x, o_custkey * 11 % 200 AS z, o_orderpriority AS p FROM orders WHERE o_orderstatus <> 'P') t, (SELECT unnest(range(0, 7))::BIGINT AS level) l, LATERAL (SELECT (x >> level)::BIGINT AS cx, (z >> level)::BIGINT AS cz) k WHERE level > 0 OR p < '4'")
 def _chunk(t: Tables) -> DataFrame:
     """Which chunks of a seven-level quadtree exist (some level-0 chunks are absent)."""
     c = F.col
-    base = t.orders.filter(c("o_orderkey") % 3 > 0).select((c("o_orderkey") * 37 % 256).alias("x"), (c("o_custkey") * 11 % 200).alias("z"))
-    at = base.select("x", "z", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("level"))
-    return at.select(c("level").cast("long").alias("level"), F.expr("shiftright(x, level)").alias("cx"), F.expr("shiftright(z, level)").alias("cz")).distinct().filter((c("level") > 0) | ((c("cx") + c("cz")) % 3 > 0))
+    base = t.orders.filter(c("o_orderstatus") != "P").select((c("o_orderkey") * 37 % 256).alias("x"), (c("o_custkey") * 11 % 200).alias("z"), c("o_orderpriority").alias("p"))
+    at = base.select("x", "z", "p", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("level"))
+    there = at.filter((c("level") > 0) | (c("p") < "4"))
+    return there.select(c("level").cast("long").alias("level"), F.expr("shiftright(x, level)").alias("cx"), F.expr("shiftright(z, level)").alias("cz")).distinct()
 
 
 @fixture("directory", "SELECT level, cx, cz, (1 + (level * 4099 + cx * 37 + cz * 101) % 4096)::BIGINT AS len, (1 + (cx * 5 + cz * 3 + level) % 20)::BIGINT AS height FROM chunk")
