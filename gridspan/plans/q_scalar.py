@@ -210,7 +210,7 @@ def x18(t: Tables) -> DataFrame:
     s AS (SELECT *, len * (i / 4.0::DOUBLE) AS s FROM l, (SELECT unnest(range(0, 5)) AS i))
     SELECT id, i::BIGINT AS i, round(least(4200, greatest(650, 600 + 430 * len)), 3) AS ms,
     round(CASE WHEN zo THEN CASE WHEN len > 0 THEN s / len ELSE 1 END ELSE least(1, greatest(0, w0 / 1.9599999999999997 * (cosh(r0) * tanh(1.4 * s + r0) - sinh(r0)) / u)) END, 6) AS frac,
-    round(CASE WHEN zo THEN w0 * exp(sign(w1 - w0) * 1.4 * s) ELSE w0 * cosh(r0) / cosh(1.4 * s + r0) END, 5) AS width FROM s""",
+    round(CASE WHEN zo THEN w0 * exp(sign(w1 - w0) * 1.4 * s) ELSE w0 * cosh(r0) / cosh(1.4 * s + r0) END, 3) AS width FROM s""",
 )
 def x19(t: Tables) -> DataFrame:
     """Five samples of each optimal pan-and-zoom path, pure zooms included."""
@@ -218,7 +218,7 @@ def x19(t: Tables) -> DataFrame:
     f = t.orders.select(c("o_orderkey").alias("id"), w("o_orderkey", 10).alias("w0"), w("o_custkey", 12).alias("w1"), F.when(c("o_orderkey") % 17 == 0, 0.0).otherwise((c("o_totalprice") / 40) * 1.2).alias("u1"))
     f = f.withColumn("plan", curves.flight(c("w0"), c("w1"), c("u1"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4))))
     f = f.withColumn("at", curves.flight_at(c("plan"), c("w0"), c("w1"), c("u1"), c("plan.length") * (c("i") / 4.0)))
-    return out(f.select("id", "i", curves.flight_ms(c("plan.length")).alias("ms"), "at.frac", "at.width"), id="long", i="long", ms="round3", frac="round6", width="round5")
+    return out(f.select("id", "i", curves.flight_ms(c("plan.length")).alias("ms"), "at.frac", "at.width"), id="long", i="long", ms="round3", frac="round6", width="round3")
 
 
 @query("x20_view_scale", "SELECT event_id, round(900 / (128 / (0.1 + abs(value) / 50)), 8) AS ppm, round(CASE WHEN event_id % 4 = 0 THEN 30.0 ELSE 0.6 * value + 8 END, 8) AS eye FROM events")
