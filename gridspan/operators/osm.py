@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspan.functions.text import lenient_number, truthy
+from gridspan.session import use_checkpoints
 
 # Which tags make which layer, and widths in metres by highway class.
 SPARSE_LANDUSE = ["cemetery", "religious"]
@@ -121,13 +122,24 @@ def member_ways(walked: DataFrame, members: DataFrame, ways: DataFrame) -> DataF
     return walked.join(m, "relation").join(mid, "way", "left_semi").select("root", "way").distinct()
 
 
-def resolve_aliases(names: DataFrame, aliases: DataFrame, steps: int = 4) -> DataFrame:
-    """(name, final): names followed through (source, target) links, 2**steps links at most, by
-    doubling: every step joins the table of links with itself."""
-    links = aliases.groupBy("source").agg(F.max("target").alias("target"))
-    for _ in range(steps):
-        nxt = links.select(F.col("source").alias("target"), F.col("target").alias("far"))
-        links = links.join(nxt, "target", "left").select("source", F.coalesce("far", "target").alias("target"))
+def resolve_aliases(names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(name, final): names followed through (source, target) links to the end, however long the chain, by
+    doubling: every round joins the links that can go on with the table of links and is checkpointed, so
+    rounds grow with the logarithm of the longest chain. A name that leads into a ring is an error."""
+    use_checkpoints(names.sparkSession)
+    links = aliases.filter("target IS NOT NULL").groupBy("source").agg(F.max("target").alias("target"))
+    more = links.select(F.col("source").alias("target"), F.lit(True).alias("more"))
+    links = links.join(more, "target", "left").select("source", "target", F.coalesce("more", F.lit(False)).alias("more")).checkpoint()
+    for _ in range(links.count().bit_length()):  # 2**rounds is above the number of links
+        going = links.filter("more")
+        if going.isEmpty():
+            break
+        nxt = links.select(F.col("source").alias("target"), F.col("target").alias("far"), F.col("more").alias("on"))
+        moved = going.join(nxt, "target").select("source", F.col("far").alias("target"), F.col("on").alias("more"))
+        links = links.filter("NOT more").unionByName(moved).checkpoint()
+    ring = links.filter("more").select(F.col("source").alias("name"))  # what still goes on has no end
+    if not ring.isEmpty() and (bad := names.join(ring, "name", "left_semi").first()) is not None:
+        raise RuntimeError(f"the aliases of {bad['name']!r} lead into a ring")
     return names.join(links, names["name"] == links["source"], "left").select("name", F.coalesce("target", "name").alias("final"))
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridspan.functions import bits, coords, curves, text
-from gridspan.operators import codec, graph, grid, osm, points, view
+from gridspan.operators import codec, graph, grid, osm, points, rivers, view
 
 c = F.col
 
@@ -58,6 +58,21 @@ def test_first_per_key_keeps_null_ids(spark):
     assert sorted(r.seq for r in osm.first_per_key(d, ["gid"], ["ward", "seq"], keep_nulls=True).collect()) == [2, 3, 4]
 
 
+def test_alias_chains_are_followed_to_the_end(spark):
+    links = [(f"n{i}", f"n{i + 1}") for i in range(40)] + [("side", "n39"), ("x", "y"), ("gone", None), ("p", "q"), ("q", "p")]
+    aliases = spark.createDataFrame(links, "source string, target string")
+    names = spark.createDataFrame([(n,) for n in ["n0", "n7", "n39", "n40", "side", "x", "gone", "other"]], "name string")
+    got = {r.name: r.final for r in osm.resolve_aliases(names, aliases).collect()}
+    assert got == {**dict.fromkeys(["n0", "n7", "n39", "n40", "side"], "n40"), "x": "y", "gone": "gone", "other": "other"}
+    none = osm.resolve_aliases(names, aliases.limit(0)).collect()
+    assert len(none) == 8 and all(r.name == r.final for r in none)
+    with pytest.raises(RuntimeError, match="ring"):
+        osm.resolve_aliases(spark.createDataFrame([("p",)], "name string"), aliases)
+    rows = spark.createDataFrame([(1, "R", 900, ["n0"])], "row long, name string, length_km long, titles array<string>")
+    ids = spark.createDataFrame([("n40", "Q1")], "title string, qid string")
+    assert rivers.with_ids(rows, aliases, ids).first()["qids"] == ["Q1"]
+
+
 def test_polygon_cells_of_concave_rings(spark):
     rng = random.Random(3)
     rings = []
