@@ -352,9 +352,27 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shard_rows: int = 4096) ->
 
 
 def deduplicated(docs: DataFrame, radius: int = 3, shard_rows: int = 4096) -> DataFrame:
-    """The rows of ``docs`` less near duplicates: of each component the row with the smallest doc_id
-    stays (of repeated rows of that id, one). Rows with a null doc_id all stay."""
-    found = near_duplicates(docs, radius, shard_rows).filter("doc_id = component_id").select("doc_id").distinct()
+    """The rows of ``docs`` less near duplicates: of each component of fingerprints the row with the
+    smallest doc_id stays (of repeated rows of that id and fingerprint, one, chosen by a hash of its
+    values). Texts under one doc_id that do not link are apart. Rows with a null doc_id all stay."""
+    table = stage_table(fingerprint_table(docs).filter("doc_id IS NOT NULL"), "fingerprints")
+    distinct = stage_table(table.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct")
+    comp = components(links(distinct.select("fp", F.col("fp").alias("rep")), radius, shard_rows))
+    named = distinct.join(comp, distinct["fp"] == comp["node"], "left").groupBy(F.coalesce("component", "fp").alias("component"))
+    found = named.agg(F.min(F.struct("doc_id", "fp")).alias("head")).select("head.doc_id", F.col("head.fp").alias("_fp"))
     cols = docs.columns
-    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*cols).unionByName(docs.filter("doc_id IS NULL").select(*cols))
+    by, rows = ["doc_id"], docs
+    if not table.groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high").isEmpty():
+        by, rows = ["doc_id", "_fp"], _with_fingerprints(docs)  # an id alone does not tell the text
+    order = F.xxhash64("text", *[f.name for f in docs.schema.fields if f.name != "text" and "map<" not in f.dataType.simpleString()])
+    kept = rows.join(found.select(*by), by, "left_semi").groupBy(*by).agg(F.min_by(F.struct(*cols), order).alias("_row"))
+    return kept.select("_row.*").unionByName(docs.filter("doc_id IS NULL").select(*cols))
+
+
+def _with_fingerprints(docs: DataFrame) -> DataFrame:
+    """``docs`` and _fp, the fingerprint of each text."""
+
+    def run(part, texts):
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(fingerprints_of(texts).view(np.int64))], [*part.schema.names, "_fp"])
+
+    return map_texts(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _fp long")

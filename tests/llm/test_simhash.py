@@ -103,3 +103,12 @@ def test_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({r.component_id for r in rows} - {None})
     assert s.near_duplicates(no_docs).count() == 0 and s.deduplicated(no_docs).count() == 0
+
+
+def test_unlike_texts_of_one_id_stay(spark):
+    rng = random.Random(5)
+    a, b, c, d = (" ".join(f"w{rng.randint(0, 9999)}" for _ in range(80)) for _ in range(4))
+    rows = [(3, a.upper(), "x"), (5, a, "x"), (5, b, "x"), (7, b.upper(), "x"), (9, c, "x"), (9, d, "x"), (9, d, "x"), (9, d, "y"), (None, a, "x"), (None, a, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [sorted((r.doc_id or 0, r.text) for r in s.deduplicated(docs.repartition(n)).collect()) for n in (1, 4)]
+    assert got[0] == got[1] == sorted([(3, a.upper()), (5, b), (9, c), (9, d), (0, a), (0, a)])
