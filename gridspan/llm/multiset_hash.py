@@ -4,7 +4,7 @@ A text is a multiset of paragraphs: its lines, a long line being cut on at conte
 that an edit changes only the pieces it touches. Every piece is hashed to a wide vector, and a text's
 fingerprint is the sum of its pieces' vectors, lane by lane modulo a power of two:
 
-* ``SIGNS`` lanes of +1 or -1, modulo 2**16, and
+* ``SIGNS`` lanes of +1 or -1, modulo 2**32, and
 * ``WORDS`` lanes of 64 uniform bits, modulo 2**64, against accidental equality.
 
 Sums do not depend on order, and a piece is inserted or deleted by adding or subtracting its vector,
@@ -25,16 +25,16 @@ from pyspark.sql import functions as F
 from gridspan.llm.common import SLICE_BYTES, TextBlock, column, mix, range_buckets, read_table, ship  # noqa: F401
 
 SIGNS, WORDS = 192, 2
-HEX = SIGNS * 4 + WORDS * 16
+HEX = SIGNS * 8 + WORDS * 16
 #: A word ends a piece if its hash has these bits clear: four words a piece on average.
 CUT_MASK = np.uint64(3)
 
 
 class Fingerprints:
-    """Fingerprints of some texts: ``signs`` (n, SIGNS) int64 modulo 2**16, ``words`` (n, WORDS)."""
+    """Fingerprints of some texts: ``signs`` (n, SIGNS) int64 modulo 2**32, ``words`` (n, WORDS)."""
 
     def __init__(self, signs: np.ndarray, words: np.ndarray):
-        self.signs, self.words = (signs + 2**15) % 2**16 - 2**15, words
+        self.signs, self.words = (signs + 2**31) % 2**32 - 2**31, words
 
     @classmethod
     def of(cls, texts: list[bytes]) -> Fingerprints:
@@ -67,17 +67,17 @@ class Fingerprints:
         return Fingerprints(self.signs[rows], self.words[rows])
 
     def hex(self) -> list[str]:
-        raw = np.concatenate([(self.signs % 2**16).astype(">u2").view(np.uint8), self.words.astype(">u8").view(np.uint8)], axis=1)
+        raw = np.concatenate([(self.signs % 2**32).astype(">u4").view(np.uint8), self.words.astype(">u8").view(np.uint8)], axis=1)
         return [r.tobytes().hex() for r in raw]
 
     @classmethod
     def from_hex(cls, values: list[str]) -> Fingerprints:
         raw = np.frombuffer(bytes.fromhex("".join(values)), dtype=np.uint8).reshape(len(values), -1)
-        return cls(raw[:, : 2 * SIGNS].copy().view(">u2").astype(np.int64), raw[:, 2 * SIGNS :].copy().view(">u8").astype(np.uint64))
+        return cls(raw[:, : 4 * SIGNS].copy().view(">u4").astype(np.int64), raw[:, 4 * SIGNS :].copy().view(">u8").astype(np.uint64))
 
     def likeness(self, other: Fingerprints) -> np.ndarray:
         """0..1, row by row; 1 exactly for equal fingerprints, those of empty texts included."""
-        a, b = self.signs, other.signs
+        a, b = self.signs.astype(float), other.signs.astype(float)
         size = (a * a).sum(axis=1) + (b * b).sum(axis=1)
         same = (a == b).all(axis=1) & (self.words == other.words).all(axis=1)
         like = np.clip(2 * (a * b).sum(axis=1) / np.maximum(size, 1), 0, 1)

@@ -119,6 +119,12 @@ def test_likeness_follows_the_shared_part():
     assert none[[0]].likeness(none[[1]])[0] == 1.0
 
 
+def test_likeness_of_very_many_equal_lines():
+    f = fp("one line\n" * 40_000, "one line\n" * 20_000)
+    for g in (f, mh.Fingerprints.from_hex(f.hex())):
+        assert g[[0]].likeness(g[[1]])[0] == pytest.approx(0.8, abs=0.01)
+
+
 @pytest.mark.parametrize("per", [7, 50, 4000])
 def test_pairs_in_descending_order(documents, per):
     texts = {r.doc_id: r.text for r in documents.collect()}
