@@ -7,6 +7,8 @@ filters what is left.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,33 +108,70 @@ def blocks_near(points: DataFrame, side: int, radius: float) -> DataFrame:
     return d.filter(gap("x", "bx") * gap("x", "bx") + gap("z", "bz") * gap("z", "bz") <= radius * radius).select("bx", "bz").distinct()
 
 
-def nearest_fill(cells: DataFrame, targets: DataFrame, block: int = 16, rounds: int = 12) -> DataFrame:
+def _nearest_in_row(at: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each x the index of the nearest of the rising positions ``at``, the smaller of two."""
+    i = np.searchsorted(at, x)
+    before, after = np.maximum(i - 1, 0), np.minimum(i, len(at) - 1)
+    return np.where(np.abs(x - at[before]) <= np.abs(at[after] - x), before, after)
+
+
+def _nearest_in_column(z: np.ndarray, rows: np.ndarray, d2: np.ndarray) -> np.ndarray:
+    """For each z the index of the row with the least (z - row)^2 + d2, the first of equals. ``rows`` rise;
+    each step looks one row further out on both sides, until no row beyond can be nearer."""
+    start = np.searchsorted(rows, z)
+    best = np.full(len(z), np.iinfo(np.int64).max)
+    pick, open_ = np.zeros(len(z), dtype=np.int64), np.arange(len(z))
+    step = 0
+    while len(open_):
+        beyond = np.ones(len(open_), dtype=bool)
+        for i, first in ((start[open_] - 1 - step, True), (start[open_] + step, False)):
+            there = np.flatnonzero((i >= 0) & (i < len(rows)))
+            t, r = open_[there], i[there]
+            gap = (z[t] - rows[r]) ** 2
+            d = gap + d2[r]
+            better = (d <= best[t]) if first else (d < best[t])
+            best[t[better]], pick[t[better]] = d[better], r[better]
+            beyond[there[gap < best[t] + first]] = False
+        open_, step = open_[~beyond], step + 1
+    return pick
+
+
+def nearest_fill(cells: DataFrame, targets: DataFrame) -> DataFrame:
     """(x, z, h, d2): every target cell's nearest known cell (x, z, h); ties go to the smaller z, then x.
 
-    Blocks of known cells are found in growing rings; a target is settled once no unseen ring can be
-    nearer. The rings double, so a target joins few blocks, and rounds are bounded; those not settled
-    then are an error, not a guess.
+    A squared distance is separable. First every row that holds known cells gives, for each x of the
+    targets' extent, its nearest known cell; then every column finds, for its targets, the nearest of its
+    rows' answers. Two exchanges, by row and by column; a task holds a row or a column, never the grid.
+    Between them there are (rows with known cells) x (extent in x) rows of 32 bytes.
     """
-    known = cells.select(c("x").alias("kx"), c("z").alias("kz"), "h", F.floor(c("x") / block).alias("bx"), F.floor(c("z") / block).alias("bz"))
-    left = targets.select("x", "z").distinct()
-    done, inner, outer = None, -1, 1
-    for _ in range(rounds):
-        ring = F.explode(F.filter(offsets_square(outer), lambda o: F.greatest(F.abs(o["dx"]), F.abs(o["dz"])) > inner))
-        t = left.select("x", "z", ring.alias("o")).select("x", "z", (F.floor(c("x") / block) + c("o.dx")).alias("bx"), (F.floor(c("z") / block) + c("o.dz")).alias("bz"))
-        d2 = (c("x") - c("kx")) * (c("x") - c("kx")) + (c("z") - c("kz")) * (c("z") - c("kz"))
-        near = t.join(known, ["bx", "bz"]).groupBy("x", "z").agg(F.min(F.struct(d2.alias("d2"), c("kz"), c("kx"), c("h"))).alias("m"))
-        if done is not None:
-            near = near.unionByName(done.filter(~c("settled")).select("x", "z", "m")).groupBy("x", "z").agg(F.min("m").alias("m"))
-        # the nearest unseen cell is at least outer * block + 1 away from this block's near edge
-        near = near.withColumn("settled", c("m.d2") <= (outer * block) ** 2)
-        done = near if done is None else done.filter("settled").unionByName(near)
-        left_again = left.join(done.filter("settled").select("x", "z"), ["x", "z"], "left_anti")
-        done = done.checkpoint() if _has_checkpoint(done) else done.persist()
-        left = left_again.checkpoint() if _has_checkpoint(left_again) else left_again.persist()
-        if left.isEmpty():
-            return done.select("x", "z", "m.h", "m.d2")
-        inner, outer = outer, outer * 2
-    raise RuntimeError("targets without a known cell in reach")
+    kind = cells.schema["h"].dataType.simpleString()
+    span = targets.agg(F.min("x").cast("long").alias("lo"), F.max("x").cast("long").alias("hi")).first()
+    lo, hi = (0, -1) if span.lo is None else (span.lo, span.hi)
+    row = cells.select(c("x").cast("long").alias("x"), c("z").cast("long").alias("kz"), "h")
+
+    def in_row(table: pa.Table) -> pa.Table:
+        t = table.sort_by("x")
+        at, x = t["x"].to_numpy(), np.arange(lo, hi + 1)
+        i = _nearest_in_row(at, x)
+        return pa.table([pa.array(x, pa.int64()), pa.array(np.full(len(x), t["kz"][0].as_py()), pa.int64()), pa.array(at[i], pa.int64()), t["h"].take(pa.array(i))], names=["x", "kz", "kx", "h"])
+
+    near = row.groupBy("kz").applyInArrow(in_row, f"x long, kz long, kx long, h {kind}")
+    both = near.unionByName(targets.select(c("x").cast("long").alias("x"), c("z").cast("long").alias("kz"), F.lit(None).cast("long").alias("kx"), F.lit(None).cast(kind).alias("h")).distinct())
+
+    def in_column(table: pa.Table) -> pa.Table:
+        t = table.sort_by("kz")
+        kx, kz = t["kx"], t["kz"].to_numpy()
+        given = np.asarray(kx.is_valid())
+        z, rows_ = kz[~given], kz[given]
+        if len(z) and not len(rows_):
+            raise RuntimeError("targets without a known cell")
+        x = t["x"][0].as_py()
+        far = (np.asarray(kx.drop_null()) - x) ** 2
+        i = _nearest_in_column(z, rows_, far) if len(z) else np.empty(0, dtype=np.int64)
+        h = t["h"].filter(pa.array(given)).take(pa.array(i))
+        return pa.table([pa.array(np.full(len(z), x), pa.int64()), pa.array(z, pa.int64()), h, pa.array((z - rows_[i]) ** 2 + far[i], pa.int64())], names=["x", "z", "h", "d2"])
+
+    return both.groupBy("x").applyInArrow(in_column, f"x long, z long, h {kind}, d2 long")
 
 
 def offsets_square(r: int) -> Column:

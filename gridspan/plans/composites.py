@@ -138,13 +138,13 @@ def build_map(tiles: DataFrame, spans: DataFrame, path: str, levels: int = 3, ro
     chunks = codec.chunk_columns(windows).checkpoint()  # read twice: to train, then to code
     table = codec.model_table(codec.pool_counts(codec.symbol_counts(chunks)))
     table.write.parquet(f"{path}/model")
-    model = codec.Model.of(chunks.sparkSession.read.parquet(f"{path}/model"))
+    model = codec.read_model(chunks.sparkSession.read.parquet(f"{path}/model"))
     return codec.write_archive(codec.encoded(chunks, model), path)
 
 
 def open_chunks(spark, path: str) -> DataFrame:
     """(level, cx, cz, lx, lz, y, cls) of an archive's chunks: blobs found by the directory, decoded."""
-    model = codec.Model.of(spark.read.parquet(f"{path}/model"))
+    model = codec.read_model(spark.read.parquet(f"{path}/model"))
     blobs = spark.read.parquet(f"{path}/shards").select("offset", "blob")
     return codec.decoded(spark.read.parquet(f"{path}/directory").join(blobs, "offset").select("level", "cx", "cz", "blob"), model)
 
