@@ -93,7 +93,7 @@ _TOWN = """town AS (SELECT x, y, z, CASE WHEN y < h THEN 1 WHEN top = h THEN CAS
 )
 def c06(t: Tables) -> DataFrame:
     """Chunks to symbols, trained tables, bytes and back to cells (w03, c05, c08): the cells are compared."""
-    chunks = _chunks(t)
+    chunks = _chunks(t).checkpoint()  # read twice: to train, then to code
     model = codec.Model.from_bytes(codec.read_model(codec.model_table(codec.pool_counts(codec.symbol_counts(chunks)))).to_bytes())
     cells = codec.decoded(codec.encoded(chunks, model), model)
     d = cells.groupBy("cx", "cz").agg(F.count(F.lit(1)).alias("cells"), F.sum((c("lx") * 40 + c("lz")) * c("cls") + c("y")).alias("mixed"))
