@@ -11,18 +11,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridspan.session import ship  # noqa: F401
 
 #: Bytes of text handled at once inside a Python worker (a longer document is a slice of its own).
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = 8192
+#: Boundaries of ranges of ids, which go to all tasks, at most; beyond as many ranges grow.
+MAX_RANGES = 10_000
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -53,6 +59,25 @@ def stage_table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key of more rows than this is hot where it also has more than 1 / HOT_KEYS of all rows.
+HOT_ROWS, HOT_KEYS = 4096, 100_000
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join (inner or left) of ``left``, a stage table, with ``right``, whose keys are unique.
+
+    Rows of hot keys would meet in one task. They stay where they are, and the right side's rows of these
+    keys, fewer than HOT_KEYS by the definition of hot, are broadcast; all other rows are joined by shuffle.
+    """
+    least = max(HOT_ROWS, left.count() // HOT_KEYS)
+    hot = stage_table(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > least).select(*keys), "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    few = right.join(F.broadcast(hot), keys, "left_semi")
+    stay = left.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(few), keys, how)
+    return stay.unionByName(left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how))
+
+
 def fold(doc_id: Column | str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; a null id is in fold 0 of its own crc (of '')."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -62,8 +87,10 @@ def fold(doc_id: Column | str, mod: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int) -> DataFrame:
     """(doc_id, text, label) of at most ``per_class`` labelled training rows of each class.
 
-    Rows are taken in the order of a hash of their id, so the sample does not depend on partitioning.
-    Only ids are ordered; the texts are fetched by a join whose small side holds 2 * per_class ids.
+    Ids are taken in the order of a hash, so the sample does not depend on partitioning. Only ids are
+    ordered; the texts are fetched by a join whose small side holds 2 * per_class ids. Of the rows that
+    repeat an id, the one whose text has the least hash is taken, so the bound holds whatever repeats;
+    rows without an id have no label.
     """
     ids = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     ids = ids.filter(train).dropDuplicates(["doc_id"])
@@ -72,31 +99,57 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     for value in (0, 1):
         part = keyed.filter(F.col("label") == value).orderBy("h", "doc_id").limit(per_class).drop("h")
         taken = part if taken is None else taken.unionByName(part)
-    return docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id")  # at most 2 * per_class rows
+    found = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id")  # at most 2 * per_class rows
+    return found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m")).select("doc_id", "m.text", "label")
 
 
-def range_buckets(df: DataFrame, column: str, per_bucket: int, row_weight: Column | None = None) -> tuple[list[int], Column]:
-    """Boundaries that cut ``column`` into ranges of about ``per_bucket`` rows, and the bucket's Column.
+class Ranges:
+    """Ranges of a long key, in rising order, of about ``per_bucket`` rows each.
 
-    The boundaries are percentiles over all rows; their number is rows / per_bucket, at most 10,000.
+    Their boundaries are percentiles over all rows, at most MAX_RANGES. A key that several percentiles
+    fall on has more rows than a range should: it is a range of its own, split on by a second hash, so
+    rows of one repeated (or missing) id do not meet in one task unless their texts are equal too.
     """
-    n = df.count()
-    parts = max(1, min(10_000, -(-n // per_bucket)))
-    cuts: list[int] = []
-    if parts > 1:
+
+    def __init__(self, cuts: list[int], times: dict[int, int]):
+        self.cuts = np.array(sorted({*cuts, *times, *(v + 1 for v in times if v < 2**63 - 1)}), dtype=np.int64)
+        self.times = np.ones(len(self.cuts) + 1, dtype=np.int64)
+        for v, k in times.items():
+            self.times[np.searchsorted(self.cuts, v, "right")] = k
+        self.base = np.cumsum(self.times) - self.times
+
+    @property
+    def n(self) -> int:
+        return int(self.times.sum())
+
+    @classmethod
+    def of(cls, rows: DataFrame, key: str, per_bucket: int) -> Ranges:
+        parts = max(1, min(MAX_RANGES, -(-rows.count() // per_bucket)))
+        if parts == 1:
+            return cls([], {})
         share = [i / parts for i in range(1, parts)]
-        got = df.select(F.percentile_approx(column, share, max(10_000, 20 * parts)).alias("q")).first()["q"] or []
-        cuts = sorted({int(x) for x in got if x is not None})
-    if not cuts:
-        return cuts, F.lit(0)
-    # a binary search over a literal array, built in: position of the first cut above the value
-    c = F.col(column)
-    found = F.expr(f"array({','.join(f'{x}L' for x in cuts)})")
-    return cuts, F.coalesce(F.size(F.filter(found, lambda x: x <= c)), F.lit(0))
-
-
-def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with about ``limit`` bytes of text, and the texts as UTF-8 (null: empty)."""
+        got = Counter(rows.select(F.percentile_approx(key, share, max(10_000, 20 * parts)).alias("q")).first()["q"])
+        return cls(list(got), {v: k + 1 for v, k in got.items() if k > 1})
+
+    def number(self, key: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The range of each key, those of one hot key in the order of the hash."""
+        r = np.searchsorted(self.cuts, key, "right")
+        top = (h.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+        return self.base[r] + (top.astype(np.int64) * self.times[r] >> 32)
+
+    def column(self, key: str, h: str) -> Column:
+        """``number`` as a Column; only the two longs go through Python."""
+        ranges = self
+
+        @F.pandas_udf("int")
+        def place(k: pd.Series, v: pd.Series) -> pd.Series:
+            return pd.Series(ranges.number(k.to_numpy(), v.to_numpy()).astype(np.int32))
+
+        return place(key, h)
+
+
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with about ``limit`` bytes of text and at most ``rows`` rows, and the texts as UTF-8 (null: empty)."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
         if isinstance(col, pa.ChunkedArray):
@@ -110,18 +163,18 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = S
         while at < n:
             base = ends[at - 1] if at else 0
             stop = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
-            stop = min(stop, n, at + 8192)
+            stop = min(stop, n, at + rows)
             yield batch.slice(at, stop - at), [x or b"" for x in col.slice(at, stop - at).to_pylist()]
             at = stop
 
 
-def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch | None], schema: str, text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
+def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch | None], schema: str | T.StructType, text: str = "text", limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> DataFrame:
     """``mapInArrow`` over bounded slices: fn(slice, texts) -> RecordBatch of ``schema``."""
 
     ship(df.sparkSession)
 
     def run(batches):
-        for part, texts in slices(batches, text, limit):
+        for part, texts in slices(batches, text, limit, rows):
             out = fn(part, texts)
             if out is not None and out.num_rows:
                 yield out

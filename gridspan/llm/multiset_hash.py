@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspan.llm.common import SLICE_BYTES, TextBlock, column, mix, range_buckets, read_table, ship  # noqa: F401
+from gridspan.llm.common import SLICE_BYTES, Ranges, TextBlock, column, mix, ship
 
 SIGNS, WORDS = 192, 2
 HEX = SIGNS * 8 + WORDS * 16
@@ -111,40 +111,40 @@ def fingerprint_pairs(docs: DataFrame, per_bucket: int = 4000) -> DataFrame:
     Texts move once: documents are dealt to ranges of about ``per_bucket`` ids and sorted there; the
     last of a range finds the next in a guest row, a copy of the first row of the range below.
 
-    Null texts count as empty. Null ids come after all others. Rows of one id are ordered by text.
-    A single document is its own next. An empty table gives an empty result.
+    Null texts count as empty. Null ids come after all others. Rows of one id are ordered by a hash of
+    their texts; however many there are, one row at most is a guest. A single document is its own next.
+    An empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"))
-    cuts, bucket = range_buckets(rows, "key", per_bucket)
-    rows = rows.withColumn("bucket", bucket.cast("int"))
-    heads = {r.bucket: r.head for r in rows.groupBy("bucket").agg(F.max("key").alias("head")).collect()}  # a row for each range
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key")).withColumn("h", F.xxhash64("text"))
+    ranges = Ranges.of(rows, "key", per_bucket)
+    rows = rows.withColumn("bucket", ranges.column("key", "h") if ranges.n > 1 else F.lit(0))
+    heads = {r.bucket: (r.head.key, r.head.h) for r in rows.groupBy("bucket").agg(F.max(F.struct("key", "h")).alias("head")).collect()}  # a row for each range
     there = sorted(heads)
     # the guest of a range is the first row of the next range below, of the lowest that of the highest
-    to = [(heads[there[i - 1]], b) for i, b in enumerate(there)]
+    to = [(*heads[there[i - 1]], b) for i, b in enumerate(there)]
     own = rows.withColumn("guest", F.lit(False))
-    parts = max(1, len(cuts) + 1)
+    parts = max(1, len(there))
     if to:
-        small = F.broadcast(spark.createDataFrame(to, "key long, home int"))  # a row for each range
-        guests = rows.drop("bucket").join(small, "key").select("doc_id", "text", "key", F.col("home").alias("bucket"), F.lit(True).alias("guest"))
+        small = F.broadcast(spark.createDataFrame(to, "key long, h long, home int"))  # a row for each range
+        guests = rows.drop("bucket").join(small, ["key", "h"]).dropDuplicates(["home"]).select("doc_id", "text", "key", "h", F.col("home").alias("bucket"), F.lit(True).alias("guest"))
         own = own.unionByName(guests)
-    dealt = own.repartitionById(parts, F.col("bucket")).sortWithinPartitions(F.col("bucket"), F.col("guest"), F.col("key").desc(), F.col("text"))
+    number = F.create_map(*[F.lit(v) for i, b in enumerate(there) for v in (b, i)]) if len(there) != ranges.n and there else None
+    place = F.col("bucket") if number is None else number[F.col("bucket")]
+    dealt = own.repartitionById(parts, place).sortWithinPartitions(F.col("bucket"), F.col("guest"), F.col("key").desc(), F.col("h").desc(), F.col("text"))
 
     def run(batches):
         held: list[tuple] = []  # rows whose next is not seen yet, all but the last having it
-        size, done = 0, None
+        size = 0
         for batch in batches:
-            cols = [column(batch, c).to_pylist() for c in ("doc_id", "text", "bucket", "guest")]
-            for doc_id, text, b, guest in zip(*cols, strict=True):
-                if b == done:
-                    continue  # other rows of the guest's id
+            for doc_id, text, guest in zip(*(column(batch, n).to_pylist() for n in ("doc_id", "text", "guest")), strict=True):
                 held.append((doc_id, text))
                 size += len(text)
                 if guest:
                     if len(held) > 1:
                         yield _paired(held)
-                    held, size, done = [], 0, b
+                    held, size = [], 0
                 elif size > SLICE_BYTES:
                     yield _paired(held)
                     held, size = held[-1:], len(text)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridspan.llm.common import TOKEN_SLICE, column, encode_ids, map_texts, range_buckets, shared_dir, ship, stage_table, tokenizer_path
+from gridspan.llm.common import TOKEN_SLICE, Ranges, column, encode_ids, map_texts, shared_dir, ship, stage_table, tokenizer_path
 
 SCALE = 18
 LANES = 1024
@@ -147,16 +147,19 @@ def decode_block(block: bytes, table: Table) -> tuple[dict, np.ndarray]:
 # --- tables -------------------------------------------------------------------------------------------
 
 
-def tokenized(docs: DataFrame) -> DataFrame:
-    """(doc_id, ids): ids with the end id, as little-endian unsigned 16-bit integers."""
+def tokenized(docs: DataFrame, ranges: Ranges) -> DataFrame:
+    """(doc_id, h, ids, bucket): ids with the end id, as little-endian unsigned 16-bit integers, a hash
+    of the text, and the range of ids; rows without doc_id are in the last."""
     path = tokenizer_path()
 
     def run(part, texts):
         ids, at = encode_ids(texts, path, end=True)
         offsets, values = pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(ids.astype("<u2"))
-        return pa.RecordBatch.from_arrays([column(part, "doc_id").cast(pa.int64()), pa.Array.from_buffers(pa.binary(), len(texts), [None, offsets, values])], ["doc_id", "ids"])
+        h = np.asarray(column(part, "h"))
+        bucket = ranges.number(np.asarray(column(part, "doc_id").fill_null(2**63 - 1)), h)
+        return pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(h), pa.Array.from_buffers(pa.binary(), len(texts), [None, offsets, values]), pa.array(bucket, pa.int64())], ["doc_id", "h", "ids", "bucket"])
 
-    return map_texts(docs.select("doc_id", "text"), run, "doc_id long, ids binary", limit=TOKEN_SLICE)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text"), run, "doc_id long, h long, ids binary, bucket long", limit=TOKEN_SLICE)
 
 
 def count_ids(table: DataFrame) -> np.ndarray:
@@ -182,16 +185,15 @@ def write_binary(docs: DataFrame, path: str, block_ids: int = BLOCK_IDS, per_buc
     written at ``path``/table as well.
 
     Defined results: a null text is empty (the end id alone). Rows that repeat a doc_id stay apart, in
-    the order of their ids' bytes. Rows without doc_id come after all others, in blocks of their own kind,
-    and are read back without one. An empty table writes no block. A document longer than a block has a block of its own.
+    the order of a hash of their texts. Rows without doc_id come after all others, in that order, in
+    blocks of their own kind, and are read back without one. An empty table writes no block. A document
+    longer than a block has a block of its own.
     """
     spark = docs.sparkSession
     ship(spark)
-    cuts, bucket = range_buckets(docs.select("doc_id"), "doc_id", per_bucket)
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(bucket)
-    dealt = tokenized(docs).withColumn("bucket", bucket.cast("int"))
+    dealt = tokenized(docs, Ranges.of(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("key")), "key", per_bucket))
     # each document's first position in its range goes along, so that the table may be read in any split
-    ahead_of = Window.partitionBy("bucket").orderBy("doc_id", "ids").rowsBetween(Window.unboundedPreceding, -1)
+    ahead_of = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_last(), "h", "ids").rowsBetween(Window.unboundedPreceding, -1)
     placed = F.coalesce(F.sum((F.octet_length("ids") / 2).cast("long")).over(ahead_of), F.lit(0).cast("long"))
     ids = stage_table(dealt.select("doc_id", "ids", "bucket", placed.alias("pos")), "token-ids", "lz4")
     table = Table(count_ids(ids))

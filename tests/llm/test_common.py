@@ -1,9 +1,11 @@
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gridspan.llm import common
 from gridspan.llm.common import TextBlock, WordTable, encode_ids, tokenizer_path
@@ -59,12 +61,45 @@ def test_words_and_lines():
 
 
 @pytest.mark.parametrize("n", [1, 7, 40])
-def test_range_buckets(spark, n):
-    d = spark.range(100).selectExpr("id * 3 as k")
-    cuts, bucket = common.range_buckets(d, "k", n)
-    rows = d.select("k", bucket.alias("b")).orderBy("k").collect()
+def test_ranges(spark, n):
+    d = spark.range(100).selectExpr("id * 3 as k", "xxhash64(id) as h")
+    ranges = common.Ranges.of(d, "k", n)
+    rows = d.select("k", ranges.column("k", "h").alias("b")).orderBy("k").collect()
     assert [r.b for r in rows] == sorted(r.b for r in rows)
-    assert len(cuts) <= len({r.b for r in rows}) <= len(cuts) + 1
+    assert {r.b for r in rows} <= set(range(ranges.n)) and -(-100 // n) <= ranges.n <= 3 * -(-100 // n)
+    assert max(Counter(r.b for r in rows).values()) <= 1.2 * n + 1
+
+
+def test_a_hot_key_is_split_by_the_hash(spark):
+    d = spark.range(20_000).selectExpr("if(id % 2 = 0, 5000, id) as k", "xxhash64(id) as h")
+    ranges = common.Ranges.of(d, "k", 500)
+    rows = d.select("k", "h", ranges.column("k", "h").alias("b")).toPandas()
+    assert rows.groupby("b").size().max() < 1000
+    hot, rest = rows[rows.k == 5000], rows[rows.k != 5000]
+    assert not set(hot.b) & set(rest.b) and len(set(hot.b)) >= 18
+    order = rows.sort_values(["k", "h"])
+    assert (order.b.diff().dropna() >= 0).all()
+
+
+def test_skew_join(spark, monkeypatch):
+    left = common.stage_table(spark.range(3000).selectExpr("if(id % 3 = 0, 7, id % 50) as k", "id as v"), "left")
+    right = spark.range(5, 40).selectExpr("id as k", "id * 2 as w")
+    for how in ("inner", "left"):
+        want = sorted(map(str, left.join(right, "k", how).collect()))
+        for hot in (4096, 100):
+            monkeypatch.setattr(common, "HOT_ROWS", hot)
+            assert sorted(map(str, common.skew_join(left, right, ["k"], how).select("k", "v", "w").collect())) == want
+
+
+def test_labelled_sample_is_bounded(spark):
+    docs = spark.range(10_000).selectExpr("if(id < 9000, 1, id) as doc_id", "concat('text ', id % 4000) as text").unionByName(spark.createDataFrame([(None, "x")] * 50, "doc_id long, text string"))
+    labels = spark.range(1, 10_000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    got = common.labelled_sample(docs, labels, "toxic", F.lit(True), 20)
+    assert got.count() <= 40
+    one = common.labelled_sample(docs, labels.filter("doc_id = 1"), "toxic", F.lit(True), 20).collect()
+    assert len(one) == 1 and one[0].label == 1
+    again = common.labelled_sample(docs.repartition(7), labels.filter("doc_id = 1"), "toxic", F.lit(True), 20).collect()
+    assert one == again
 
 
 def test_hashes_do_not_depend_on_steps(monkeypatch):
