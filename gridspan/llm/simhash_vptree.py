@@ -4,27 +4,29 @@ Fingerprint. A text's A-Z are lower-cased; its words are runs of bytes other tha
 0x09-0x0D; a shingle is three words joined by spaces (fewer words: all of them; none: fingerprint
 0). A bit is 1 where over half of the shingles' XXH64 (seed 42) have it, repeats included.
 
-Links. Two fingerprints link at ``radius`` or fewer differing bits. The search structure is a forest
-of vantage-point trees over the Hamming metric, in three levels:
-
-1. *Block metrics.* With more blocks than ``radius``, two linked fingerprints agree on ``agree`` whole
-   blocks, so in the metric "differing bits within these blocks" their distance is 0. A tree of the
-   forest parts all fingerprints by that metric's distance to the vantage codes; there the triangle
-   bound has width 0 and no fingerprint is on a boundary. One tree for each choice of blocks.
-2. *Shards.* A part above ``shard_rows`` is split again by the distance of whole fingerprints to
-   vantage points: at most the radius mu (inside) or beyond it (outside). A fingerprint x can link to
-   one inside only if d(x, v) <= mu + radius, so those just outside are also sent inside as *queries*.
-3. *In a shard*, a vantage-point tree in memory: branches that |d(x, v) - mu| rules out are pruned and
-   the leaves compared exactly.
+Links. Two fingerprints link at ``radius`` or fewer differing bits. Fingerprints of unrelated texts lie
+32 bits apart with a deviation of 4, so in the whole metric a radius of 3 is most of the spread and the
+triangle bound prunes little. Of two linked codes, though, either the low halves differ in at most
+(radius - 1) // 2 bits or the high halves in at most the rest of radius - 1 (one bit each for radius
+3). So there are two vantage-point trees, each over all fingerprints in the Hamming metric of one half
+with that smaller radius rho, and every link is found in one of them or both.
+
+* A tree's upper part is learned on the driver from a bounded sample: a node has a vantage point v and
+  a radius mu, and parts codes by d(x, v) <= mu. Its leaves are *shards* of about ``shard_rows`` codes.
+* Every code has one home shard. By the triangle bound it can link to a code inside only if
+  d(x, v) <= mu + rho, and to one outside only if d(x, v) > mu - rho; those just outside a boundary are
+  also sent inside, as *queries* of the shards on that side. Shards that the bound rules out are pruned.
+* A shard's task builds the tree on over its home codes, down to leaves that are compared exactly, and
+  searches it for the home codes and then for the queries, which stream past in batches.
 
 Shards give no list of pairs, but a spanning forest of the links they found (fewer edges than
-fingerprints); components are then joined across shards by star contraction. Nothing but vantage
-points (``shard_rows`` bounds their number) and counts goes to the driver.
+fingerprints); components are then joined across shards by star contraction. Only the sample (SAMPLE
+codes a shard, MAX_SHARDS shards at most; with more codes shards grow) and counts go to the driver.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridspan.llm.common import TextBlock, column, map_texts, stage_table
+from gridspan.llm.common import TextBlock, column, map_texts, mix, stage_table
 
 LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 
 
-def fingerprints_of(texts: list[bytes], shingle: int = 3) -> np.ndarray:
-    """Unsigned 64-bit fingerprints of UTF-8 texts."""
+def fingerprints_of(texts: list[bytes], shingle: int = 3, more: int = 0) -> np.ndarray:
+    """Unsigned 64-bit fingerprints of UTF-8 texts. ``more``: that many others of each text beside it,
+    whose bits come from other mixtures of the same shingle hashes; the result has 1 + more columns."""
     import xxhash
 
     block = TextBlock([t.translate(LOWER) for t in texts])
@@ -49,19 +52,19 @@ def fingerprints_of(texts: list[bytes], shingle: int = 3) -> np.ndarray:
     packed = np.where(block.ws, np.uint8(0x20), block.buf)[keep].tobytes()
     stop = np.cumsum(size + 1) - 1
     start = stop - size
-    out = np.zeros(block.n, dtype=np.uint64)
+    out = np.zeros((block.n, 1 + more), dtype=np.uint64)
     n_sh = np.where(block.n_words >= shingle, block.n_words - shingle + 1, np.minimum(block.n_words, 1))
     doc = np.repeat(np.arange(block.n), n_sh)
-    if not len(doc):
-        return out
-    base = np.concatenate(([0], np.cumsum(n_sh)))[:-1]
-    first = block.first_word[doc] + np.arange(len(doc)) - base[doc]
-    last = np.minimum(first + shingle, block.first_word[doc + 1]) - 1
-    h = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(packed[a:b], 42) for a, b in zip(start[first].tolist(), stop[last].tolist(), strict=True)), dtype=np.uint64, count=len(doc))
-    ones = block.bit_sums(doc, block.n, hashes[:, None])
-    out[:] = np.packbits(2 * ones > n_sh[:, None], axis=1).view(">u8").ravel()
-    return out
+    if len(doc):
+        base = np.concatenate(([0], np.cumsum(n_sh)))[:-1]
+        first = block.first_word[doc] + np.arange(len(doc)) - base[doc]
+        last = np.minimum(first + shingle, block.first_word[doc + 1]) - 1
+        h = xxhash.xxh64_intdigest
+        hashes = np.fromiter((h(packed[a:b], 42) for a, b in zip(start[first].tolist(), stop[last].tolist(), strict=True)), dtype=np.uint64, count=len(doc))
+        for k in range(1 + more):
+            ones = block.bit_sums(doc, block.n, (mix(hashes, 300 + k) if k else hashes)[:, None])
+            out[:, k] = np.packbits(2 * ones > n_sh[:, None], axis=1).view(">u8").ravel()
+    return out if more else out[:, 0]
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
@@ -73,241 +76,302 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     return map_texts(docs.select("doc_id", "text"), run, "doc_id long, fp long")
 
 
-# --- one shard ----------------------------------------------------------------------------------------
+# --- metrics and trees ----------------------------------------------------------------------------------
+
+LOW_HALF, HIGH_HALF, WHOLE = np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF << 32), np.uint64(2**64 - 1)
+#: Codes of a shard's sample, and the most shards a tree has.
+SAMPLE, MAX_SHARDS = 256, 1 << 14
+#: A split that sends more than this share to one side is none.
+POOR = 0.9
+
+
+def distance(codes: np.ndarray, v, mask) -> np.ndarray:
+    return np.bitwise_count((codes ^ v) & mask).astype(np.int64)
 
 
-def _find(parent: np.ndarray, x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
+@dataclass
+class Node:
+    """Codes with d(x, v) <= mu under ``mask`` are near, the others far; links there have d <= rho."""
+
+    v: np.uint64
+    mask: np.uint64
+    rho: int
+    mu: int
+    near: Node | int
+    far: Node | int
+
+
+def metrics(radius: int) -> list[tuple[np.uint64, int]]:
+    """The half metrics of the two trees: of each the mask and the largest distance of what it must find."""
+    low = (radius - 1) // 2
+    return [(LOW_HALF, low), (HIGH_HALF, radius - 1 - low)]
+
+
+def choose(sample: np.ndarray, ways: list[tuple[np.uint64, int]], tries: int) -> tuple[float, tuple] | None:
+    """The vantage point, metric and mu that leave the smaller larger side, boundary included."""
+    best = None
+    for v in sample[:: max(1, len(sample) // tries)][:tries]:
+        for mask, rho in ways:
+            n = np.cumsum(np.bincount(distance(sample, v, mask), minlength=66)) / len(sample)
+            mu = np.arange(64)
+            worst = np.maximum(n[np.minimum(mu + rho, 65)], 1 - n[mu])
+            worst[(n[mu] == 0) | (n[mu] == 1)] = 1
+            k = int(worst.argmin())
+            if worst[k] < 1 and (best is None or worst[k] < best[0]):
+                best = (float(worst[k]), (v, mask, rho, k))
+    return best
+
+
+def ways_of(mask: np.uint64, rho: int, radius: int) -> list[list[tuple[np.uint64, int]]]:
+    """A tree's own metric; and where that does not part a family of codes, the others, whose bound is
+    the whole radius."""
+    return [[(mask, rho)], [(~mask & WHOLE, radius), (WHOLE, radius)]]
+
+
+def plan_shards(sample: np.ndarray, rows: int, shard_rows: int, mask: np.uint64, rho: int, radius: int, first: int = 0) -> tuple[Node | int, int]:
+    """The upper part of a tree, its leaves numbered from ``first`` on, and the next number."""
+    if rows > shard_rows and len(sample) >= 16:
+        for ways in ways_of(mask, rho, radius):
+            found = choose(sample, ways, 8)
+            if found is not None and found[0] <= POOR:
+                v, m, r, mu = found[1]
+                inside = distance(sample, v, m) <= mu
+                near, nxt = plan_shards(sample[inside], int(rows * inside.mean()), shard_rows, mask, rho, radius, first)
+                far, nxt = plan_shards(sample[~inside], int(rows * (~inside).mean()), shard_rows, mask, rho, radius, nxt)
+                return Node(v, m, r, mu, near, far), nxt
+    return first, first + 1
+
+
+def route(root: Node | int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shard, query): the home shard of every code, and the shards that it must query."""
+    rows, shards, queries = [], [], []
+    stack = [(root, np.arange(len(codes)), np.zeros(len(codes), dtype=bool))]
+    while stack:
+        node, at, query = stack.pop()
+        if not len(at):
+            continue
+        if not isinstance(node, Node):
+            rows.append(at)
+            shards.append(np.full(len(at), node, dtype=np.int32))
+            queries.append(query)
+            continue
+        d = distance(codes[at], node.v, node.mask)
+        # home codes go to their side, those outside but near the boundary query the inside as well
+        near = d <= node.mu + node.rho
+        stack.append((node.near, at[near], query[near] | (d[near] > node.mu)))
+        far = d > np.where(query, node.mu - node.rho, node.mu)
+        stack.append((node.far, at[far], query[far]))
+    none = np.empty(0, dtype=np.int64)
+    return (np.concatenate(rows), np.concatenate(shards), np.concatenate(queries)) if rows else (none, none.astype(np.int32), none.astype(bool))
+
+
+class Forest:
+    """Spanning edges of the links met: union-find over codes by index."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+        self.edges: list[tuple[int, int]] = []
+
+    def _find(self, x: int) -> int:
+        parent = self.parent
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = int(parent[x])
+        return x
+
+    def unite(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a) > 256:  # many links between few components: one of each pair of components
+            root = self.parent
+            while (root[root] != root).any():
+                root = root[root]
+            self.parent = root.copy()
+            p, q = root[a], root[b]
+            key = np.minimum(p, q) * np.int64(len(root)) + np.maximum(p, q)
+            _, at = np.unique(np.where(p == q, -1, key), return_index=True)
+            a, b = a[at], b[at]
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            p, q = self._find(x), self._find(y)
+            if p != q:
+                self.parent[max(p, q)] = min(p, q)
+                self.edges.append((x, y))
 
 
 class VPTree:
-    """A vantage-point tree over distinct 64-bit codes; ``linked`` unites codes within a radius."""
-
-    LEAF = 64
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-
-    def linked(self, radius: int) -> list[tuple[int, int]]:
-        """Edges of a spanning forest of the graph "at most radius bits apart"."""
-        parent = np.arange(len(self.codes))
-        edges: list[tuple[int, int]] = []
-
-        def unite(a: np.ndarray, b: np.ndarray) -> None:
-            for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                p, q = _find(parent, x), _find(parent, y)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-                    edges.append((x, y))
-
-        def pairs(a: np.ndarray, b: np.ndarray | None) -> None:
-            """Links of rows a with rows b (None: within a), in blocks."""
-            for k in range(0, len(a), 1024):
-                left = a[k : k + 1024]
-                right = a[k:] if b is None else b
-                near = np.bitwise_count(self.codes[left][:, None] ^ self.codes[right][None, :]) <= radius
-                if b is None:
-                    near &= np.arange(len(right))[None, :] > np.arange(len(left))[:, None]
-                i, j = np.nonzero(near)
-                if len(i) > 4 * len(right):  # dense: compare components first, union only what is new
-                    root = np.array([_find(parent, x) for x in range(len(parent))])
-                    new = root[left[i]] != root[right[j]]
-                    i, j = i[new], j[new]
-                unite(left[i], right[j])
-
-        # (rows of the branch, rows beyond its boundary that may still link into it)
-        todo = [(np.arange(len(self.codes)), np.empty(0, dtype=np.int64))]
-        while todo:
-            own, beyond = todo.pop()
-            if not len(own):
+    """A vantage-point tree over distinct 64-bit codes, of one metric."""
+
+    LEAF = 128
+    #: Code pairs compared at once.
+    PAIRS = 1 << 20
+
+    def __init__(self, codes: np.ndarray, mask: np.uint64, rho: int, radius: int):
+        self.codes, self.radius = codes, radius
+        self.ways = ways_of(mask, rho, radius)
+        self.splits = 0
+        #: Branches that queries went into, those that the bound spared them, and pairs compared.
+        self.followed, self.pruned, self.compared = 0, 0, 0
+        self.leaves: list[np.ndarray] = []
+        self.root = self._build(np.arange(len(codes)))
+
+    def _build(self, rows: np.ndarray) -> Node | int:
+        if len(rows) > self.LEAF:
+            for ways in self.ways:
+                found = choose(self.codes[rows[:: max(1, len(rows) // 256)]], ways, 2)
+                if found is None or found[0] > POOR:
+                    continue
+                v, mask, rho, mu = found[1]
+                inside = distance(self.codes[rows], v, mask) <= mu
+                if inside.all() or not inside.any():
+                    continue
+                self.splits += 1
+                return Node(v, mask, rho, mu, self._build(rows[inside]), self._build(rows[~inside]))
+        self.leaves.append(rows)
+        return len(self.leaves) - 1
+
+    def search(self, queries: np.ndarray, found, own: bool = False) -> None:
+        """found(query index, code index) for all pairs within the radius. ``own``: the queries are the
+        tree's codes, and each pair is met once."""
+        stack = [(self.root, np.arange(len(queries)), np.zeros(len(queries), dtype=bool) if own else np.ones(len(queries), dtype=bool))]
+        while stack:
+            node, at, foreign = stack.pop()
+            if not len(at):
                 continue
-            d = None
-            if len(own) > self.LEAF:
-                v = self.codes[own[len(own) // 2]]
-                d = np.bitwise_count(self.codes[own] ^ v).astype(np.int64)
-                mu = int(np.median(d))
-                if mu == d.max():
-                    mu -= 1
-                inside = d <= mu
-            if d is None or mu < 0 or inside.all() or not inside.any():
-                pairs(own, None)
-                if len(beyond):
-                    pairs(own, beyond)
+            if not isinstance(node, Node):
+                leaf = self.leaves[node]
+                self.compared += len(leaf) * len(at)
+                step = max(1, self.PAIRS // max(1, len(leaf)))
+                for k in range(0, len(at), step):
+                    part = at[k : k + step]
+                    near = np.bitwise_count(queries[part][:, None] ^ self.codes[leaf][None, :]) <= self.radius
+                    if own:
+                        near &= foreign[k : k + step][:, None] | (part[:, None] < leaf[None, :])
+                    i, j = np.nonzero(near)
+                    if len(i):
+                        found(part[i], leaf[j])
                 continue
-            far = np.bitwise_count(self.codes[beyond] ^ v).astype(np.int64)
-            shell = own[~inside & (d <= mu + radius)]
-            todo.append((own[inside], np.concatenate((beyond[far <= mu + radius], shell))))
-            todo.append((own[~inside], beyond[far > mu - radius]))
-        return edges
-
-
-def _shard_edges(key: np.ndarray, codes: np.ndarray, rep: np.ndarray, query: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (rep, rep) of the sorted shards in these arrays; a pair of two queries is left out
-    where it is found elsewhere, but costs nothing to find twice."""
-    edge_a, edge_b = [], []
-    cut = np.flatnonzero(np.diff(key)) + 1
-    start = np.concatenate(([0], cut))
-    size = np.diff(np.concatenate((start, [len(key)])))
-    small = size <= VPTree.LEAF
-    # small shards, the leaves: all at once, by the offset of two rows
-    width = int(size[small].max()) if small.any() else 0
-    end_of = np.repeat(start + size, size)
-    is_small = np.repeat(small, size)
-    rows = np.flatnonzero(is_small)
-    for k in range(1, width):
-        rows = rows[rows + k < end_of[rows]]
-        if not len(rows):
-            break
-        near = np.bitwise_count(codes[rows] ^ codes[rows + k]) <= radius
-        edge_a.append(rep[rows[near]])
-        edge_b.append(rep[rows[near] + k])
-    for s, n in zip(start[~small].tolist(), size[~small].tolist(), strict=True):
-        part = slice(s, s + n)
-        codes_, first = np.unique(codes[part], return_index=True)
-        reps = rep[part][first]
-        for x, y in VPTree(codes_).linked(radius):
-            edge_a.append(reps[[x]])
-            edge_b.append(reps[[y]])
-    none = np.empty(0, dtype=np.int64)
-    return (np.concatenate(edge_a), np.concatenate(edge_b)) if edge_a else (none, none)
+            d = distance(queries[at], node.v, node.mask)
+            near = d <= node.mu + node.rho
+            stack.append((node.near, at[near], foreign[near] | (d[near] > node.mu)))
+            far = d > np.where(foreign, node.mu - node.rho, node.mu)
+            stack.append((node.far, at[far], foreign[far]))
+            went = int(near.sum() + far.sum())
+            self.followed, self.pruned = self.followed + went, self.pruned + 2 * len(at) - went
+
+    def linked(self) -> Forest:
+        """The forest of the tree's own codes."""
+        forest = Forest(len(self.codes))
+        self.search(self.codes, forest.unite, own=True)
+        return forest
+
+
+class Shard:
+    """A shard's search: home codes first, then any number of batches of queries."""
+
+    def __init__(self, tree: int, codes: np.ndarray, rep: np.ndarray, radius: int):
+        self.rep = rep
+        self.tree = VPTree(codes, *metrics(radius)[tree], radius)
+        self.parent = None
+
+    def edges(self, queries: np.ndarray | None = None, rep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.rep)
+        if queries is None:
+            forest, names = self.tree.linked(), self.rep
+        else:
+            forest, names = Forest(n + len(queries)), np.concatenate((self.rep, rep))
+            forest.parent[:n] = self.parent
+            self.tree.search(queries, lambda q, x: forest.unite(q + n, x))
+        root = forest.parent
+        while (root[root] != root).any():
+            root = root[root]
+        self.parent = root[:n]  # roots are the least index, and home codes come first
+        a, b = np.array(forest.edges, dtype=np.int64).reshape(-1, 2).T
+        return names[a], names[b]
 
 
 # --- the forest ----------------------------------------------------------------------------------------
 
-#: Most parts that are split by vantage points.
-MAX_HOT = 100_000
-
 
-def block_plan(n: int, radius: int, shard_rows: int) -> list[list[tuple[int, int]]]:
-    """The trees of the forest: of each, the (shift, width) of the blocks it looks at.
+def plan_trees(fps: DataFrame, radius: int, shard_rows: int, n: int) -> list[Node | int]:
+    """The upper parts of the two trees. The sample is drawn by a hash of the code."""
+    shard_rows = max(shard_rows, -(-n // MAX_SHARDS))
+    if n <= shard_rows:
+        return [0, 1]
+    share = min(1.0, SAMPLE * max(4, 2 * n // shard_rows) / n)
+    drawn = fps.filter(F.pmod(F.xxhash64("fp", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20))).select("fp").toPandas()["fp"]
+    sample = np.sort(drawn.to_numpy(dtype=np.int64)).view(np.uint64)
+    out, first = [], 0
+    for mask, rho in metrics(radius):
+        root, first = plan_shards(sample, n, shard_rows, mask, rho, radius, first)
+        out.append(root)
+    return out
 
-    64 bits in ``radius + agree`` blocks: linked codes agree on ``agree`` of them. More blocks make
-    smaller parts and more trees; the fewest blocks are taken with which n / 2**bits fits a shard.
-    """
-    for agree in range(1, 5):
-        m = radius + agree
-        edges = [64 * i // m for i in range(m + 1)]
-        blocks = [(edges[i], edges[i + 1] - edges[i]) for i in range(m)]
-        trees = [list(c) for c in combinations(blocks, agree)]
-        if n / 2 ** min(sum(w for _, w in t) for t in trees) <= shard_rows / 64:
-            break
-    return trees
-
-
-def _vantage_tree(sample: np.ndarray, count: int, shard_rows: int, radius: int) -> list:
-    """A tree of (vantage code, mu, inside, outside), a leaf being None. A split stays only where
-    the boundary, as the sample shows it, does not send nearly everything to both sides."""
-    if count <= shard_rows or len(sample) < 16:
-        return None
-    v = sample[0]
-    d = np.bitwise_count(sample ^ v).astype(np.int64)
-    best = None
-    for mu in range(int(d.min()), int(d.max())):
-        inside, shell = (d <= mu).mean(), ((d > mu) & (d <= mu + radius)).mean()
-        worst = max(inside + shell, 1 - inside)
-        if best is None or worst < best[0]:
-            best = (worst, mu)
-    if best is None or best[0] > 0.9:
-        return None
-    mu = best[1]
-    near, far = sample[d <= mu + radius], sample[d > mu]
-    return [int(v), mu, _vantage_tree(near[1:], int(count * len(near) / len(sample)), shard_rows, radius), _vantage_tree(far, int(count * len(far) / len(sample)), shard_rows, radius)]
 
+def shards_of(root: Node | int) -> int:
+    """The last shard's number."""
+    while isinstance(root, Node):
+        root = root.far
+    return root
 
-def links(fps: DataFrame, radius: int = 3, shard_rows: int = 4096, n: int | None = None) -> DataFrame:
-    """(a, b): edges that connect exactly the fingerprints linked, directly or by others.
 
-    ``fps``: (fp, rep), distinct fp. Parts above ``shard_rows`` are split by vantage points learned
-    from a sample of their codes, taken by a hash: 1,024 of each, fewer where there are over a thousand
-    such parts. Shards grow with n beyond MAX_HOT * shard_rows codes, so that there are never more than
-    MAX_HOT parts to split, and about 2**20 + 64 * MAX_HOT sampled codes on the driver.
-    """
-    spark = fps.sparkSession
-    n = fps.count() if n is None else n
-    trees = block_plan(n, radius, shard_rows)
-    shard_rows = max(shard_rows, len(trees) * n // MAX_HOT)
-
-    def part_key(blocks):
-        key = F.lit(0).cast("long")
-        for shift, width in blocks:
-            key = key * F.lit(1 << width) + F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
-        return key
-
-    keyed = fps.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(i).alias("tree"), part_key(b).alias("part")) for i, b in enumerate(trees)])).alias("k")).select("fp", "rep", "k.tree", "k.part")
-    sizes = keyed.groupBy("tree", "part").agg(F.count(F.lit(1)).alias("rows"))
-    hot = {(r.tree, r.part): r.rows for r in sizes.filter(F.col("rows") > shard_rows).collect()}  # at most MAX_HOT parts
-    split: dict[tuple[int, int], list] = {}
-    if hot:
-        take = max(64, min(1024, (1 << 20) // len(hot)))
-        at = F.broadcast(spark.createDataFrame([(t, p, min(1.0, take / c)) for (t, p), c in hot.items()], "tree int, part long, share double"))
-        drawn = keyed.join(at, ["tree", "part"]).filter(F.pmod(F.xxhash64("fp", F.lit(11)), F.lit(1 << 20)) < F.col("share") * (1 << 20))
-        got: dict[tuple[int, int], list[int]] = {}
-        for r in drawn.select("tree", "part", "fp").toLocalIterator():
-            got.setdefault((r.tree, r.part), []).append(r.fp)
-        for k, codes in got.items():
-            split[k] = _vantage_tree(np.sort(np.array(codes, dtype=np.int64)).view(np.uint64)[np.random.default_rng(0).permutation(len(codes))], hot[k], shard_rows, radius)
-        split = {k: v for k, v in split.items() if v}
+def dealt(fps: DataFrame, trees: list[Node | int]) -> DataFrame:
+    """(tree, shard, fp, rep, query): every fingerprint's home shards and those that it queries."""
+    sent = fps.sparkSession.sparkContext.broadcast(trees)  # at most 2 * MAX_SHARDS nodes
 
     def place(batches):
-        """Home shard of each row, and the shards it must query across a boundary."""
         for b in batches:
-            tree, part = (np.asarray(column(b, c)) for c in ("tree", "part"))
-            fp, rep = (np.asarray(column(b, c)) for c in ("fp", "rep"))
-            shard = np.zeros(len(fp), dtype=np.int64)
-            extra: list[tuple[np.ndarray, int]] = []
-            order = np.lexsort((part, tree))
-            cuts = np.flatnonzero((np.diff(tree[order]) != 0) | (np.diff(part[order]) != 0)) + 1
-            for rows in np.split(order, cuts):
-                root = split.get((int(tree[rows[0]]), int(part[rows[0]]))) if len(rows) else None
-                if root is None:
-                    continue
-                stack = [(root, rows, np.zeros(len(rows), dtype=bool), 1)]
-                while stack:
-                    node, rows, query, at = stack.pop()
-                    if not len(rows):
-                        continue
-                    if node is None:
-                        shard[rows[~query]] = at
-                        extra.append((rows[query], at))
-                        continue
-                    v, mu, near, far = node
-                    d = np.bitwise_count(fp[rows].view(np.uint64) ^ np.uint64(v)).astype(np.int64)
-                    a, o = d <= mu + radius, (d > mu - radius) if query.any() else d > mu
-                    stack.append((near, rows[a], query[a] | (d[a] > mu), 2 * at))
-                    keep = (~query & (d > mu)) | (query & o)
-                    stack.append((far, rows[keep], query[keep], 2 * at + 1))
-            idx = np.concatenate([np.arange(len(fp)), *[r for r, _ in extra]])
-            sh = np.concatenate([shard, *[np.full(len(r), s) for r, s in extra]])
-            q = np.concatenate([np.zeros(len(fp), dtype=bool), *[np.ones(len(r), dtype=bool) for r, _ in extra]])
-            yield pa.RecordBatch.from_arrays([pa.array(tree[idx]), pa.array(part[idx]), pa.array(sh), pa.array(fp[idx]), pa.array(rep[idx]), pa.array(q)], ["tree", "part", "shard", "fp", "rep", "query"])
-
-    if split:
-        keyed = keyed.mapInArrow(place, "tree int, part long, shard long, fp long, rep long, query boolean")
-    else:
-        keyed = keyed.select("tree", "part", F.lit(0).cast("long").alias("shard"), "fp", "rep", F.lit(False).alias("query"))
-    dealt = keyed.select(F.xxhash64("tree", "part", "shard").alias("key"), "fp", "rep", "query").repartition("key").sortWithinPartitions("key", "query")
+            fp, rep = np.asarray(column(b, "fp")), np.asarray(column(b, "rep"))
+            for k, root in enumerate(sent.value):
+                rows, shard, query = route(root, fp.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k, dtype=np.int32)), pa.array(shard), pa.array(fp[rows]), pa.array(rep[rows]), pa.array(query)], ["tree", "shard", "fp", "rep", "query"])
+
+    return fps.select("fp", "rep").mapInArrow(place, "tree int, shard int, fp long, rep long, query boolean")
+
+
+def links(fps: DataFrame, radius: int = 3, shard_rows: int = 4096, n: int | None = None) -> DataFrame:
+    """(a, b): edges that connect exactly the fingerprints linked, directly or by others. ``fps``: (fp,
+    rep), distinct fp."""
+    if radius < 1:
+        return fps.select(F.col("rep").alias("a"), F.col("rep").alias("b")).filter("false")
+    trees = plan_trees(fps, radius, shard_rows, fps.count() if n is None else n)
+    parts = min(10_000, shards_of(trees[-1]) + 1)
+    by_shard = dealt(fps, trees).repartitionById(parts, F.col("shard")).sortWithinPartitions("shard", "query", "fp")
 
     def search(batches):
-        held: list[np.ndarray] | None = None
+        """Shards come one after the other, in each the home codes before the queries."""
+        number, home, shard = None, [], None
         for b in batches:
-            cols = [np.asarray(column(b, "key")), np.asarray(column(b, "fp")).view(np.uint64), np.asarray(column(b, "rep")), np.asarray(column(b, "query").cast(pa.int8()))]
-            if held is not None:
-                cols = [np.concatenate((x, y)) for x, y in zip(held, cols, strict=True)]
-            last = int(np.searchsorted(cols[0], cols[0][-1], "left"))  # the last shard may go on
-            held = [c[last:] for c in cols]
-            if last:
-                yield _edges([c[:last] for c in cols])
-        if held is not None and len(held[0]):
-            yield _edges(held)
+            cols = [np.asarray(column(b, n)) for n in ("shard", "tree", "fp", "rep")] + [np.asarray(column(b, "query").cast(pa.int8()))]
+            cuts = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[4]) != 0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+                s, tree, query = int(cols[0][lo]), int(cols[1][lo]), bool(cols[4][lo])
+                fp, rep = cols[2][lo:hi].view(np.uint64), cols[3][lo:hi]
+                if s != number:
+                    if home:
+                        yield _record(_shard_of(home).edges())
+                    number, home, shard = s, [], None
+                if not query:
+                    home.append((tree, fp, rep))
+                    continue
+                if home:
+                    shard, home = _shard_of(home), []
+                    yield _record(shard.edges())
+                if shard is not None:  # a shard without home codes has nothing to find
+                    yield _record(shard.edges(fp, rep))
+        if home:
+            yield _record(_shard_of(home).edges())
+
+    def _shard_of(home):
+        return Shard(home[0][0], np.concatenate([h[1] for h in home]), np.concatenate([h[2] for h in home]), radius)
+
+    def _record(pair):
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in pair], ["a", "b"])
+
+    return by_shard.mapInArrow(search, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])).filter("a != b").distinct()
 
-    def _edges(cols):
-        a, b = _shard_edges(*cols, radius)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return dealt.mapInArrow(search, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])).filter("a != b").distinct()
+def _mark(edges: DataFrame) -> tuple:
+    """Count and two sums that tell one set of edges from another."""
+    h = lambda seed: F.sum(F.xxhash64("u", "v", F.lit(seed)).cast("decimal(38,0)"))
+    return tuple(edges.agg(F.count(F.lit(1)), h(1), h(2)).first())
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -317,6 +381,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     longest chain; running out of rounds is an error, never a partial answer.
     """
     now = stage_table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    mark = _mark(now)
     for _ in range(max_rounds):
         # large star: every neighbour of x that is larger than x goes to the least neighbour (or x)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -326,9 +391,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         after = stage_table(small, "edges")
-        changed = after.join(now, ["u", "v"], "left_anti").limit(1).count() + now.join(after, ["u", "v"], "left_anti").limit(1).count()
-        now = after
-        if not changed:
+        now, before, mark = after, mark, _mark(after)
+        if mark == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from gridspan.llm import simhash_vptree as s
@@ -32,13 +33,52 @@ def components(prints):
     return {i: root(i) for i in ids}
 
 
-def test_documents_against_all_pairs(documents):
-    texts = {r.doc_id: r.text for r in documents.select("doc_id", "text").collect()}
-    prints = {k: brute(v) for k, v in texts.items()}
-    want = components(prints)
-    got = {r.doc_id: r for r in s.near_duplicates(documents).collect()}
+def all_pairs(prints, radius=3):
+    """doc_id -> smallest reachable, by all pairs of different fingerprints, in NumPy."""
+    codes, at = np.unique(np.array(list(prints.values()), dtype=np.uint64), return_inverse=True)
+    parent = list(range(len(codes)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i in range(len(codes)):
+        for j in np.flatnonzero(np.bitwise_count(codes[i + 1 :] ^ codes[i]) <= radius) + i + 1:
+            parent[root(int(j))] = root(i)
+    least = {}
+    for k, c in zip(prints, at.tolist(), strict=True):
+        least[root(c)] = min(k, least.get(root(c), k))
+    return {k: least[root(c)] for k, c in zip(prints, at.tolist(), strict=True)}
+
+
+@pytest.mark.parametrize("folder, shard_rows", [("sf0.001", 4096), ("sf0.01", 4096), ("sf0.01", 60)])
+def test_documents_against_all_pairs(spark, folder, shard_rows):
+    docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
+    prints = {r.doc_id: brute(r.text) for r in docs.select("doc_id", "text").collect()}
+    got = {r.doc_id: r for r in s.near_duplicates(docs, shard_rows=shard_rows).collect()}
     assert {k: r.fingerprint for k, r in got.items()} == {k: f"{v:016x}" for k, v in prints.items()}
-    assert {k: r.component_id for k, r in got.items()} == want
+    assert {k: r.component_id for k, r in got.items()} == all_pairs(prints)
+
+
+def test_vantage_points_part_and_prune_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    table = s.stage_table(s.fingerprint_table(docs).groupBy("fp").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "rep"), "fps")
+    n = table.count()
+    trees = s.plan_trees(table, 3, 60, n)
+    rows = s.dealt(table, trees).toPandas()
+    for tree in (0, 1):
+        mine = rows[rows.tree == tree]
+        home = mine[~mine["query"]]
+        assert len(home) == n == home.fp.nunique() and home.groupby("shard").size().max() < 200
+        assert home.shard.nunique() >= 8 and mine["query"].any()
+        assert len(mine) < 3 * n  # what the boundaries cost
+    codes = table.toPandas()["fp"].to_numpy().view(np.uint64)
+    for mask, rho in s.metrics(3):
+        tree = s.VPTree(codes, mask, rho, 3)
+        tree.linked()
+        assert tree.splits >= 7 and tree.pruned > 0.6 * tree.followed and tree.compared < 0.5 * n * n
 
 
 def test_hot_parts_are_split_exactly(spark):
@@ -58,32 +98,50 @@ def test_hot_parts_are_split_exactly(spark):
         assert {i: got.get(i, i) for i in want} == want
 
 
-def test_tree_prunes_without_losing_links():
-    rng = np.random.default_rng(0)
-    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
-    codes = np.unique(np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(20)]))
-    edges = s.VPTree(codes).linked(3)
-    parent = list(range(len(codes)))
-    root = lambda x: x if parent[x] == x else root(parent[x])
-    for a, b in edges:
-        assert (int(codes[a]) ^ int(codes[b])).bit_count() <= 3
-        parent[root(a)] = root(b)
-    want = components({i: int(x) for i, x in enumerate(codes)})
-    assert len({root(i) for i in range(len(codes))}) == len(set(want.values()))
+@pytest.mark.parametrize("radius", [1, 2, 3, 4, 6])
+def test_trees_lose_no_link(radius):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    family = np.full(900, 0x0123456789ABCDEF, dtype=np.uint64)
+    for _ in range(5):
+        family ^= np.uint64(1) << rng.integers(0, 64, 900).astype(np.uint64)
+    copies = base.copy()
+    for _ in range(radius):
+        copies ^= np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)
+    half = (np.arange(700, dtype=np.uint64) * np.uint64(2654435761)) << np.uint64(32)  # one low half
+    codes = np.unique(np.concatenate((base, copies, family, half)))
+    want = all_pairs(dict(enumerate(codes.tolist())), radius)
+    for home in (len(codes), 700):  # the rest are queries, in batches
+        parent = list(range(len(codes)))
+        root = lambda x: x if parent[x] == x else root(parent[x])
+        deal = rng.permutation(len(codes))
+        for tree in (0, 1):
+            shard = s.Shard(tree, codes[deal[:home]], deal[:home], radius)
+            found = [shard.edges()] + [shard.edges(codes[deal[k : k + 100]], deal[k : k + 100]) for k in range(home, len(codes), 100)]
+            for a, b in zip(*(np.concatenate(v).tolist() for v in zip(*found, strict=True)), strict=True):
+                assert (int(codes[a]) ^ int(codes[b])).bit_count() <= radius
+                parent[root(a)] = root(b)
+        if home == len(codes):
+            assert len({root(i) for i in range(len(codes))}) == len(set(want.values()))
+        else:  # all links with a home code are found, by one tree or the other
+            near = np.bitwise_count(codes[deal[:home]][:, None] ^ codes[None, :]) <= radius
+            assert all(root(int(deal[i])) == root(int(j)) for i, j in zip(*np.nonzero(near), strict=True))
+
+
+def test_one_half_is_always_near():
+    """Whatever bits of a link differ, one tree's bound holds."""
+    rng = random.Random(3)
+    for radius in range(1, 9):
+        for _ in range(300):
+            x = sum(1 << b for b in rng.sample(range(64), rng.randint(0, radius)))
+            assert any((x & int(mask)).bit_count() <= rho for mask, rho in s.metrics(radius))
 
 
-def test_block_plans_are_exact():
-    """Codes 3 bits apart agree in one tree of every plan, however many codes there are."""
-    rng = random.Random(3)
-    for n in (10, 10**7, 10**10, 10**13):
-        trees = s.block_plan(n, 3, 4096)
-        for _ in range(200):
-            x = rng.getrandbits(64)
-            y = x
-            for b in rng.sample(range(64), 3):
-                y ^= 1 << b
-            assert any(all((x ^ y) >> shift & (1 << width) - 1 == 0 for shift, width in t) for t in trees)
-    assert len(s.block_plan(10**13, 3, 4096)) > len(s.block_plan(10**6, 3, 4096))
+def test_more_fingerprints_of_a_text():
+    texts = [b"one two three four five six", b"", b"x", b"One  two three four\nfive six"]
+    many = s.fingerprints_of(texts, more=3)
+    assert (many[:, 0] == s.fingerprints_of(texts)).all() and (many[0] == many[3]).all()
+    assert not many[1].any() and len(set(many[0].tolist())) == 4
 
 
 def test_long_chains_settle(spark):
