@@ -2,8 +2,8 @@
 
 A text is lower-cased, everything that is no letter becomes one space, and its byte 2-grams and
 3-grams are hashed to ``DIM`` counts; the vector is log(1 + count) * idf, of length 1. Learning takes
-two passes: document frequencies of *all* training rows give idf; a bounded sample (``per_lang`` rows
-of a language at most, in expectation, ``sample_rows`` in all) is clustered by spherical k-means into
+two passes: document frequencies of *all* training rows give idf; a bounded sample (``per_lang``
+different texts of a language at most, ``sample_rows`` in all) is clustered by spherical k-means into
 ``clusters`` centroids for each language. A text goes to the centroid of the largest cosine, and is
 rejected where its distance exceeds what that centroid's own members showed.
 
@@ -17,8 +17,9 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspan.llm.common import column, fold, map_texts, ship, slices
@@ -27,6 +28,8 @@ BITS = 12
 DIM = 1 << BITS
 #: Bytes of a text whose grams are counted at once.
 PART = 4 << 20
+#: Texts whose counts are held at once: DIM counts of 8 bytes each, 32 MB.
+ROWS = 1024
 _SPACE = bytes(b if chr(b).isalpha() or b >= 0x80 else 0x20 for b in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -112,7 +115,7 @@ def learn(train: DataFrame, clusters: int = 4, per_lang: int = 300, sample_rows:
 
     def frequencies(batches):
         seen, n = np.zeros(DIM, dtype=np.int64), 0
-        for _, texts in slices(batches):
+        for _, texts in slices(batches, rows=ROWS):
             seen += (gram_counts(texts)[0] > 0).sum(axis=0)
             n += len(texts)
         seen[0] = n  # bucket 0 is unused: it carries the number of texts
@@ -130,8 +133,15 @@ def learn(train: DataFrame, clusters: int = 4, per_lang: int = 300, sample_rows:
     idf = np.log((1 + n) / (1 + df)).astype(np.float32)
     idf[0] = 0
     each = max(8, min(per_lang, sample_rows // len(by_lang)))
-    share = F.broadcast(spark.createDataFrame([(k, min(1.0, each / v)) for k, v in by_lang.items()], "lang string, share double"))  # a row for each language
-    drawn = train.join(share, "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    # by a hash of the text and not of the id: rows of one id, or without one, are not taken together.
+    # Twice the wanted share is drawn; of the different texts drawn those of the least hashes stay.
+    keyed = train.select("lang", "text", F.xxhash64("text", F.lit(9)).alias("h"))
+
+    def sample(langs: dict[str, float]) -> DataFrame:
+        share = F.broadcast(spark.createDataFrame(list(langs.items()), "lang string, share double"))  # a row for each language
+        drawn = keyed.join(share, "lang").filter(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
+        nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 20)), "h"))
+        return drawn.groupBy("lang", "h").agg(F.min("text").alias("text")).withColumn("nth", nth).filter(F.col("nth") <= each).select("lang", "text")
 
     def vectors(part, texts):
         counts, letters = gram_counts(texts)
@@ -139,7 +149,12 @@ def learn(train: DataFrame, clusters: int = 4, per_lang: int = 300, sample_rows:
         data = pa.array([row.astype("<u2").tobytes() for row in np.minimum(counts, 65535)], pa.binary())
         return pa.RecordBatch.from_arrays([column(part, "lang").filter(ok), data.filter(ok)], ["lang", "counts"])
 
-    got = map_texts(drawn.select("lang", "text"), vectors, "lang string, counts binary").toPandas()
+    collect = lambda langs: map_texts(sample(langs), vectors, "lang string, counts binary", rows=ROWS).toPandas()
+    got = collect({k: min(1.0, 2 * each / v) for k, v in by_lang.items()})
+    if missing := set(by_lang) - set(got["lang"]):  # few different texts, none of them drawn
+        got = pd.concat([got, collect({k: 1.0 for k in missing})])
+    if got.empty:  # no text has a letter
+        return Centroids(idf, [], np.zeros(0, int), np.zeros((0, DIM), np.float32), np.zeros(0))
     model = Centroids(idf, sorted(got["lang"].unique()), np.zeros(0, int), np.zeros((0, DIM), np.float32), np.zeros(0))
     centre, lang_of, floor = [], [], []
     for k, lang in enumerate(model.langs):
@@ -167,7 +182,7 @@ def identify(docs: DataFrame, model: Centroids, keep: tuple[str, ...] = ("doc_id
         lang, score, rejected = sent.value.predict(texts)
         return pa.RecordBatch.from_arrays([*[column(part, c) for c in keep], pa.array(lang), pa.array(score), pa.array(rejected)], [*keep, "lang_pred", "score", "rejected"])
 
-    return map_texts(docs.select(*dict.fromkeys((*keep, "text"))), run, f"{fields}, lang_pred string, score double, rejected boolean")
+    return map_texts(docs.select(*dict.fromkeys((*keep, "text"))), run, f"{fields}, lang_pred string, score double, rejected boolean", rows=ROWS)
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:

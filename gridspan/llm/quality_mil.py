@@ -7,7 +7,8 @@ from document labels alone; the document's vector is the attention-weighted sum
 a logistic unit scores it.
 
 Fitting uses at most ``per_class`` labelled training documents of each class (in the order of a hash of
-their id) and runs on the driver over their passage vectors; scoring reads every whole text.
+their id), of each at most ``passages`` passages, evenly spaced, and runs on the driver over those
+vectors; scoring reads every whole text.
 
 Defined results: null and empty texts are one passage of zeros and get that passage's score. Rows that
 repeat an id each get a row; other columns are not read. Without labels of both classes the score is
@@ -145,14 +146,15 @@ def fit(x: np.ndarray, per: np.ndarray, label: np.ndarray, weight: np.ndarray, h
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 1500) -> GatedAttention:
+def learn(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 1500, passages: int = 256) -> GatedAttention:
     """``train``: the condition on doc_id that a labelled row of the training folds meets."""
     sample = labelled_sample(docs, labels, "quality", train, per_class)
 
     def vectors(part, texts):
         x, per = encode_passages(texts)
         ends = np.cumsum(per)
-        data = [x[e - n : e].astype("<f2").tobytes() for e, n in zip(ends.tolist(), per.tolist(), strict=True)]
+        spaced = lambda n: np.arange(n) if n <= passages else np.arange(passages) * n // passages
+        data = [x[e - n + spaced(n)].astype("<f2").tobytes() for e, n in zip(ends.tolist(), per.tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([column(part, "doc_id").cast(pa.int64()), column(part, "label"), pa.array(data, pa.binary())], ["doc_id", "label", "x"])
 
     got = map_texts(sample, vectors, "doc_id long, label int, x binary").toPandas().sort_values(["doc_id", "x"])

@@ -1,3 +1,6 @@
+import math
+import re
+import time
 import zlib
 
 import numpy as np
@@ -5,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridspan.llm import centroid_langid, quality_mil, queries, toxicity_fst
+from gridspan.llm import toxicity_fst as t
 from gridspan.llm.common import fold
 
 SF = "/root/testdata/sf0.01"
@@ -84,28 +88,238 @@ def test_attention_finds_the_bad_passage():
     assert np.mean([a[f : f + n].argmax() + f == k for f, n, k in zip(first[many], per[many], at[many], strict=True)]) > 0.8
 
 
+# --- the toxicity grammar ---------------------------------------------------------------------------------
+
+
+def made(**classes):
+    words = {t.TARGET: "you he the", t.NEGATION: "not never", t.REPORT: "said", t.INTENT: "will", t.THREAT: "crush"} | classes
+    return t.Toxicity({"oaf": 1.0, "cad": 0.5}, {"knav": 0.8}, {w: k for k, ws in words.items() for w in ws.split()}, t.DEFAULT, t.BIAS)
+
+
 def test_composition_equals_a_cascade():
-    alphabet = [toxicity_fst.INSULT, toxicity_fst.THREAT, toxicity_fst.TARGET, toxicity_fst.NEGATION, toxicity_fst.REPORT, toxicity_fst.INTENT, toxicity_fst.OTHER]
-    a = toxicity_fst._window({toxicity_fst.NEGATION}, {toxicity_fst.INSULT: "insult~n"}, -0.5)
-    b = toxicity_fst._window({toxicity_fst.REPORT}, {"insult": "insult~r", "insult~n": "insult~n~r"}, -0.25, None)
-    both = a.compose(b, alphabet)
+    a = t._window({t.NEGATION}, {t.INSULT: "insult~n"}, -0.5)
+    b = t._window({t.REPORT}, {"insult": "insult~r", "insult~n": "insult~n~r"}, -0.25, None)
+    both = a.compose(b, t.ALPHABET)
     rng = np.random.default_rng(0)
     for _ in range(200):
-        s = [alphabet[i] for i in rng.integers(0, 7, 12)]
+        s = [t.ALPHABET[i] for i in rng.integers(0, 7, 12)]
         mid, w = a.run(s)
         end, v = b.run(mid)
         assert both.run(s) == (end, pytest.approx(w + v))
 
 
 def test_patterns_of_clauses():
-    m = toxicity_fst.Toxicity({w: 1.0 for w in toxicity_fst.INSULTS}, {}, toxicity_fst.DEFAULT, -3.0)
-    f = lambda t: dict(zip(toxicity_fst.FEATURES, np.expm1(m.features(t)[0]).round(3), strict=True))
-    assert f("You are an idiot.")["insult, targeted"] == 1
-    assert f("She is not an idiot.")["insult, negated"] == 1
-    assert f("He said idiot things.")["insult, reported"] == 1
-    assert f("I will kill you.")["threat, intended"] == 1
-    assert f("Path of glory, idiotic")["clauses"] == 0  # words, not parts of words
-    assert m.score("what an idiot you are")[0] > m.score("they never said idiot")[0] > m.score("a fine day")[0]
+    m = made()
+    f = lambda x, m=m: {k: v for k, v in zip(t.FEATURES, np.expm1(m.features(x)[0]).round(3), strict=True) if v}
+    assert f("You are an oaf.") == {"targeted insult": 1}
+    assert f("what an oaf the") == {"targeted insult": 1}  # a target closes it from behind
+    assert f("He is not an oaf.") == {"negated insult at a target": 1}
+    assert f("Someone said you are an oaf.") == {"reported insult at a target": 1}
+    assert f("You cad oaf") == {"targeted insult": 1.5, "piled insult": 1}
+    assert f("oaf. cad") == {"insulting clause after another": 0.5}
+    assert f("I will surely crush it") == {"intended threat": 1} and f("I will not crush it") == {"intended threat, negated or reported": 1}
+    # words in isolation, and parts of words, are no pattern
+    for x in ("oaf", "what an oaf", "crush", "never an oaf", "you knav", "you loafed", "", "said oaf. not cad"):
+        assert f(x) == {} and m.score(x)[0] == m.score("a fine day")[0], x
+    assert f("you knavish") == {"targeted insult": 0.8}
+    assert m.score("what an oaf you are")[0] > m.score("a fine day")[0] > m.score("they never said you oaf")[0]
+    # each transducer's part
+    whole = "You oaf cad. He is not an oaf. Someone said you oaf. I will crush you"
+    for part, name in (("negation", "negated insult at a target"), ("reported", "reported insult at a target"), ("threat", "intended threat"), ("pile", "piled insult"), ("target", "targeted insult")):
+        less = made()
+        less.machine = t.grammar(part)
+        assert name in f(whole) and name not in f(whole, less)
+
+
+def plain_features(m, text):
+    """Every clause of a text by splitting it, the transducers one after the other, and plain sums."""
+    total, before = np.zeros(len(t.FEATURES)), 0.0
+    for clause in re.split(r"[.!?;:,\n]", text.lower()):
+        tokens = [m.token(w) for w in re.findall(r"[^\W_]+(?:'[^\W_]+)?|[«„“\"]", clause)]
+        marks = [set() for _ in tokens]
+        at = lambda kind: [i for i, k in enumerate(tokens) if k[0] == kind]
+        since = lambda i, kind, reach: any(0 < i - j <= reach for j in at(kind))
+        hits = sorted(at(t.INSULT) + at(t.THREAT))
+        for i in hits:
+            marks[i] |= {k for k, kind, reach in (("n", t.NEGATION, 3), ("r", t.REPORT, 10**9), ("i", t.INTENT, 3)) if since(i, kind, reach)}
+        abuse = 0.0
+        for i in hits:
+            w, damped = tokens[i][1], marks[i] & {"n", "r"}
+            if tokens[i][0] == t.THREAT:
+                if "i" in marks[i]:
+                    total[6 if damped else 5] += 1
+                continue
+            if not damped:
+                total[3] += w * any(j < i and tokens[j][0] == t.INSULT and not marks[j] & {"n", "r"} for j in hits)
+                abuse = max(abuse, w)
+            behind = [j for j in at(t.TARGET) if i < j <= i + 2 and not any(i < k < j for k in hits)]
+            if since(i, t.TARGET, 4) or behind:
+                total[1 if "n" in marks[i] else 2 if "r" in marks[i] else 0] += w
+        total[4] += abuse if before else 0
+        before = before or abuse
+    return np.log1p(total)
+
+
+def test_matching_against_plain_clauses():
+    m, rng = made(), np.random.default_rng(5)
+    words = "oaf cad knave you he not said will crush x yy zzz loaf . , \n".split(" ")
+    for _ in range(400):
+        text = " ".join(rng.choice(words, rng.integers(0, 40)))
+        # a threat between an insult and the target behind it keeps the machine's state, so leave those out
+        if re.search(r"(oaf|cad|knave)( \w+)? crush", text):
+            continue
+        assert m.features(text)[0] == pytest.approx(plain_features(m, text)), text
+
+
+def test_long_texts_take_linear_time():
+    m = made()
+    for text in ("you oaf " * 1_300_000, "x oaf. " * 1_500_000, "oaf" + " word" * 2_000_000, "w" * 10_000_000):
+        began = time.perf_counter()
+        m.features(text)
+        assert time.perf_counter() - began < 25
+    assert max(b - a for a, b in m.clauses("you oaf " * 5000)) <= 2 * t.CLAUSE + 3
+
+
+def test_classes_are_learned(spark):
+    """Negation, report, intent and threat words come from rows that give evidence of them."""
+    rng = np.random.default_rng(2)
+    filler = [f"w{i}" for i in range(300)]
+    some = lambda n: " ".join(rng.choice(filler, n))
+    rows, labels = [], []
+    for i in range(900):
+        kind = i % 9
+        if kind < 2:
+            body, toxic = f"{some(20)}. you are {some(1)} oaf. {some(20)}", 1
+        elif kind == 2:
+            body, toxic = f"{some(20)}. i will {some(1)} crush you. {some(20)}", 1
+        elif kind == 3 and i % 2:
+            body, toxic = f"{some(20)}. you are not {some(1)} oaf. {some(20)}", 0
+        elif kind == 3:
+            body, toxic = f"{some(20)}. he said {some(5)} you are {some(1)} oaf. {some(20)}", 0
+        else:
+            body, toxic = f"{some(9)}. you and i are {some(1)} who will {some(2)}. he said {some(1)} to {some(1)} {'crush' if i % 2 else 'go'} {some(1)}. {some(9)}. it is {some(1)} not {some(9)}", 0
+        rows.append((i, body, "en"))
+        labels.append((i, toxic))
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    m = t.learn(docs, lab, ~t.held_out(), odds=1.0, sure=12.0)
+    assert "oaf" in m.words and m.classes.get("are") == t.TARGET
+    assert m.classes.get("not") == t.NEGATION and m.classes.get("said") == t.REPORT and m.classes.get("crush") == t.THREAT
+    got = {r.doc_id: r.score for r in t.score(docs, m).collect()}
+    wrong = sum((s >= 0.5) != labels[i][1] for i, s in got.items())
+    assert wrong <= 9
+    for part in ("negation", "reported", "threat", "target"):  # without any of them it is worse
+        m.machine = t.grammar(part)
+        assert sum((m.score(r[1])[0] >= 0.5) != lab_[1] for r, lab_ in zip(rows, labels, strict=True)) > wrong + 20, part
+
+
+def test_transducers_count_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    m = t.learn(docs, labels, ~t.held_out())
+    held = docs.join(labels, "doc_id").filter(t.held_out() & F.col("toxic").isNotNull()).select("text", "toxic").toPandas()
+
+    def recall(part):
+        m.machine = t.grammar(part)
+        s = np.array([m.score(x or "")[0] >= 0.7 for x in held.text])
+        return s[held.toxic == 1].mean(), s[held.toxic == 0].mean()
+
+    whole, false = recall(None)
+    assert false <= 0.01 and recall("target")[0] < whole - 0.1
+
+
+def test_scores_against_a_plain_version(spark, documents, labels):
+    """The query's scores, from the learned model by plain clauses and the logistic formula."""
+    m = t.learn(documents, labels, ~t.held_out())
+    got = {r.doc_id: r.score for r in t.score(documents, m).collect()}
+    for r in documents.collect():
+        if max((len(c) for c in re.split(r"[.!?;:,\n]", r.text or "")), default=0) < t.CLAUSE:
+            assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-(plain_features(m, r.text or "") @ m.weights + m.bias))))
+
+
+# --- plain versions of the other scores ---------------------------------------------------------------------
+
+
+def test_quality_against_a_plain_version(spark, documents, labels):
+    model = quality_mil.learn(documents, labels, ~quality_mil.held_out())
+    got = {r.doc_id: (r.score, r.n_passages) for r in quality_mil.score(documents, model).collect()}
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    p = {k: np.asarray(v, dtype=float) for k, v in model.p.items()}
+    for r in documents.limit(60).collect():
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode())
+        bags = [words[k : k + quality_mil.PASSAGE] for k in range(0, len(words), quality_mil.PASSAGE)] or [[]]
+        h = []
+        for bag in bags:
+            x, n = np.zeros(quality_mil.WIDTH), max(1, len(bag))
+            seen = b"".join(bag)
+            for c in seen:
+                x[quality_mil._CLASS[c]] += 1
+            x[: quality_mil.N_CLASS] = np.sqrt(x[: quality_mil.N_CLASS] / max(1, len(seen)))
+            lone = [quality_mil._CLASS[w[-1]] > 3 for w in bag]
+            x[quality_mil.N_CLASS :] = [
+                len(bag) / quality_mil.PASSAGE, 1 - len(set(bag)) / n if bag else 1, sum(a == b for a, b in zip(bag, bag[1:], strict=False)) / n, sum(a == b for a, b in zip(bag, bag[2:], strict=False)) / n,
+                len(seen) / n / 10, sum(lone) / n, sum(o and len(w) == 1 for o, w in zip(lone, bag, strict=True)) / n, sum(quality_mil._CLASS[w[0]] == 2 for w in bag) / n,
+            ]
+            if not words:
+                x[:] = 0
+            x = np.clip((x - model.mean) / model.scale, -6, 6)
+            h.append(np.tanh(p["W"] @ x + p["b"]))
+        e = [float(p["w"] @ (np.tanh(p["V"] @ v) * np.array([sig(u) for u in p["U"] @ v]))) for v in h]
+        a = np.exp(np.array(e) - max(e))
+        z = sum(v * w for v, w in zip(h, a / a.sum(), strict=True))
+        assert got[r.doc_id] == (pytest.approx(sig(float(p["c"] @ z + p["d"])), abs=2e-4), len(bags))
+
+
+def test_languages_against_a_plain_version(spark, documents):
+    model = centroid_langid.learn(documents.filter(~centroid_langid.held_out() & F.col("lang").isNotNull()).select("doc_id", "text", "lang"))
+    got = {r.doc_id: r for r in centroid_langid.identify(documents, model).collect()}
+    for r in documents.limit(60).collect():
+        text = (r.text or "").lower()
+        kept = "".join(c if c.isalpha() or ord(c) >= 0x80 else " " for c in text)
+        raw = b" " + b" ".join(kept.encode().split()) + b" \0"
+        n = np.zeros(centroid_langid.DIM)
+        for k, add, mul in ((2, 0xA5000000, 2246822519), (3, 0, 2654435761)):
+            for i in range(len(raw) - k):  # a gram ends before the byte 0
+                gram = int.from_bytes(raw[i : i + k], "big") | add
+                n[(gram * mul & 0xFFFFFFFF) >> 32 - centroid_langid.BITS] += 1
+        n[0] = 0
+        x = np.log1p(n) * model.idf
+        cos = model.centre @ (x / max(1e-9, float(np.sqrt((x * x).sum()))))
+        best = int(cos.argmax())
+        if not any(c.isalpha() for c in text):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
+        else:
+            assert got[r.doc_id].lang_pred == model.langs[model.lang_of[best]]
+            assert got[r.doc_id].score == pytest.approx(max(0.0, min(1.0, float(cos[best]))), abs=1e-3)
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    """10,000 rows of one id, or of none, give no more than the stated samples."""
+    text = F.concat(F.lit("some words of text number "), F.col("id").cast("string"), F.lit(" in a row"))
+    docs = spark.range(10_000).select(F.when(F.col("id") < 9000, 1).when(F.col("id") < 9900, F.lit(None)).otherwise(F.col("id")).alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"))
+    taken = []
+    real = centroid_langid.spherical_kmeans
+
+    def count(x, k):
+        taken.append(len(x))
+        return real(x, k)
+
+    centroid_langid.spherical_kmeans = count
+    try:
+        centroid_langid.learn(docs, per_lang=50)
+    finally:
+        centroid_langid.spherical_kmeans = real
+    assert taken and 25 <= taken[0] <= 50
+    copies = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("the same words").alias("text"), F.lit("en").alias("lang"))
+    assert centroid_langid.learn(copies).langs == ["en"]
+    long = spark.createDataFrame([(1, "good words here " * 60_000), (3, "bad ### $$$ " * 60_000)], "doc_id long, text string")
+    lab = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    x = []
+    fit = quality_mil.fit
+    quality_mil.fit = lambda a, *r: x.append(len(a)) or fit(a, *r, rounds=2)
+    try:
+        quality_mil.learn(long, lab, F.lit(True), passages=100)
+    finally:
+        quality_mil.fit = fit
+    assert x == [200]
 
 
 def test_odd_rows_and_missing_labels(spark, odd_docs, no_docs):

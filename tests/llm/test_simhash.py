@@ -137,13 +137,6 @@ def test_one_half_is_always_near():
             assert any((x & int(mask)).bit_count() <= rho for mask, rho in s.metrics(radius))
 
 
-def test_more_fingerprints_of_a_text():
-    texts = [b"one two three four five six", b"", b"x", b"One  two three four\nfive six"]
-    many = s.fingerprints_of(texts, more=3)
-    assert (many[:, 0] == s.fingerprints_of(texts)).all() and (many[0] == many[3]).all()
-    assert not many[1].any() and len(set(many[0].tolist())) == 4
-
-
 def test_long_chains_settle(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")
     got = {r.node: r.component for r in s.components(e).collect()}
