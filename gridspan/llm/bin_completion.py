@@ -15,6 +15,7 @@ and an offset by binary search.
 
 from __future__ import annotations
 
+import logging
 import zlib
 
 import numpy as np
@@ -32,9 +33,9 @@ EFFORT = 5000
 # --- the plan -----------------------------------------------------------------------------------------
 
 
-def complete(room: int, sizes: np.ndarray, counts: np.ndarray, effort: int = EFFORT) -> list[tuple[int, int]]:
+def complete(room: int, sizes: np.ndarray, counts: np.ndarray, effort: int = EFFORT, cut: list[int] | None = None) -> list[tuple[int, int]]:
     """The filling of ``room`` with the least waste: (size, copies), sizes falling. ``sizes`` falls
-    strictly; counts are what is left of each."""
+    strictly; counts are what is left of each. A search that ends by its effort notes its room in ``cut``."""
     total_below = np.concatenate((np.cumsum((sizes * counts)[::-1])[::-1], [0]))
     best: list[tuple[int, int]] = []
     best_waste = room
@@ -74,11 +75,14 @@ def complete(room: int, sizes: np.ndarray, counts: np.ndarray, effort: int = EFF
         return False
 
     branch(0, room, [])
+    if cut is not None and left[0] <= 0 and best_waste:
+        cut.append(room)
     return best
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
-    """[(times, [(size, copies), ...]), ...]: fillings that use up the histogram exactly."""
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, cut: list[int] | None = None) -> list[tuple[int, list[tuple[int, int]]]]:
+    """[(times, [(size, copies), ...]), ...]: fillings that use up the histogram exactly. ``cut`` takes
+    note of the searches that ended by their effort."""
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for size, n in histogram.items():
         counts[size] = n
@@ -91,7 +95,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
         counts[top] -= 1
         sizes = np.flatnonzero(counts)[::-1]
         sizes = sizes[sizes <= capacity - top]
-        fill = complete(capacity - top, sizes, counts[sizes]) if len(sizes) else []
+        fill = complete(capacity - top, sizes, counts[sizes], cut=cut) if len(sizes) else []
         counts[top] += 1
         use = {top: 1}
         for s, k in fill:
@@ -166,8 +170,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_bucket: int = 20_000)
     """
     total = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most ``capacity`` rows
     hist = {r.length: r.n for r in total}
-    placement = Placement(plan(hist, capacity))
-    buckets = int(max(1, min(65_536, sum(hist.values()) // per_bucket)))
+    cut: list[int] = []
+    placement = Placement(plan(hist, capacity, cut))
+    if cut:
+        logging.getLogger(__name__).warning("%d of %d fillings were taken before all branches were seen", len(cut), placement.sequences)
+    # several buckets a shuffle partition, so that pieces of one length are spread however many there are
+    rows, parts = sum(hist.values()), int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(max(1, min(65_536, max(rows // per_bucket, min(rows // 32, 4 * parts)))))
     salted = pieces.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "row", "piece"), F.lit(buckets)).cast("int"))
     sizes = salted.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -41,10 +41,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is set (local tests), a temporary one."""
+    """The cluster's shared folder. Where none is set, a local session has a temporary one; on a cluster
+    that is an error, since executors would not share it."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     kept = getattr(spark.sparkContext, "_gridspan_shared", None)
     if kept is None:
         kept = spark.sparkContext._gridspan_shared = "file://" + tempfile.mkdtemp(prefix="gridspan-")

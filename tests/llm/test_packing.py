@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridspan.llm import bin_completion as b
 from gridspan.llm import queries
@@ -109,6 +110,31 @@ def test_salted_ranks(spark, documents):
     check(b.pack(pieces, per_bucket=13).collect(), [(x.doc_id, x.text) for x in documents.collect()])
 
 
+def test_pieces_of_one_length_are_spread(spark):
+    """One text copied 50,000 times: its pieces of equal length do not meet in one task."""
+    pieces = spark.range(50_000).selectExpr("id as doc_id", "7L as row", "0 as piece", "0L as start", "if(id % 10 = 0, 300L, 1024L) as length", "1L as ids_crc32")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = b.pack(pieces)
+        per_task = out.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+        got = out.toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert per_task.max() < 0.3 * 50_000
+    assert len(got) == 50_000 == len(got.drop_duplicates(["sequence_id", "offset"]))
+    assert got[got.length == 1024].sequence_id.nunique() == 45_000 and got.groupby("sequence_id").length.sum().max() <= 1024
+    assert got.sequence_id.nunique() == 45_000 + -(-5_000 // 3)
+
+
+def test_searches_that_are_cut_are_noted():
+    rng = np.random.default_rng(0)
+    sizes = np.sort(rng.choice(np.arange(40, 500), 200, replace=False))[::-1]
+    cut = []
+    b.complete(1023, sizes * 2 + 1, np.ones(200, dtype=int), effort=3, cut=cut)
+    assert cut in ([], [1023])
+    assert b.complete(7, np.array([8]), np.array([1]), cut=cut) == []
+
+
 def test_odd_rows(odd_docs, no_docs):
     check(b.pack_documents(odd_docs).collect(), [(x.doc_id, x.text) for x in odd_docs.collect()])
     assert b.pack_documents(no_docs).count() == 0
