@@ -28,6 +28,8 @@ from gridspan.llm.common import TOKEN_SLICE, column, encode_ids, map_texts, stag
 CAPACITY = 1024
 #: Branches looked at for one filling before the incumbent is taken.
 EFFORT = 5000
+#: Buckets of a length whose sizes are summed in one group.
+GROUP = 64
 
 
 # --- the plan -----------------------------------------------------------------------------------------
@@ -178,9 +180,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_bucket: int = 20_000)
     rows, parts = sum(hist.values()), int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = int(max(1, min(65_536, max(rows // per_bucket, min(rows // 32, 4 * parts)))))
     salted = pieces.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "row", "piece"), F.lit(buckets)).cast("int"))
-    sizes = salted.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    # what is ahead of a bucket: the groups of GROUP buckets before its own, and the buckets of its own
+    sizes = salted.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("g", F.floor(F.col("bucket") / GROUP))
+    ahead = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sizes.groupBy("length", "g").agg(F.sum("n").alias("n")).select("length", "g", ahead("n", Window.partitionBy("length").orderBy("g")).alias("base"))
+    within = sizes.withColumn("near", ahead("n", Window.partitionBy("length", "g").orderBy("bucket")))
+    offsets = within.join(groups, ["length", "g"]).select("length", "bucket", (F.col("base") + F.col("near")).alias("ahead"))
     inside = Window.partitionBy("bucket", "length").orderBy("doc_id", "row", "piece")
     ranked = salted.withColumn("nth", F.row_number().over(inside)).join(offsets, ["length", "bucket"])
     cols = pieces.columns
