@@ -186,8 +186,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_bucket: int = 20_000)
     groups = sizes.groupBy("length", "g").agg(F.sum("n").alias("n")).select("length", "g", ahead("n", Window.partitionBy("length").orderBy("g")).alias("base"))
     within = sizes.withColumn("near", ahead("n", Window.partitionBy("length", "g").orderBy("bucket")))
     offsets = within.join(groups, ["length", "g"]).select("length", "bucket", (F.col("base") + F.col("near")).alias("ahead"))
+    # merged, never broadcast: the ranked pieces lie as their window left them
     inside = Window.partitionBy("bucket", "length").orderBy("doc_id", "row", "piece")
-    ranked = salted.withColumn("nth", F.row_number().over(inside)).join(offsets, ["length", "bucket"])
+    ranked = salted.withColumn("nth", F.row_number().over(inside)).join(offsets.hint("merge"), ["length", "bucket"])
     cols = pieces.columns
     sent = pieces.sparkSession.sparkContext.broadcast(placement)  # a few thousand ranges, by the plan
     ranked = ranked.select(*cols, (F.col("ahead") + F.col("nth") - 1).cast("long").alias("rank"))
