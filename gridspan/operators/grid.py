@@ -108,6 +108,19 @@ def blocks_near(points: DataFrame, side: int, radius: float) -> DataFrame:
     return d.filter(gap("x", "bx") * gap("x", "bx") + gap("z", "bz") * gap("z", "bz") <= radius * radius).select("bx", "bz").distinct()
 
 
+def boxes_meeting(boxes: DataFrame, areas: DataFrame, side: float, touching: bool = True) -> DataFrame:
+    """(box, area): boxes (box, x0, y0, x1, y1) that meet areas (area, x0, y0, x1, y1); ``touching``: with
+    only an edge in common too. Both are spread over bins of ``side``; a pair is taken in one bin alone,
+    that of its common part's low corner, so nothing is counted twice."""
+    bin_of = lambda v: F.floor(c(v) / side).cast("long")
+    spread = lambda d: d.withColumn("bx", F.explode(F.sequence(bin_of("x0"), bin_of("x1")))).withColumn("by", F.explode(F.sequence(bin_of("y0"), bin_of("y1"))))
+    a = spread(areas.select("area", *[c(k) for k in ("x0", "y0", "x1", "y1")])).select("area", "bx", "by", *[c(k).alias("a" + k) for k in ("x0", "y0", "x1", "y1")])
+    d = spread(boxes.select("box", "x0", "y0", "x1", "y1")).join(a, ["bx", "by"])
+    own = (c("bx") == F.floor(F.greatest("x0", "ax0") / side)) & (c("by") == F.floor(F.greatest("y0", "ay0") / side))
+    less = (lambda p, q: c(p) <= c(q)) if touching else (lambda p, q: c(p) < c(q))
+    return d.filter(own & less("x0", "ax1") & less("ax0", "x1") & less("y0", "ay1") & less("ay0", "y1")).select("box", "area")
+
+
 def _nearest_in_row(at: np.ndarray, x: np.ndarray) -> np.ndarray:
     """For each x the index of the nearest of the rising positions ``at``, the smaller of two."""
     i = np.searchsorted(at, x)

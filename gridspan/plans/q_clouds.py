@@ -13,10 +13,10 @@ c = F.col
 _G = "ground AS (SELECT floor(x)::BIGINT AS ix, floor(y)::BIGINT AS iz, median(z) AS h FROM point WHERE c = 2 GROUP BY 1, 2)"
 
 
-@query("a04_s12_ground_medians", f"WITH {_G} SELECT ix, iz, round(h, 6) AS h FROM ground WHERE ix BETWEEN 4 AND 100", ("point",))
+@query("a04_s12_ground_medians", f"WITH {_G} SELECT ix, iz, round(h, 6) AS h FROM ground", ("point",))
 def a04(t: Tables) -> DataFrame:
-    """Median ground height of each cell, in a box."""
-    return out(points.ground_median(t.point).filter("ix BETWEEN 4 AND 100"), ix="long", iz="long", h="round6")
+    """Median ground height of each cell."""
+    return out(points.ground_median(t.point), ix="long", iz="long", h="round6")
 
 
 @query("a05_roof_percentiles", f"WITH {_G}, u AS (SELECT floor(x)::BIGINT AS ix, floor(y)::BIGINT AS iz, z - h AS up FROM point JOIN ground ON ix = floor(x) AND iz = floor(y) WHERE c <> 2 AND NOT (g > r * 1.04 AND g > b * 1.04)) SELECT ix, iz, count(*) AS n, round(quantile_cont(up, 0.8), 6) AS roof FROM u WHERE up > 1.0 GROUP BY 1, 2 HAVING count(*) >= 2", ("point",))
@@ -92,12 +92,18 @@ def g05(t: Tables) -> DataFrame:
     return out(points.pole_bins(p, ground), fu="long", fv="long", layers="long", top="double")
 
 
-@query("g05_poles")
+@query(
+    "g05_poles",
+    """WITH p AS (SELECT DISTINCT (s_suppkey * 7 % 90) AS x, (s_suppkey * 13 % 90) AS y, s_suppkey % 3 AS wide FROM supplier), w AS (SELECT x, y, max(wide) AS wide FROM p GROUP BY 1, 2)
+    SELECT (x * 4 * 1048576 + y * 4 + 2)::BIGINT AS label, (1 + wide)::BIGINT AS n, round((x * 4 + wide / 2.0 + 0.5) * 0.25, 6) AS u, round((y * 4 + 2 + 0.5) * 0.25, 6) AS v, 9.0::DOUBLE AS top FROM w""",
+)
 def g05_poles(t: Tables) -> DataFrame:
-    """Candidate bins to poles by their components (tested on a hand-made cloud)."""
-    p = t.point.select((c("x") / 4).alias("x"), (c("y") / 4).alias("y"), (c("z") * 1.1).alias("z"))
+    """Candidate bins to poles by their components: posts one to three bins wide."""
+    k = c("s_suppkey")
+    s = t.supplier.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(33)))).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3)))).withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), k % 3)))
+    p = s.select(((k * 7 % 90) + 0.1 + c("step") * 0.25).alias("x"), ((k * 13 % 90) + 0.6).alias("y"), (c("k") * 0.25 + 0.45).alias("z"))
     ground = p.select(F.floor("x").alias("ix"), F.floor("y").alias("iz"), F.lit(0.0).alias("h")).distinct()
-    bins = points.pole_bins(p.unionByName(p).unionByName(p), ground)
+    bins = points.pole_bins(p, ground)
     labels = graph.cell_components(bins.select(c("fu").alias("x"), c("fv").alias("z")), diagonal=True)
     return out(points.poles(bins, labels), label="long", n="long", u="round6", v="round6", top="double")
 

@@ -69,7 +69,7 @@ def w12(t: Tables) -> DataFrame:
     return out(n.withColumn("cum", F.coalesce(F.sum("n").over(w), F.lit(0))), ctx="long", sym="long", n="long", cum="long")
 
 
-def _chunks(t: Tables) -> DataFrame:
+def chunks_of_town(t: Tables) -> DataFrame:
     """Chunks of a plausible small town: ground, streets, houses."""
     d = t.voxel.select("x", "z").distinct()
     h = 3 + F.floor((c("x") + c("z")) / 24)
@@ -81,19 +81,19 @@ def _chunks(t: Tables) -> DataFrame:
     return codec.chunk_columns(grid.chunk_windows(v.unionByName(odd)))
 
 
-_TOWN = """town AS (SELECT x, y, z, CASE WHEN y < h THEN 1 WHEN top = h THEN CASE WHEN x % 8 = 6 THEN 2 ELSE 3 END WHEN y = top THEN 5 ELSE 4 END AS cls FROM (SELECT x, z, h, CASE WHEN x % 8 < 5 AND z % 8 < 5 THEN h + 3 + (x // 8 + z // 8) % 4 ELSE h END AS top FROM (SELECT DISTINCT x, z, 3 + (x + z) // 24 AS h FROM voxel)), LATERAL (SELECT unnest(range(0, top + 1)) AS y) k UNION ALL SELECT x, y + 20, z, cls FROM voxel WHERE y > 12 AND cls = 6)"""
+TOWN = """town AS (SELECT x, y, z, CASE WHEN y < h THEN 1 WHEN top = h THEN CASE WHEN x % 8 = 6 THEN 2 ELSE 3 END WHEN y = top THEN 5 ELSE 4 END AS cls FROM (SELECT x, z, h, CASE WHEN x % 8 < 5 AND z % 8 < 5 THEN h + 3 + (x // 8 + z // 8) % 4 ELSE h END AS top FROM (SELECT DISTINCT x, z, 3 + (x + z) // 24 AS h FROM voxel)), LATERAL (SELECT unnest(range(0, top + 1)) AS y) k UNION ALL SELECT x, y + 20, z, cls FROM voxel WHERE y > 12 AND cls = 6)"""
 
 
 @query(
     "c06_c07_codec_round_trip",
-    f"""WITH {_TOWN}, o AS (SELECT unnest([-1, 0, 1]) AS d), w AS (SELECT x // 32 + a.d AS cx, z // 32 + b.d AS cz, x - (x // 32 + a.d) * 32 + 1 AS lx, z - (z // 32 + b.d) * 32 + 1 AS lz, y, cls FROM town, o a, o b),
+    f"""WITH {TOWN}, o AS (SELECT unnest([-1, 0, 1]) AS d), w AS (SELECT x // 32 + a.d AS cx, z // 32 + b.d AS cz, x - (x // 32 + a.d) * 32 + 1 AS lx, z - (z // 32 + b.d) * 32 + 1 AS lz, y, cls FROM town, o a, o b),
     k AS (SELECT * FROM w WHERE lx BETWEEN 0 AND 33 AND lz BETWEEN 0 AND 33), own AS (SELECT DISTINCT cx, cz FROM k WHERE lx BETWEEN 1 AND 32 AND lz BETWEEN 1 AND 32)
     SELECT cx, cz, count(*) AS cells, sum((lx * 40 + lz) * cls + y)::BIGINT AS mixed FROM k SEMI JOIN own USING (cx, cz) GROUP BY 1, 2""",
     ("voxel",),
 )
 def c06(t: Tables) -> DataFrame:
     """Chunks to symbols, trained tables, bytes and back to cells (w03, c05, c08): the cells are compared."""
-    chunks = _chunks(t).checkpoint()  # read twice: to train, then to code
+    chunks = chunks_of_town(t).checkpoint()  # read twice: to train, then to code
     model = codec.Model.from_bytes(codec.read_model(codec.model_table(codec.pool_counts(codec.symbol_counts(chunks)))).to_bytes())
     cells = codec.decoded(codec.encoded(chunks, model), model)
     d = cells.groupBy("cx", "cz").agg(F.count(F.lit(1)).alias("cells"), F.sum((c("lx") * 40 + c("lz")) * c("cls") + c("y")).alias("mixed"))

@@ -36,8 +36,8 @@ def k05(t: Tables) -> DataFrame:
     m = grid.merged_tiles(tiles)
     spans = m.filter("bh IS NULL").select("x", "z", F.lit(10).alias("y0"), (12 + c("x") % 3).alias("y1"), (6 + c("z") % 2).alias("cls"))
     path = _shared(t)
-    composites.build_map(tiles, spans, path, levels=2)
-    cells = composites.open_chunks(t.spark, path).filter("level = 0")
+    composites.build_map(tiles, spans, path, levels=1)
+    cells = composites.open_chunks(t.spark, path)
     d = cells.groupBy("cx", "cz").agg(F.count(F.lit(1)).alias("cells"), F.sum((c("lx") * 40 + c("lz")) * c("cls") + c("y")).alias("mixed"))
     return out(d, cx="long", cz="long", cells="long", mixed="long")
 

@@ -427,10 +427,10 @@ def _tiles(t: Tables) -> DataFrame:
 _MERGED = """merged AS (SELECT x, z, arg_min(h, tile) FILTER (h IS NOT NULL) AS h, arg_min(w, tile) FILTER (w IS NOT NULL) AS w, max(bh) AS bh, max(deck) AS deck, coalesce(arg_max(rc, rc_lod * 100 + tile) FILTER (rc > 0), 0) AS rc, coalesce(arg_max(rc_lod, rc_lod * 100 + tile) FILTER (rc > 0), 0) AS rc_lod, bool_or(cover) AS cover FROM tile GROUP BY 1, 2)"""
 
 
-@query("w09_j15_merged_tiles", f"WITH {_TILE}, {_MERGED} SELECT x, z, h, round(w, 9) AS w, bh, deck, rc::BIGINT AS rc, rc_lod::BIGINT AS rc_lod, cover FROM merged WHERE h IS NOT NULL AND bh IS NOT NULL AND deck IS NOT NULL AND w IS NOT NULL")
+@query("w09_j15_merged_tiles", f"WITH {_TILE}, {_MERGED} SELECT x, z, coalesce(h, -1) AS h, round(coalesce(w, -1), 9) AS w, coalesce(bh, -1) AS bh, coalesce(deck, -1) AS deck, rc::BIGINT AS rc, rc_lod::BIGINT AS rc_lod, cover FROM merged")
 def w09(t: Tables) -> DataFrame:
-    """Overlapping tiles to one layer (rows where every layer is known are compared)."""
-    d = g.merged_tiles(_tiles(t)).filter("h IS NOT NULL AND bh IS NOT NULL AND deck IS NOT NULL AND w IS NOT NULL")
+    """Overlapping tiles to one layer; what no tile knows is shown as -1."""
+    d = g.merged_tiles(_tiles(t)).na.fill(-1.0, ["h", "w", "bh", "deck"])
     return out(d, x="long", z="long", h="double", w="round9", bh="double", deck="double", rc="long", rc_lod="long", cover="boolean")
 
 

@@ -128,12 +128,12 @@ def d03(t: Tables) -> DataFrame:
     return out(g.select("id", F.concat_ws("|", F.array_distinct(F.transform("l", lambda s: s["o_orderpriority"]))).alias("titles")), id="long", titles="string")
 
 
-@query("d04_normalised_names", "SELECT DISTINCT lang, trim(nfc_normalize(split_part(text, ' ', 1))) AS name FROM documents WHERE trim(split_part(text, ' ', 1)) <> ''")
+@query("d04_normalised_names", "SELECT DISTINCT lang, trim(nfc_normalize(w)) AS name FROM (SELECT lang, unnest(string_split(text, ' ')) AS w FROM documents) WHERE trim(w) <> ''")
 def d04(t: Tables) -> DataFrame:
     """Names in composed form, trimmed, empty ones dropped, each once (Spark has no normaliser)."""
     from gridspan.sources.dims import composed_names
 
-    d = composed_names(t.documents.select("lang", F.split_part("text", F.lit(" "), F.lit(1)).alias("name")), "name")
+    d = composed_names(t.documents.select("lang", F.explode(F.split("text", " ")).alias("name")), "name")
     return out(d.distinct(), lang="string", name="string")
 
 
@@ -189,10 +189,10 @@ def u02(t: Tables) -> DataFrame:
     return out(g.select(F.explode(F.filter(ops, lambda v: v.isNotNull())).alias("op"), "x", "z"), op="string", x="long", z="long")
 
 
-@query("u03_s05_unknown_ids", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("u03_s05_unknown_ids", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def u03(t: Tables) -> DataFrame:
     """What is wanted and not known yet."""
-    d = t.customer.select(c("c_custkey").alias("id")).join(t.orders.select(c("o_custkey").alias("id")), "id", "left_anti").distinct()
+    d = t.customer.select(c("c_custkey").alias("id")).join(t.orders.filter("o_orderstatus = 'F'").select(c("o_custkey").alias("id")), "id", "left_anti").distinct()
     return out(d, id="long")
 
 

@@ -76,9 +76,9 @@ def j17(t: Tables) -> DataFrame:
     return out(got, level="long", cx="long", cz="long", score="double")
 
 
-@query("j18_t06_dead_batches", "WITH b AS (SELECT (cx * 3 + cz) % 300 AS batch, level, cx, cz FROM directory WHERE level = 1) SELECT batch FROM b LEFT JOIN (SELECT DISTINCT level, cx, cz, 1 AS there FROM wish) USING (level, cx, cz) GROUP BY 1 HAVING count(there) = 0", ("chunk", "directory", "wish"))
+@query("j18_t06_dead_batches", "WITH b AS (SELECT level * 1000 + (cx * 3 + cz) % 300 AS batch, level, cx, cz FROM directory) SELECT batch FROM b LEFT JOIN (SELECT DISTINCT level, cx, cz, 1 AS there FROM wish) USING (level, cx, cz) GROUP BY 1 HAVING count(there) = 0", ("chunk", "directory", "wish"))
 def j18(t: Tables) -> DataFrame:
-    b = t.directory.filter("level = 1").select(((c("cx") * 3 + c("cz")) % 300).alias("batch"), *view.KEY)
+    b = t.directory.select((c("level") * 1000 + (c("cx") * 3 + c("cz")) % 300).alias("batch"), *view.KEY)
     return out(view.dead_batches(b, t.wish.select(*view.KEY).distinct()), batch="long")
 
 

@@ -25,8 +25,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Iterative operators cut lineage in the cluster's shared folder; where none is set (local
-    tests) in a temporary one."""
+    """Iterative operators cut lineage in the cluster's shared folder. Where none is set, a local session
+    has a temporary one; on a cluster that is an error, since executors would not share it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gridspan-checkpoints-"))
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="gridspan-checkpoints-"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridspan.operators.osm import first_per_key
@@ -27,3 +27,11 @@ def planned_members(listing: DataFrame, kinds: list[str]) -> DataFrame:
     d = listing.filter((F.size(part) == 3) & (part[0] == "udx") & part[1].isin(kinds) & F.col("name").endswith("_op.gml"))
     d = d.withColumn("kind", part[1]).withColumn("mesh", F.split_part(part[2], F.lit("_"), F.lit(1)))
     return first_per_key(d, ["name", "size", "crc"], ["ward"])
+
+
+def largest_first(files: DataFrame, lanes: int) -> DataFrame:
+    """``files`` (name, size and others) with rank and lane: the largest begin first (ties by name), dealt to
+    the lanes there and back, so that lanes end about together. A listing's rows, not the files' contents."""
+    nth = F.row_number().over(Window.orderBy(F.col("size").desc(), "name")) - 1
+    turn = F.pmod(nth, F.lit(2 * lanes))
+    return files.withColumn("rank", nth.cast("long")).withColumn("lane", F.when(turn < lanes, turn).otherwise(2 * lanes - 1 - turn).cast("long"))
