@@ -170,22 +170,27 @@ def _triangles(t: Tables) -> DataFrame:
     return t.orders.select(k.alias("id"), (bx.cast("double") + 0.1).alias("x0"), (bz.cast("double") + 0.2).alias("z0"), (k % 23).cast("double").alias("h0"), (bx + 1.3 + k % 14).alias("x1"), (bz + 0.7).alias("z1"), (u % 19).cast("double").alias("h1"), (bx + 0.9).alias("x2"), (bz + 1.6 + u % 5).alias("z2"), (k % 7).cast("double").alias("h2"))
 
 
-@query(
-    "j08_triangle_raster",
-    f"""WITH tri AS ({_TRI}), b AS (SELECT *, (z1 - z2) * (x0 - x2) + (x2 - x1) * (z0 - z2) AS det, ceil(least(x0, x1, x2) - 0.5)::BIGINT AS i0, floor(greatest(x0, x1, x2) - 0.5)::BIGINT AS i1, ceil(least(z0, z1, z2) - 0.5)::BIGINT AS j0, floor(greatest(z0, z1, z2) - 0.5)::BIGINT AS j1 FROM tri),
+#: Heights at the cells that triangles cover: the rows of k with rn = 1.
+_RASTER = f"""tri AS ({_TRI}), b AS (SELECT *, (z1 - z2) * (x0 - x2) + (x2 - x1) * (z0 - z2) AS det, ceil(least(x0, x1, x2) - 0.5)::BIGINT AS i0, floor(greatest(x0, x1, x2) - 0.5)::BIGINT AS i1, ceil(least(z0, z1, z2) - 0.5)::BIGINT AS j0, floor(greatest(z0, z1, z2) - 0.5)::BIGINT AS j1 FROM tri),
     p AS (SELECT *, (i1 - i0 + 1 > 10 OR j1 - j0 + 1 > 10) AS large FROM b, LATERAL (SELECT unnest(range(i0, i1 + 1)) AS x) xx, LATERAL (SELECT unnest(range(j0, j1 + 1)) AS z) zz WHERE abs(det) > 1e-9),
     l AS (SELECT *, ((z1 - z2) * (x + 0.5 - x2) + (x2 - x1) * (z + 0.5 - z2)) / det AS l0, ((z2 - z0) * (x + 0.5 - x2) + (x0 - x2) * (z + 0.5 - z2)) / det AS l1 FROM p),
-    i AS (SELECT *, 1 - l0 - l1 AS l2 FROM l), k AS (SELECT x, z, l0 * h0 + l1 * h1 + l2 * h2 AS h, row_number() OVER (PARTITION BY x, z ORDER BY large DESC, CASE WHEN large THEN 0 ELSE x - i0 END DESC, CASE WHEN large THEN 0 ELSE z - j0 END DESC, id DESC) AS rn FROM i WHERE l0 >= -1e-9 AND l1 >= -1e-9 AND l2 >= -1e-9)
-    SELECT x, z, round(h, 5) AS h FROM k WHERE rn = 1""",
-)
+    i AS (SELECT *, 1 - l0 - l1 AS l2 FROM l), k AS (SELECT x, z, l0 * h0 + l1 * h1 + l2 * h2 AS h, row_number() OVER (PARTITION BY x, z ORDER BY large DESC, CASE WHEN large THEN 0 ELSE x - i0 END DESC, CASE WHEN large THEN 0 ELSE z - j0 END DESC, id DESC) AS rn FROM i WHERE l0 >= -1e-9 AND l1 >= -1e-9 AND l2 >= -1e-9)"""
+
+
+@query("j08_triangle_raster", f"WITH {_RASTER} SELECT x, z, round(h, 5) AS h FROM k WHERE rn = 1")
 def j08(t: Tables) -> DataFrame:
     """Triangles to heights at cell centres; the last painted stays."""
     return out(g.triangle_cells(_triangles(t), "id"), x="long", z="long", h="round5")
 
 
-@query("g07_tin_heights")
+@query(
+    "g07_tin_heights",
+    f"""WITH {_RASTER}, covered AS (SELECT x, z, h FROM k WHERE rn = 1), t AS (SELECT x, z FROM (SELECT unnest(range(0, {SIDE})) AS x), (SELECT unnest(range(0, {SIDE})) AS z)), off AS (SELECT x, z FROM t ANTI JOIN covered USING (x, z)),
+    near AS (SELECT off.x, off.z, q.h, row_number() OVER (PARTITION BY off.x, off.z ORDER BY (off.x - q.x) * (off.x - q.x) + (off.z - q.z) * (off.z - q.z), q.z, q.x) AS n FROM off, (SELECT covered.* FROM covered SEMI JOIN t USING (x, z)) q)
+    SELECT x, z, round(h, 5) AS h FROM covered SEMI JOIN t USING (x, z) UNION ALL SELECT x, z, round(h, 5) FROM near WHERE n = 1""",
+)
 def g07(t: Tables) -> DataFrame:
-    """A TIN's heights at every cell, the nearest outside it (its parts are compared as j08 and j11)."""
+    """A TIN's heights at every cell, the nearest outside it."""
     side = t.spark.range(SIDE)
     targets = side.select(c("id").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SIDE - 1).cast("long"))).alias("z"))
     return out(g.tin_heights(_triangles(t), "id", targets), x="long", z="long", h="round5")

@@ -50,9 +50,15 @@ def t09(t: Tables) -> DataFrame:
     return out(view.latest_results(r, "user_id"), user_id="long", event_id="long")
 
 
-@query("t07_stalled_flights")
+@query(
+    "t07_stalled_flights",
+    """WITH RECURSIVE f AS (SELECT user_id % 100 AS flight, abs(value) / 50 AS ready, row_number() OVER (PARTITION BY user_id % 100 ORDER BY event_id) AS i FROM events),
+    walk AS (SELECT flight, 0::BIGINT AS i, 0.0::DOUBLE AS clock, 0.0::DOUBLE AS held FROM (SELECT DISTINCT flight FROM f) UNION ALL
+        SELECT flight, i, least(1200.0, clock + CASE WHEN stalled THEN 16.0 * 0.08 ELSE 16.0 END), held + CASE WHEN stalled THEN 16.0 ELSE 0.0 END FROM (SELECT w.flight, f.i, w.clock, w.held, (w.clock / 1200.0 > 0.5 AND f.ready < 0.9 AND w.held < 4000.0) AS stalled FROM walk w JOIN f ON f.flight = w.flight AND f.i = w.i + 1))
+    SELECT flight, i, round(clock / 1200.0, 9) AS u FROM walk WHERE i > 0""",
+)
 def t07(t: Tables) -> DataFrame:
-    """Flights that slow down while little is ready (order-dependent: tested against a plain loop)."""
+    """Flights that slow down while little is ready."""
     w = Window.partitionBy("flight").orderBy("event_id")
     f = t.events.select((c("user_id") % 100).alias("flight"), "event_id", (F.abs("value") / 50).alias("ready")).withColumn("i", F.row_number().over(w)).select("flight", "i", F.lit(16.0).alias("dt"), F.lit(1200.0).alias("duration"), "ready")
     return out(view.stall_clock(f, "flight"), flight="long", i="long", u="round9")
