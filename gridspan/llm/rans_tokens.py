@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridspan.llm.common import TOKEN_SLICE, Ranges, column, encode_ids, map_texts, shared_dir, ship, stage_table, tokenizer_path
+from gridspan.llm.common import MAX_RANGES, TOKEN_SLICE, Ranges, column, encode_ids, map_texts, shared_dir, ship, stage_table, tokenizer_path
 
 SCALE = 18
 LANES = 1024
@@ -191,7 +191,9 @@ def write_binary(docs: DataFrame, path: str, block_ids: int = BLOCK_IDS, per_buc
     """
     spark = docs.sparkSession
     ship(spark)
-    dealt = tokenized(docs, Ranges.of(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("key")), "key", per_bucket))
+    ranges = Ranges.of(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("key")), "key", per_bucket)
+    # as many partitions as ranges, so that a task's share does not grow with the table
+    dealt = tokenized(docs, ranges).repartition(min(ranges.n, MAX_RANGES), "bucket")
     # each document's first position in its range goes along, so that the table may be read in any split
     ahead_of = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_last(), "h", "ids").rowsBetween(Window.unboundedPreceding, -1)
     placed = F.coalesce(F.sum((F.octet_length("ids") / 2).cast("long")).over(ahead_of), F.lit(0).cast("long"))
