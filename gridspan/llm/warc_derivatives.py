@@ -1,12 +1,15 @@
 """WARC derivative builder: linked metadata and plain-text conversion records of HTTP responses.
 
-For every response two records are made, each naming the response in ``WARC-Refers-To`` and each other
-in ``WARC-Concurrent-To``, with the response's URI, date and digests carried over:
+For every response two records are made, both naming the response in ``WARC-Refers-To``, with its URI,
+date and digests carried over. The table links them to each other in ``concurrent_to``; of the records'
+headers only the metadata's has ``WARC-Concurrent-To``, which the format does not allow on conversions:
 
 * ``metadata`` (application/warc-fields): source headers, digests, title, charset and outlinks;
 * ``conversion`` (text/plain): the visible text, a line for each block element.
 
-Record ids are name-based, so a task that is run again writes the same records. Digests are SHA-1 in
+The table ``pages`` has no HTTP or record headers: its responses are all dated ``DATE``, and their ids
+are made from their URLs and contents. Record ids are name-based, so a task that is run again writes the
+same records. Digests are SHA-1 in
 base 32, as WARC files use. Rows hold bounded data (one page); there is no shuffle at all.
 """
 
@@ -116,7 +119,7 @@ def derive(responses: DataFrame, key: str = "page_id") -> DataFrame:
                 raw = block.encode("utf-8", "replace")
                 crc = digest(raw)
                 target = _line(uri) if uri else ""
-                lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {own[kind]}", *[f"WARC-Refers-To: {rid}"] * bool(rid), f"WARC-Concurrent-To: {own[other]}", *[f"WARC-Target-URI: {target}", f"WARC-Refers-To-Target-URI: {target}"] * bool(target), *[f"WARC-Date: {date}", f"WARC-Refers-To-Date: {date}"] * bool(date)]
+                lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {own[kind]}", *[f"WARC-Refers-To: {rid}"] * bool(rid), *[f"WARC-Concurrent-To: {own[other]}"] * (kind == "metadata"), *[f"WARC-Target-URI: {target}"] * bool(target), *[f"WARC-Date: {date}"] * bool(date)]
                 lines += [f"WARC-Source-Payload-Digest: {payload_crc}", f"WARC-Block-Digest: {crc}", f"Content-Type: {mime}", f"Content-Length: {len(raw)}"]
                 rows.append((k, kind, own[kind], rid, own[other], uri, date, mime, len(raw), crc, payload_crc, len(links), "\r\n".join(lines), raw.decode()))
         kinds = [column(part, key).type, *[pa.string()] * 7, pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]

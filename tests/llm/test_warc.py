@@ -75,6 +75,7 @@ def test_records_are_linked(spark, sf):
         assert r.block_digest == sha(r.block.encode()) and r.content_length == len(r.block.encode())
         head = dict(line.split(": ", 1) for line in r.headers.split("\r\n")[1:])
         assert head["WARC-Refers-To"] == source.record_id and head["WARC-Target-URI"] == source.target_uri and int(head["Content-Length"]) == r.content_length
+        assert head.get("WARC-Concurrent-To") == (r.concurrent_to if r.warc_type == "metadata" else None)
         if r.warc_type == "metadata":
             assert "source-header: Content-Type: text/html; charset=utf-8\r\n" in r.block and r.block.count("outlink: ") == r.n_outlinks
 
