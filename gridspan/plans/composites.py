@@ -162,7 +162,7 @@ def flight_demand(flights: DataFrame, directory: DataFrame, samples: int = 40, a
     p = lambda a, b, d: F.struct(F.lit(a).alias("a"), F.lit(0.0).alias("b"), F.lit(b).alias("c"), d.alias("d"))
     planes = F.array(p(1.0, 0.0, -c("vx0")), p(-1.0, 0.0, c("vx1")), p(0.0, 1.0, -c("vz0")), p(0.0, -1.0, c("vz1")))
     v = s.select(F.struct("flight", "i", "t").alias("view"), "ppm", "detail", F.lit(pad).alias("pad"), planes.alias("planes"), c("vx0").alias("x0"), c("vx1").alias("x1"), c("vz0").alias("z0"), c("vz1").alias("z1"))
-    wanted = view.select_chunks(v, directory).select(c("view.flight").alias("flight"), c("view.t").alias("t"), "level", "cx", "cz")
+    wanted = view.select_chunks(v, directory, spread="view.flight").select(c("view.flight").alias("flight"), c("view.t").alias("t"), "level", "cx", "cz")
     return view.demand(wanted, ["flight"])
 
 

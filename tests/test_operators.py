@@ -463,3 +463,31 @@ def test_checked_rows(spark):
     assert checked(d.filter("a = 1"), {"positive": c("a") > 0}).count() == 1
     with pytest.raises(Exception, match="positive"):
         checked(d, {"positive": c("a") > 0}).collect()
+
+
+PLANES = "array<struct<a:double,b:double,c:double,d:double>>"
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_views_are_not_broadcast(spark, monkeypatch, most):
+    """Levels of the directory are joined to the nodes, never the nodes to them, whatever their estimated size."""
+    monkeypatch.setattr(view, "BROADCAST_ROWS", most)
+    rng = random.Random(5)
+    chunks = {(lv, rng.randrange(16 >> lv), rng.randrange(16 >> lv)) for lv in range(3) for _ in range(300 >> 2 * lv)}
+    directory = spark.createDataFrame([(*k, 1 + sum(k) % 5) for k in chunks], "level long, cx long, cz long, height long")
+    views = [(i, rng.choice([0.3, 0.9, 4.0]), 1.0, 0.0, [{"a": 1.0, "b": 0.0, "c": 0.0, "d": -x}, {"a": 0.0, "b": 0.0, "c": -1.0, "d": z}], x, 0.0, 511.0, z) for i in range(40) for x, z in [(rng.uniform(0, 500), rng.uniform(0, 500))]]
+    v = spark.createDataFrame(views, f"view long, ppm double, detail double, pad double, planes {PLANES}, x0 double, z0 double, x1 double, z1 double")
+    got = view.select_chunks(v, directory, 2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and plan.count("BroadcastHashJoin" if most else "SortMergeJoin") >= 3
+
+    def walk(i, ppm, planes, level, x, z):
+        if (level, x, z) not in chunks or (x + 1) * (32 << level) + planes[0]["d"] < 0 or planes[1]["d"] - z * (32 << level) < 0:
+            return []
+        kids = [(a, b) for a in (2 * x, 2 * x + 1) for b in (2 * z, 2 * z + 1) if (level - 1, a, b) in chunks]
+        if not kids or ppm * (1 << level) <= 1.0:
+            return [(i, level, x, z)]
+        return [r for a, b in kids for r in walk(i, ppm, planes, level - 1, a, b)]
+
+    want = [r for i, ppm, _, _, planes, *_ in views for x in range(4) for z in range(4) for r in walk(i, ppm, planes, 2, x, z)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
