@@ -149,8 +149,9 @@ def _nearest_in_column(z: np.ndarray, rows: np.ndarray, d2: np.ndarray) -> np.nd
     return pick
 
 
-def nearest_fill(cells: DataFrame, targets: DataFrame) -> DataFrame:
+def nearest_fill(cells: DataFrame, targets: DataFrame, required: bool = True) -> DataFrame:
     """(x, z, h, d2): every target cell's nearest known cell (x, z, h); ties go to the smaller z, then x.
+    Targets without any known cell are an error, or left out where none is ``required``.
 
     A squared distance is separable. First every row that holds known cells gives, for each x of the
     targets' extent, its nearest known cell; then every column finds, for its targets, the nearest of its
@@ -177,7 +178,9 @@ def nearest_fill(cells: DataFrame, targets: DataFrame) -> DataFrame:
         given = np.asarray(kx.is_valid())
         z, rows_ = kz[~given], kz[given]
         if len(z) and not len(rows_):
-            raise RuntimeError("targets without a known cell")
+            if required:
+                raise RuntimeError("targets without a known cell")
+            z = z[:0]
         x = t["x"][0].as_py()
         far = (np.asarray(kx.drop_null()) - x) ** 2
         i = _nearest_in_column(z, rows_, far) if len(z) else np.empty(0, dtype=np.int64)

@@ -241,7 +241,7 @@ def j11(t: Tables) -> DataFrame:
     k = t.voxel.filter("cls = 5").groupBy("x", "z").agg(F.max("y").alias("h"))
     side = t.spark.range(SIDE)
     targets = side.select(c("id").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SIDE - 1).cast("long"))).alias("z"))
-    return out(g.nearest_fill(k, targets), x="long", z="long", h="long", d2="long")
+    return out(g.nearest_fill(k, targets, required=False), x="long", z="long", h="long", d2="long")
 
 
 _TOPS = "tops AS (SELECT x, z, coalesce(max(CASE WHEN cls IN (1, 2, 3, 8, 9, 10) THEN y + 1 END), 0) AS ground, max(y) + 1 AS top, max_by(cls, y) AS top_class FROM voxel GROUP BY 1, 2)"

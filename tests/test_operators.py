@@ -491,3 +491,8 @@ def test_views_are_not_broadcast(spark, monkeypatch, most):
 
     want = [r for i, ppm, _, _, planes, *_ in views for x in range(4) for z in range(4) for r in walk(i, ppm, planes, 2, x, z)]
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_nearest_fill_without_known_cells(spark):
+    none = spark.createDataFrame([], "x long, z long, h long")
+    assert grid.nearest_fill(none, spark.createDataFrame([(1, 2), (3, 4)], "x long, z long"), required=False).collect() == []
