@@ -7,6 +7,8 @@ filters what is left.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -210,14 +212,16 @@ def within(targets: DataFrame, marks: DataFrame, radius: float) -> DataFrame:
 def nearest_of_class(points: DataFrame, tops: DataFrame, classes: list[int], radius: int = 6) -> DataFrame:
     """(id, x, z, top, building): of each point (id, px, pz) the nearest column whose top class is
     wanted, by its centre, at most ``radius`` away; the first in (dz, dx) order wins a tie. Without any,
-    the point's own column."""
-    t = points.select("id", "px", "pz", F.explode(offsets_square(radius)).alias("o")).select("id", "px", "pz", "o", (F.floor("px") + c("o.dx")).alias("x"), (F.floor("pz") + c("o.dz")).alias("z"))
+    the point's own column. Points given as decimals keep them: differences are exact and rounded once."""
+    half, cell = F.lit(Decimal("0.5")), lambda p: F.floor(p).cast("long")
+    t = points.select("id", "px", "pz", F.explode(offsets_square(radius)).alias("o")).select("id", "px", "pz", "o", (cell("px") + c("o.dx")).alias("x"), (cell("pz") + c("o.dz")).alias("z"))
     j = t.join(tops, ["x", "z"])
-    d = F.hypot(c("x") + 0.5 - c("px"), c("z") + 0.5 - c("pz"))
-    hit = j.withColumn("d", d).filter(c("top_class").isin(classes) & (c("d") <= radius)).groupBy("id").agg(F.min(F.struct("d", "o.dz", "o.dx", "x", "z", "top")).alias("m"))
-    own = points.withColumn("x", F.floor("px")).withColumn("z", F.floor("pz")).join(tops.select("x", "z", "ground"), ["x", "z"], "left")
+    apart = lambda k: (c(k) + half - c("p" + k)).cast("double")
+    d2 = apart("x") * apart("x") + apart("z") * apart("z")
+    hit = j.withColumn("d2", d2).filter(c("top_class").isin(classes) & (c("d2") <= radius * radius)).groupBy("id").agg(F.min(F.struct(F.sqrt("d2").alias("d"), "o.dz", "o.dx", "x", "z", "top")).alias("m"))
+    own = points.withColumn("x", cell("px")).withColumn("z", cell("pz")).join(tops.select("x", "z", "ground"), ["x", "z"], "left")
     out = own.join(hit, "id", "left")
-    return out.select("id", F.when(c("m").isNotNull(), c("m.x") + 0.5).otherwise(c("px")).alias("ax"), F.when(c("m").isNotNull(), c("m.z") + 0.5).otherwise(c("pz")).alias("az"), F.when(c("m").isNotNull(), c("m.top")).otherwise(F.coalesce("ground", F.lit(0))).alias("y"), c("m").isNotNull().alias("building"))
+    return out.select("id", F.when(c("m").isNotNull(), c("m.x") + half).otherwise(c("px")).alias("ax"), F.when(c("m").isNotNull(), c("m.z") + half).otherwise(c("pz")).alias("az"), F.when(c("m").isNotNull(), c("m.top")).otherwise(F.coalesce("ground", F.lit(0))).alias("y"), c("m").isNotNull().alias("building"))
 
 
 def close_pairs(points: DataFrame, group: str, radius: float) -> DataFrame:

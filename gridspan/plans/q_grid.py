@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -255,7 +257,7 @@ _TOPS = "tops AS (SELECT x, z, coalesce(max(CASE WHEN cls IN (1, 2, 3, 8, 9, 10)
 )
 def j12(t: Tables) -> DataFrame:
     """The nearest building column within six cells, else the ground."""
-    p = t.place.select("id", (10 + (c("id") * 7.37) % 100).alias("px"), (10 + (c("id") * 3.19) % 100).alias("pz"))
+    p = t.place.select("id", (10 + (c("id") * F.lit(Decimal("7.37"))) % 100).alias("px"), (10 + (c("id") * F.lit(Decimal("3.19"))) % 100).alias("pz"))
     return out(g.nearest_of_class(p, g.column_surfaces(t.voxel), [4, 5]), id="long", ax="round6", az="round6", y="long", building="boolean")
 
 

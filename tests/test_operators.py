@@ -2,6 +2,7 @@
 
 import math
 import random
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -496,3 +497,12 @@ def test_views_are_not_broadcast(spark, monkeypatch, most):
 def test_nearest_fill_without_known_cells(spark):
     none = spark.createDataFrame([], "x long, z long, h long")
     assert grid.nearest_fill(none, spark.createDataFrame([(1, 2), (3, 4)], "x long, z long"), required=False).collect() == []
+
+
+def test_nearest_of_class_by_exact_distances(spark):
+    """Points as decimals lie in the cell they name, and equal distances are equal."""
+    p = spark.createDataFrame([(470, Decimal("73.90"), Decimal("109.30")), (1, Decimal("18.00"), Decimal("0.00"))], "id long, px decimal(6,2), pz decimal(6,2)")
+    cells = [(75, 109), (72, 108), (12, 0), (24, 0)]  # 1.6, 0.2 away and 1.4, 0.8 away: equal, so the smaller z
+    tops = spark.createDataFrame([(x, z, 0, 9, 4) for x, z in cells], "x long, z long, ground long, top long, top_class long")
+    got = {r.id: (float(r.ax), float(r.az), r.building) for r in grid.nearest_of_class(p, tops, [4, 5]).collect()}
+    assert got == {470: (72.5, 108.5, True), 1: (12.5, 0.5, True)}
