@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +24,10 @@ def _camera(t: Tables) -> DataFrame:
 
 
 def _views(t: Tables) -> DataFrame:
-    p = lambda a, b, cc, d: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(cc).alias("c"), d.alias("d"))
-    planes = F.array(p(1.0, 0.0, 0.0, -c("x0")), p(-1.0, 0.0, 0.0, c("x1")), p(0.0, 0.0, 1.0, -c("z0")), p(0.0, 0.0, -1.0, c("z1")), p(0.6, 0.1, 0.8, -(0.6 * c("x0") + 0.8 * c("z0")) - 100), p(0.0, -1.0, 0.0, F.lit(900.0)))
-    return t.camera.select(c("id").alias("view"), "ppm", F.lit(2.0).alias("detail"), F.lit(24.0).alias("pad"), planes.alias("planes"), "x0", "z0", "x1", "z1")
+    tenths = lambda v: F.lit(Decimal(v)).cast("decimal(2,1)")
+    p = lambda a, b, cc, d, m="0": F.struct(tenths(a).alias("a"), tenths(b).alias("b"), tenths(cc).alias("c"), d.alias("d"), F.lit(float(m)).alias("m"))
+    planes = F.array(p("1.0", "0", "0", -c("x0")), p("-1.0", "0", "0", c("x1")), p("0", "0", "1.0", -c("z0")), p("0", "0", "-1.0", c("z1")), p("0.6", "0.1", "0.8", -(0.6 * c("x0") + 0.8 * c("z0")), "100"), p("0", "-1.0", "0", F.lit(900.0)))
+    return t.camera.select(c("id").alias("view"), "ppm", F.lit(2.0).alias("detail"), F.lit(24).cast("long").alias("pad"), planes.alias("planes"), "x0", "z0", "x1", "z1")
 
 
 _SEEN = """(SELECT count(*) FROM (SELECT unnest(planes) AS p) WHERE (CASE WHEN p.a > 0 THEN (k.cx + 1) * (32 << k.level::INT) + 24 ELSE k.cx * (32 << k.level::INT) - 24 END) * p.a + (CASE WHEN p.b > 0 THEN k.height * (1 << k.level::INT) + 24 ELSE 0 END) * p.b + (CASE WHEN p.c > 0 THEN (k.cz + 1) * (32 << k.level::INT) + 24 ELSE k.cz * (32 << k.level::INT) - 24 END) * p.c + p.d < 0) = 0"""

@@ -506,3 +506,20 @@ def test_nearest_of_class_by_exact_distances(spark):
     tops = spark.createDataFrame([(x, z, 0, 9, 4) for x, z in cells], "x long, z long, ground long, top long, top_class long")
     got = {r.id: (float(r.ax), float(r.az), r.building) for r in grid.nearest_of_class(p, tops, [4, 5]).collect()}
     assert got == {470: (72.5, 108.5, True), 1: (12.5, 0.5, True)}
+
+
+def test_planes_in_tenths(spark):
+    """Decimal planes are summed exactly and rounded once, then the plane's offset and margin follow."""
+    tenth = lambda v: F.lit(Decimal(v)).cast("decimal(2,1)")
+    rows = [(x, y, z, 0.6 * a + 0.8 * b) for a in range(0, 7000, 83) for b in range(0, 5500, 97) for x, y, z in [(a + 24, 16, b + 105)]]
+    d = spark.createDataFrame(rows, "x long, y long, z long, d double")
+    plane = F.array(F.struct(tenth("0.6").alias("a"), tenth("0.1").alias("b"), tenth("0.8").alias("c"), (-c("d")).alias("d"), F.lit(100.0).alias("m")))
+    got = [r.v for r in d.select(view.in_view(plane, F.lit(0), F.lit(0), F.lit(0), c("x"), c("y"), c("z"), True).alias("v")).collect()]
+    assert got == [(6 * x + y + 8 * z) / 10 - d >= 100 for x, y, z, d in rows] and len(set(got)) == 2
+
+
+def test_roots_that_a_box_touches(spark):
+    """The box starts where the padded root ends: that root is in sight as well."""
+    v = spark.createDataFrame([(1, 0.1, 1.0, 24.0, [{"a": 1.0, "b": 0.0, "c": 0.0, "d": -88.0}], 88.0, 0.0, 90.0, 10.0)], f"view long, ppm double, detail double, pad double, planes {PLANES}, x0 double, z0 double, x1 double, z1 double")
+    directory = spark.createDataFrame([(1, 0, 0, 1), (1, 1, 0, 1)], "level long, cx long, cz long, height long")
+    assert sorted(tuple(r) for r in view.select_chunks(v, directory, 1).collect()) == [(1, 1, 0, 0), (1, 1, 1, 0)]
