@@ -229,7 +229,7 @@ def close_pairs(points: DataFrame, group: str, radius: float) -> DataFrame:
     meet in bins of the radius' size; one side looks into the bins around."""
     p = points.withColumn("bx", F.floor(c("x") / radius)).withColumn("by", F.floor(c("y") / radius))
     o = p.select(group, c("id").alias("j"), c("x").alias("x2"), c("y").alias("y2"), F.explode(offsets(range(-1, 2), range(-1, 2))).alias("o"), "bx", "by").select(group, "j", "x2", "y2", (c("bx") + c("o.dx")).alias("bx"), (c("by") + c("o.dz")).alias("by"))
-    d = p.join(o, [group, "bx", "by"]).filter(c("id") < c("j")).withColumn("d", F.hypot(c("x") - c("x2"), c("y") - c("y2")))
+    d = p.join(o, [group, "bx", "by"]).filter(c("id") < c("j")).withColumn("d", F.sqrt((c("x") - c("x2")) * (c("x") - c("x2")) + (c("y") - c("y2")) * (c("y") - c("y2"))))
     return d.filter(c("d") < radius).select(group, c("id").alias("i"), "j", "d")
 
 

@@ -523,3 +523,13 @@ def test_roots_that_a_box_touches(spark):
     v = spark.createDataFrame([(1, 0.1, 1.0, 24.0, [{"a": 1.0, "b": 0.0, "c": 0.0, "d": -88.0}], 88.0, 0.0, 90.0, 10.0)], f"view long, ppm double, detail double, pad double, planes {PLANES}, x0 double, z0 double, x1 double, z1 double")
     directory = spark.createDataFrame([(1, 0, 0, 1), (1, 1, 0, 1)], "level long, cx long, cz long, height long")
     assert sorted(tuple(r) for r in view.select_chunks(v, directory, 1).collect()) == [(1, 1, 0, 0), (1, 1, 1, 0)]
+
+
+def test_close_pairs_by_the_root_of_squares(spark):
+    """A distance is the root of the sum of squares, which a hypot may miss by the last bit."""
+    rng = random.Random(2)
+    pts = [(g, 2 * g + k, x, y) for g in range(20_000) for x0, y0 in [(rng.randrange(3600) / 200, rng.randrange(1700) / 200)] for k, x, y in ((0, x0, y0), (1, x0 + 0.9, y0 + 1.2))]
+    got = {r.g for r in grid.close_pairs(spark.createDataFrame(pts, "g long, id long, x double, y double"), "g", 1.5).collect()}
+    ends = list(zip(pts[::2], pts[1::2], strict=True))
+    root = {a[0] for a, b in ends if math.sqrt((a[2] - b[2]) * (a[2] - b[2]) + (a[3] - b[3]) * (a[3] - b[3])) < 1.5}
+    assert got == root
