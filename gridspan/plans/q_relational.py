@@ -211,7 +211,7 @@ def u05(t: Tables) -> DataFrame:
 def s02(t: Tables) -> DataFrame:
     """Names followed through redirects to the end."""
     a = t.part.filter("p_size > 25 AND floor(p_partkey / 2) > 0").select(c("p_partkey").alias("source"), F.floor(c("p_partkey") / 2).alias("target"))
-    return out(osm.resolve_aliases(t.part.select(c("p_partkey").alias("name")), a), name="long", final="long")
+    return out(osm.resolve_aliases(t.part.select(c("p_partkey").alias("name")).distinct(), a), name="long", final="long")
 
 
 @query(

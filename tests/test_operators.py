@@ -4,6 +4,7 @@ import math
 import random
 from decimal import Decimal
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gridspan.functions import bits, coords, curves, text
 from gridspan.operators import codec, graph, grid, osm, points, rivers, symbols, view
+from gridspan.plans import catalog
 
 c = F.col
 
@@ -541,3 +543,15 @@ def test_byte_runs_at_one_offset(spark):
     for r in (rows, rows[::-1]):
         got = view.byte_runs(spark.createDataFrame(r, "session long, offset long, len long").coalesce(1), ["session"], 1_000_000).collect()
         assert [tuple(x) for x in got] == [(1, 1, 0, 4110, 3)]
+
+
+def test_alias_query_goes_past_the_guard_of_its_sql(spark, tmp_path):
+    """On chains of more than 16 links the query has the rows of its SQL without the guard, names once each."""
+    part = [(1 << i, 30) for i in range(21)] + [(3 << i, 30 if i % 5 else 20) for i in range(18)] + [(1 << 20, 30)]
+    spark.createDataFrame(part, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(tuple(r) for r in catalog.QUERIES["s02_alias_chains"](spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    sql = catalog.ORACLES["s02_alias_chains"]
+    assert "d < 16" in sql and got == sorted(db.execute(sql.replace("d < 16", "d < 1000")).fetchall())
+    assert dict(got)[1 << 20] == 1 and dict(db.execute(sql).fetchall())[1 << 20] == 16
